@@ -9,7 +9,7 @@ from ..operators.positions import running_aggregates
 from ..sources.tables import Tables
 from ..targets import TARGETS
 from . import fixtures as fx
-from .registry import register, rounded
+from .registry import register, round_scaled, rounded
 from .sqlparts import essays_cte, long_oof_cte
 
 WITH_OOF = f"WITH {essays_cte()},\n{long_oof_cte()}\n"
@@ -242,7 +242,7 @@ def epoch_loss(spark, sf_dir):
                     F.col("value").alias("loss"), (F.lit(1) + F.col("event_id") % 6).alias("n"))
     # The numerator is rounded to 9 decimals so both engines divide the same double (summation order differs).
     return rounded(log.groupBy("run_id", "fold").agg(
-        (F.round(F.sum(F.col("loss") * F.col("n")), 9) / F.sum("n")).alias("epoch_loss")))
+        (round_scaled(F.sum(F.col("loss") * F.col("n")), 9) / F.sum("n")).alias("epoch_loss")))
 
 
 @register("running_loss", sql=f"WITH {METRIC_LOG_SQL}\n" + """
@@ -257,7 +257,7 @@ def running_loss(spark, sf_dir):
     out = running_aggregates(log, ["run_id", "fold"], ["step"],
                              sums={"loss_sum": F.col("loss") * F.col("n"), "n_seen": F.col("n").cast("long")})
     return rounded(out.select("run_id", "fold", "step", F.col("loss").alias("val"), "loss_sum", "n_seen",
-                              (F.round("loss_sum", 9) / F.col("n_seen")).alias("avg")))
+                              (round_scaled(F.col("loss_sum"), 9) / F.col("n_seen")).alias("avg")))
 
 
 @register("best_so_far", sql=f"WITH {METRIC_LOG_SQL}\n" + """

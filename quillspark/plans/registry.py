@@ -24,12 +24,25 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_scaled(c, digits: int = 6):
+    """Round half away from zero on the scaled value, ``round(x * 10^d) / 10^d``.
+
+    This is how SQL engines commonly round doubles; Spark's ``round`` instead rounds the shortest decimal
+    string, and the two disagree on near-ties. Using one arithmetic rule keeps the comparison stable.
+    """
+    c = c.cast("double")
+    p = float(10 ** digits)
+    scaled = c * F.lit(p)
+    r = F.when(scaled >= 0, F.floor(scaled + 0.5)).otherwise(-F.floor(-scaled + 0.5)).cast("double") / F.lit(p)
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) > F.lit(1e12)), c).otherwise(r)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round floating columns for engine-independent comparison (sums differ in the last bits)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            cols.append(round_scaled(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
