@@ -108,32 +108,34 @@ def union_widen(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def assemble_training_set(k: int, true_rows: DataFrame | None = None, prev_pseudo: DataFrame | None = None,
-                          curr_pseudo: DataFrame | None = None, id_col: str = "text_id",
-                          targets: list[str] | None = None) -> DataFrame:
+def assemble_training_set(labelled: DataFrame, k: int, use_true: bool = True,
+                          prev_pseudo: DataFrame | None = None, curr_pseudo: DataFrame | None = None,
+                          id_col: str = "text_id", targets: list[str] | None = None) -> DataFrame:
     """training rows for validation fold ``k`` from up to three sources, labels clipped to [1, 5].
 
-    * true rows: labelled essays with ``fold`` ≠ k;
+    * true rows: labelled essays with ``fold`` ≠ k (missing fold kept);
     * previous-data pseudo rows: ids present in the labelled table removed (anti join);
     * current-data pseudo rows: text and fold attached from the labelled table, fold ≠ k (NULL kept).
     A ``provenance`` column records the source of each row.
     """
     targets = targets or TARGETS
+    cols = [id_col, "full_text", "fold", *targets, "provenance"]
     parts = []
-    if true_rows is not None:
-        parts.append(true_rows.filter(not_fold("fold", k)).withColumn("provenance", F.lit("true")))
+    if use_true:
+        parts.append(labelled.filter(not_fold("fold", k)).withColumn("provenance", F.lit("true")))
     if prev_pseudo is not None:
-        p = prev_pseudo if true_rows is None else drop_known_ids(prev_pseudo, true_rows, id_col)
+        p = drop_known_ids(prev_pseudo, labelled, id_col).drop("fold")
         parts.append(p.withColumn("provenance", F.lit("prev_pseudo")))
     if curr_pseudo is not None:
-        if true_rows is None:
-            raise ValueError("current-data pseudo labels need the labelled table for text and fold")
         cp = curr_pseudo.drop("full_text", "fold")
-        parts.append(curr_pseudo_no_leak(cp, true_rows, k, id_col).withColumn("provenance", F.lit("curr_pseudo")))
+        parts.append(curr_pseudo_no_leak(cp, labelled, k, id_col).withColumn("provenance", F.lit("curr_pseudo")))
     if not parts:
         raise ValueError("no source selected")
-    out = union_widen(*parts)
-    return out.select(*[clip_score(t).alias(t) if t in targets else F.col(t) for t in out.columns])
+    out = union_widen(*[p.select(*[c for c in cols if c in p.columns]) for p in parts])
+    for c, typ in (("full_text", "string"), ("fold", "int")):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast(typ))
+    return out.select(*[clip_score(c).alias(c) if c in targets else F.col(c) for c in cols])
 
 
 def assemble_track2(true_rows: DataFrame, pseudo_rows: DataFrame, k: int, mode: str) -> DataFrame:

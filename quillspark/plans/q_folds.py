@@ -1 +1,77 @@
-"""Registered queries."""
+"""Registered queries: folds, quantile bins, splits and samples (D keys)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tokens as K
+from ..operators import folds as D
+from ..sources.tables import Tables
+from ..targets import TARGETS
+from . import fixtures as fx
+from .registry import register
+from .sqlparts import current_cte, essays_cte
+
+_Q = 50
+_PROBS = "[" + ", ".join(f"{i / _Q!r}e0" for i in range(_Q + 1)) + "]"
+
+
+def _counts(spark, sf_dir):
+    cur = fx.current_population(Tables(spark, sf_dir))
+    toks = K.regex_tokens("full_text")
+    return cur.select("text_id", *TARGETS, K.n_token(toks).alias("n_token"),
+                      K.n_unique_token(toks).alias("nunique_token"))
+
+
+@register("strat_folds")
+def strat_folds(spark, sf_dir):
+    """D1 (rows-only): stratified folds of the labelled essays; balance invariants are tested in tests/."""
+    cur = fx.current_population(Tables(spark, sf_dir)).select("text_id", *TARGETS)
+    return D.stratified_folds(cur, TARGETS, seed=42).select("text_id", "fold")
+
+
+@register("balanced_folds")
+def balanced_folds(spark, sf_dir):
+    """D2 (rows-only): targets plus 50-quantile bins of the token counts as eight stratification labels."""
+    c = _counts(spark, sf_dir)
+    c = D.qcut_bins(D.qcut_bins(c, "n_token", _Q, "n_token_bin"), "nunique_token", _Q, "nutoken_bin")
+    out = D.stratified_folds(c, [*TARGETS, "n_token_bin", "nutoken_bin"], seed=42)
+    return out.select("text_id", "n_token", "nunique_token", "n_token_bin", "nutoken_bin", "fold")
+
+
+_TOK = (f"{essays_cte()},\n{current_cte()},\n"
+        "c AS (SELECT text_id, cast(len(regexp_extract_all(full_text, '\\w+|[^\\w\\s]')) AS int) AS n_token, "
+        "cast(len(list_distinct(regexp_extract_all(full_text, '\\w+|[^\\w\\s]'))) AS int) AS nunique_token FROM curr)")
+
+
+def _sql_bin(col: str) -> str:
+    edges = f"(SELECT list_sort(list_distinct(quantile_cont({col}, {_PROBS}))) FROM c)"
+    return f"cast(len(list_filter(({edges})[2:len({edges}) - 1], lambda e: e < {col})) AS int)"
+
+
+@register("qcut_bins", sql=f"WITH {_TOK}\nSELECT text_id, n_token, nunique_token, {_sql_bin('n_token')} AS n_token_bin, "
+          f"{_sql_bin('nunique_token')} AS nutoken_bin FROM c")
+def qcut_bins(spark, sf_dir):
+    c = _counts(spark, sf_dir).select("text_id", "n_token", "nunique_token")
+    c = D.qcut_bins(D.qcut_bins(c, "n_token", _Q, "n_token_bin"), "nunique_token", _Q, "nutoken_bin")
+    return c
+
+
+@register("fold_split", sql=f"WITH {essays_cte()}\nSELECT text_id, fold, "
+          "CASE WHEN fold IS NOT DISTINCT FROM 2 THEN 'valid' ELSE 'train' END AS split FROM essays")
+def fold_split(spark, sf_dir):
+    e = fx.essays(Tables(spark, sf_dir))
+    return e.select("text_id", "fold", D.split_label(2).alias("split"))
+
+
+@register("sample_n")
+def sample_n(spark, sf_dir):
+    """D5 (rows-only): exactly 50 essays, the same for the same seed."""
+    e = fx.essays(Tables(spark, sf_dir)).select("text_id", "fold")
+    return D.sample_n(e, 50, seed=42)
+
+
+@register("head_n", sql=f"WITH {essays_cte()}\nSELECT text_id, fold FROM essays ORDER BY text_id LIMIT 50")
+def head_n(spark, sf_dir):
+    e = fx.essays(Tables(spark, sf_dir)).select("text_id", "fold")
+    return D.head_n(e, 50)
