@@ -76,8 +76,14 @@ def read_prediction_dir(spark: SparkSession, pattern: str, schema: T.StructType
     the file metadata column.
     """
     df = read_table(spark, pattern, schema)
-    df = df.withColumn("model_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
-    return ban_models(df, banned_models)
+    return ban_models(df.withColumn("model_id", model_id_from_path(F.col("_metadata.file_path"))), banned_models)
+
+
+def model_id_from_path(path) -> "F.Column":
+    """``.../model2.csv`` → ``model2``; Spark output folders (``.../model2.csv/part-0000.csv``) name the folder."""
+    folder = F.regexp_replace(path, r"/part-[^/]*$", "")
+    name = F.regexp_extract(folder, r"([^/]+)$", 1)
+    return F.regexp_replace(name, r"\.(csv|pq|parquet)$", "")
 
 
 def ban_models(df: DataFrame, banned_models: list[str] | None) -> DataFrame:
