@@ -1 +1,86 @@
-"""Registered queries."""
+"""Registered queries: blend-weight fitting and trial scoring (H keys)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import weights as H
+from ..sources.tables import Tables
+from ..targets import TARGETS
+from . import fixtures as fx
+from .q_blend import MODELS, _oof_model_cte
+from .registry import register, rounded
+from .sqlparts import essays_cte
+
+N_TRIALS = 50
+UPPER = {"model2": 0.35}
+
+
+def _stats(spark, sf_dir, features="model"):
+    t = Tables(spark, sf_dir)
+    design = H.wide_design(fx.oof_long(t), fx.essays(t), MODELS, features=features)
+    return H.gram_statistics(design)
+
+
+@register("fit_columnwise")
+def fit_columnwise(spark, sf_dir):
+    """H1 + H5 (rows-only): per-target weights, one model capped at 0.35; KKT and optimality are tested."""
+    grams = H.collect_grams(_stats(spark, sf_dir), len(MODELS))
+    fits = H.fit_columnwise(grams, MODELS, UPPER)
+    rows = [(t, m, float(w[i]), r) for t, (w, r) in fits.items() for i, m in enumerate(MODELS)]
+    return spark.createDataFrame(rows, "target string, model_id string, w double, rmse double")
+
+
+@register("fit_modelwise")
+def fit_modelwise(spark, sf_dir):
+    """H2 (rows-only): one weight vector for all targets, minimising the mean of the six RMSE."""
+    grams = H.collect_grams(_stats(spark, sf_dir), len(MODELS))
+    w, score = H.fit_modelwise(grams, MODELS, UPPER)
+    return spark.createDataFrame([(m, float(w[i]), score) for i, m in enumerate(MODELS)],
+                                 "model_id string, w double, mcrmse double")
+
+
+@register("fit_stacked")
+def fit_stacked(spark, sf_dir):
+    """H3 (rows-only): every (model, source column) is a feature of every target."""
+    k = len(MODELS) * len(TARGETS)
+    grams = H.collect_grams(_stats(spark, sf_dir, "stacked"), k)
+    lb, ub = H.bounds([f"{m}:{s}" for m in MODELS for s in TARGETS])
+    rows = []
+    for t, g in grams.items():
+        w = H.solve_box_ls(g.G, g.b, lb, ub)
+        feats = [(m, s) for m in MODELS for s in TARGETS]
+        rows += [(t, m, s, float(w[i]), g.rmse(w)) for i, (m, s) in enumerate(feats)]
+    return spark.createDataFrame(rows, "target string, model_id string, source_target string, w double, rmse double")
+
+
+@register("weight_trials")
+def weight_trials(spark, sf_dir):
+    """H4 (rows-only): 20 seeded Dirichlet restarts scored in one pass over the Gram table."""
+    trials = H.dirichlet_trials(spark, len(MODELS), 20, seed=42)
+    return rounded(H.score_trials(_stats(spark, sf_dir), trials))
+
+
+def _trial_table(spark):
+    rows = [(t, i, ((t * (i + 3)) % 17) / 17.0) for t in range(1, N_TRIALS + 1) for i in range(len(MODELS))]
+    return spark.createDataFrame(rows, "trial int, i int, w double")
+
+
+_M = ",\n".join(_oof_model_cte(f"m{i}", m) for i, m in enumerate(MODELS))
+_J = ("j AS (SELECT e.text_id, " + ", ".join(f"e.{t} AS y_{t}" for t in TARGETS) + ", "
+      + ", ".join(f"m{i}.{t} AS p{i}_{t}" for i in range(len(MODELS)) for t in TARGETS)
+      + " FROM essays e " + " ".join(f"JOIN m{i} USING (text_id)" for i in range(len(MODELS))) + ")")
+_TR = ("tr AS (SELECT cast(t AS int) AS trial, " + ", ".join(f"((t * {i + 3}) % 17) / 17e0 AS w{i}"
+                                                               for i in range(len(MODELS)))
+       + f" FROM range(1, {N_TRIALS + 1}) r(t))")
+_PER_T = " UNION ALL ".join(
+    f"SELECT trial, sqrt(avg(({' + '.join(f'w{i} * p{i}_{t}' for i in range(len(MODELS)))} - y_{t}) * "
+    f"({' + '.join(f'w{i} * p{i}_{t}' for i in range(len(MODELS)))} - y_{t}))) AS r FROM tr, j GROUP BY trial"
+    for t in TARGETS)
+
+
+@register("score_weight_trials", sql=f"WITH {essays_cte()},\n{_M},\n{_J},\n{_TR}\n"
+          f"SELECT trial, round(avg(r), 6) AS mcrmse FROM ({_PER_T}) GROUP BY trial")
+def score_weight_trials(spark, sf_dir):
+    """H6: 50 weight vectors scored from the distributed Gram statistics (no rows × trials fan-out)."""
+    return rounded(H.score_trials(_stats(spark, sf_dir), _trial_table(spark)))
