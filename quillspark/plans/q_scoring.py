@@ -1 +1,107 @@
-"""Registered queries."""
+"""Registered queries: batch scoring modes, registry scoring, fold-wise fitting, self-training (K keys)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ensemble as G
+from ..operators import joins as J
+from ..operators import scoring as SC
+from ..sources.tables import Tables
+from ..targets import TARGETS, clip_score
+from . import fixtures as fx
+from .registry import register, rounded
+from .sqlparts import current_cte, essays_cte
+
+REGISTRY = {"deberta_v3_large": 0, "roberta_large": 1, "bart_large": 2}
+
+
+def _score_sql(k: str, off: str = "0") -> str:
+    return ", ".join(f"round(1e0 + ((length(full_text) + 13 * {k} + 7 * {j} + {off}) % 41) / 1e1, 6) AS {t}"
+                     for j, t in enumerate(TARGETS))
+
+
+def _pops(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    e = fx.essays(t)
+    return e, fx.current_population(t)
+
+
+BASE = f"WITH {essays_cte()},\n{current_cte()}\n"
+_PREV = "(SELECT * FROM essays WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
+
+
+@register("score_batch")
+def score_batch(spark, sf_dir):
+    """K1 (rows-only): every essay scored by the model of its fold through ``mapInPandas``."""
+    e, _ = _pops(spark, sf_dir)
+    return rounded(SC.score_batch(e.withColumn("fold_model", F.col("fold")), SC.ClosedFormScorer()))
+
+
+@register("mode_oofs", sql=BASE + f"SELECT text_id, fold AS fold_model, {_score_sql('fold')} FROM curr")
+def mode_oofs(spark, sf_dir):
+    _, cur = _pops(spark, sf_dir)
+    return rounded(SC.score_mode("oofs", cur, SC.ClosedFormScorer()))
+
+
+@register("mode_prev", sql=BASE + f"SELECT text_id, cast(k AS int) AS fold_model, {_score_sql('k')} "
+          f"FROM {_PREV} p, range(5) r(k)")
+def mode_prev(spark, sf_dir):
+    e, cur = _pops(spark, sf_dir)
+    return rounded(SC.score_mode("prev_pseudolabels", cur, SC.ClosedFormScorer(), previous=e))
+
+
+@register("mode_curr", sql=BASE + f"SELECT text_id, cast(k AS int) AS fold_model, {_score_sql('k')} "
+          "FROM curr, range(5) r(k)")
+def mode_curr(spark, sf_dir):
+    _, cur = _pops(spark, sf_dir)
+    return rounded(SC.score_mode("curr_pseudolabels", cur, SC.ClosedFormScorer()))
+
+
+_MEAN = ", ".join(f"round(avg(1e0 + ((length(full_text) + 13 * k + 7 * {j}) % 41) / 1e1), 6) AS {t}"
+                  for j, t in enumerate(TARGETS))
+
+
+@register("mode_submission", sql=BASE + f"SELECT text_id, {_MEAN} FROM {_PREV} p, range(5) r(k) GROUP BY text_id")
+def mode_submission(spark, sf_dir):
+    e, cur = _pops(spark, sf_dir)
+    test = J.drop_known_ids(e, cur)
+    return rounded(SC.score_mode("submission", cur, SC.ClosedFormScorer(), test=test))
+
+
+_REG_SQL = " UNION ALL ".join(
+    f"SELECT '{m}' AS model_id, text_id, " + ", ".join(
+        f"round(avg(1e0 + ((length(full_text) + 13 * k + 7 * {j} + {off}) % 41) / 1e1), 6) AS {t}"
+        for j, t in enumerate(TARGETS)) + " FROM curr, range(5) r(k) GROUP BY text_id"
+    for m, off in REGISTRY.items())
+
+
+@register("registry_scoring", sql=BASE + _REG_SQL)
+def registry_scoring(spark, sf_dir):
+    """K3: a registry of models scores the chosen population (here the labelled essays), fold means."""
+    _, cur = _pops(spark, sf_dir)
+    return rounded(SC.registry_scoring(cur, REGISTRY))
+
+
+@register("fold_fit_oof")
+def fold_fit_oof(spark, sf_dir):
+    """K4 (rows-only): hashed TF-IDF ridge per (fold, target) on the labelled essays; OOF predictions."""
+    _, cur = _pops(spark, sf_dir)
+    oof, _ = SC.fold_fit_oof(cur.select("text_id", "full_text", "fold", *TARGETS))
+    return rounded(oof)
+
+
+@register("self_training_round")
+def self_training_round(spark, sf_dir):
+    """K5 (rows-only): one round — fit with fold-k pseudo rows of the previous data, score the previous data
+    with every fold model, blend (fold models as members), clip: the next round's pseudo labels."""
+    t = Tables(spark, sf_dir)
+    e = fx.essays(t)
+    cur = fx.current_population(t).select("text_id", "full_text", "fold", *TARGETS)
+    prev = J.drop_known_ids(e.select("text_id", "full_text"), cur)
+    seed_pl = fx.pseudo_long(fx.essays(t))
+    seed = (G.blend(seed_pl, fx.modelwise_weights(spark), ["fold", "text_id"])
+            .withColumnRenamed("fold", "fold_model").join(prev, "text_id"))
+    _, scored = SC.fold_fit_oof(cur, extra_train=seed, extra_fold_col="fold_model", score_also=prev)
+    nxt = scored.select("text_id", "fold_model", *[clip_score(f"pred_{c}").alias(c) for c in TARGETS])
+    return rounded(nxt.withColumnRenamed("fold_model", "fold"))
