@@ -282,3 +282,21 @@ def best_checkpoint(spark, sf_dir):
     best = F.min_by(F.struct("step", "loss"), F.struct("loss", "step"))
     return (log.groupBy("run_id", "fold").agg(best.alias("b"))
             .select("run_id", "fold", F.col("b.step").alias("best_step"), F.col("b.loss").alias("best_loss")))
+
+
+# --- T1: the same roll-up as a stream ----------------------------------------------------------------------------
+
+@register("metric_stream", sql="""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, user_id AS run_id,
+       cast(event_id % 5 AS int) AS fold,
+       round(sum(value * (1 + event_id % 6)), 6) AS loss_sum, cast(sum(1 + event_id % 6) AS bigint) AS n,
+       round(min(value), 6) AS best_loss, count(*) AS steps,
+       round(round(sum(value * (1 + event_id % 6)), 9) / sum(1 + event_id % 6), 6) AS epoch_loss
+FROM events GROUP BY 1, 2, 3""")
+def metric_stream(spark, sf_dir):
+    """Structured Streaming roll-up (watermark, daily window, update mode, foreachBatch sink), read back."""
+    from ..streaming import metric_stream as MS
+    events = Tables(spark, sf_dir).events
+    # the file source reads folders or globs; a one-character class turns the single file into a glob
+    sink = MS.run_metric_stream(spark, f"{sf_dir}/event[s].parquet", events.schema)
+    return rounded(MS.finish(MS.latest(spark, sink)))
