@@ -43,6 +43,10 @@ NEWLINE_MARKER = ("\n", "[BR]")
 PY_SPACE = (r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
             r"\x{202f}\x{205f}\x{3000}]")
 NON_ASCII = r"[^\x00-\x7f]"
+# The repair chain is the identity on text whose non-ASCII characters all lie in U+00C0..U+00FF: those bytes are
+# UTF-8 lead bytes that are never followed by a continuation byte (0x80..0xBF), so every decode step falls back
+# to cp1252, which equals Latin-1 there. Only rows with a character in U+0080..U+00BF or above U+00FF can change.
+MAY_NEED_REPAIR = r"[\x{80}-\x{bf}\x{100}-\x{10ffff}]"
 
 # ASCII renderings of Latin-1 (U+00A0..U+00FF) and of the cp1252 punctuation block, as given by
 # the common unidecode tables.
@@ -173,9 +177,9 @@ def _repair_udf(s: pd.Series) -> pd.Series:
 
 
 def repair_encoding(c: Column | str) -> Column:
-    """Pure-ASCII rows are a fixed point of the chain and never leave the JVM."""
+    """Rows that are a fixed point of the chain (see ``MAY_NEED_REPAIR``) never leave the JVM."""
     c = _col(c)
-    return F.coalesce(_repair_udf(F.when(c.rlike(NON_ASCII), c)), c)
+    return F.coalesce(_repair_udf(F.when(c.rlike(MAY_NEED_REPAIR), c)), c)
 
 
 # ---------------------------------------------------------------------------------------------------------------

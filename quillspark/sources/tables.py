@@ -29,10 +29,23 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            self._cache[name] = spread(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
         return self._cache[name]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A small file stored as one row group is read by a single task, which serialises row-level work (text
+    cleaning, tokenising) onto one core. Only then is a round-robin repartition added; a large table already has
+    many splits and is left alone, so no extra shuffle appears at scale.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= parallelism:
+        return df
+    return df.repartition(parallelism)
+
+
 def _drop_index_column(df: DataFrame) -> DataFrame:
     """pandas ``to_csv`` without ``index=False`` writes an unnamed first column; Spark names it ``_c0``."""
     first = df.columns[0] if df.columns else None
