@@ -82,7 +82,10 @@ def mark_newlines(c: Column | str) -> Column:
 
 
 def canon_placeholders(c: Column | str) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), PLACEHOLDER_MARKERS, _col(c))
+    """Ordered chain of literal replaces; every key contains ``_``, so rows without one skip the chain."""
+    c = _col(c)
+    chain = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), PLACEHOLDER_MARKERS, c)
+    return F.when(c.contains("_"), chain).otherwise(c)
 
 
 def pad_punctuation(c: Column | str) -> Column:
@@ -111,6 +114,7 @@ _MULTI = [(k, v) for k, v in ASCII_FOLD.items() if len(v) != 1]
 _SINGLE = [(k, v) for k, v in ASCII_FOLD.items() if len(v) == 1]
 _SINGLE_FROM = "".join(k for k, _ in _SINGLE)
 _SINGLE_TO = "".join(v for _, v in _SINGLE)
+_MULTI_CLASS = "[" + "".join(k for k, _ in _MULTI) + "]"
 
 
 def _nfkd_ascii(s: str) -> str:
@@ -131,8 +135,10 @@ def _nfkd_ascii_udf(s: pd.Series) -> pd.Series:
 
 
 def ascii_fold(c: Column | str, exotic_fallback: bool = True) -> Column:
-    folded = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _MULTI, _col(c))
-    folded = F.translate(folded, _SINGLE_FROM, _SINGLE_TO)
+    c = _col(c)
+    multi = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _MULTI, c)
+    # one regex scan decides whether the multi-character renderings (ß → ss, Æ → AE, …) are needed at all
+    folded = F.translate(F.when(c.rlike(_MULTI_CLASS), multi).otherwise(c), _SINGLE_FROM, _SINGLE_TO)
     if not exotic_fallback:
         return folded
     # Only rows still carrying non-ASCII text are sent to Python; the rest are NULL for the UDF (cheap).
