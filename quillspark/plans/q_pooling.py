@@ -73,7 +73,7 @@ def pool_min(spark, sf_dir):
 
 
 @register("pool_meanmax", sql=TOKENS_SQL + f"SELECT doc_id, dim, round({MEAN}, 6) AS value FROM cells WHERE {LAST} "
-          "GROUP BY doc_id, dim UNION ALL SELECT doc_id, dim + (SELECT d FROM top) AS dim, "
+          "GROUP BY doc_id, dim UNION ALL SELECT doc_id, cast(dim + (SELECT d FROM top) AS int) AS dim, "
           f"round(max(CASE WHEN mask = 1 THEN v ELSE -1e4 END), 6) AS value FROM cells WHERE {LAST} GROUP BY doc_id, dim")
 def pool_meanmax(spark, sf_dir):
     return rounded(P.pool_meanmax(_tokens(spark, sf_dir)))
