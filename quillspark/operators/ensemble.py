@@ -66,6 +66,7 @@ def blend_stacked(predictions: DataFrame, weights: DataFrame, keys: list[str], t
                   clip: bool = False) -> DataFrame:
     """Every (model, source column) may feed every target. Weights ``(target, model_id, source_target, w)``."""
     targets = targets or TARGETS
+    collect_small(weights.select("target"))  # size check before the broadcast below
     n_terms = {r["target"]: int(r["n"]) for r in
                collect_small(weights.groupBy("target").agg(F.count(F.lit(1)).alias("n")))}
     w = F.broadcast(weights.select(F.col("model_id"), F.col("source_target").alias("_src"),

@@ -9,6 +9,7 @@ without a global sort.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -127,7 +128,7 @@ def registry_scoring(population: DataFrame, offsets: dict[str, int], id_col: str
 def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "text_id", text_col: str = "full_text",
                  num_features: int = 1024, reg: float = 1.0, weight_col: str | None = None,
                  extra_train: DataFrame | None = None, extra_fold_col: str | None = None,
-                 score_also: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+                 score_also: DataFrame | None = None, parallelism: int = 5) -> tuple[DataFrame, DataFrame | None]:
     """K4: per fold k, fit text → six targets on rows with fold ≠ k (plus the ``extra_train`` rows, restricted to
     ``extra_fold_col == k`` when given), predict fold k. Spark ML: RegexTokenizer → HashingTF → IDF →
     LinearRegression (L2), one regression per target on a shared, persisted feature table.
@@ -139,8 +140,7 @@ def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "tex
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     from pyspark.ml.regression import LinearRegression
 
-    oofs, others = [], []
-    for k in range(n_folds):
+    def fit_fold(k: int):
         train = labelled.filter(~F.col("fold").eqNullSafe(F.lit(k)))
         if extra_train is not None:
             extra = extra_train if extra_fold_col is None else extra_train.filter(F.col(extra_fold_col) == k)
@@ -166,10 +166,14 @@ def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "tex
             xva = model.transform(xva)
             if xot is not None:
                 xot = model.transform(xot)
-        oofs.append(xva.drop("_x"))
-        if xot is not None:
-            others.append(xot.drop("_x"))
         xtr.unpersist()
+        return xva.drop("_x"), (xot.drop("_x") if xot is not None else None)
+
+    # Folds are independent: their fits run as concurrent Spark jobs (as CrossValidator's ``parallelism``).
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
+        results = list(pool.map(fit_fold, range(n_folds)))
+    oofs = [r[0] for r in results]
+    others = [r[1] for r in results if r[1] is not None]
     oof = oofs[0]
     for o in oofs[1:]:
         oof = oof.unionByName(o)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..targets import TARGETS, target_value
+from ..session import pin
 from .ensemble import collect_small
 
 GRAM_SCHEMA = "grp string, i int, j int, v double"
@@ -215,13 +216,14 @@ def fit_modelwise(grams: dict[str, Gram], models: list[str], upper: dict[str, fl
     return w, f0
 
 
-def score_trials(stats: DataFrame, trials: DataFrame) -> DataFrame:
+def score_trials(stats: DataFrame, trials: DataFrame, n_feat: int) -> DataFrame:
     """H6: MCRMSE of every trial weight vector from the Gram table, in Spark (no fan-out over rows).
 
-    ``trials``: ``(trial, i, w)`` with i the model index. Σᵢⱼ wᵢwⱼGᵢⱼ − 2Σᵢ wᵢbᵢ + yy per (trial, target).
+    ``trials``: ``(trial, i, w)`` with i the model index < ``n_feat``. Σᵢⱼ wᵢwⱼGᵢⱼ − 2Σᵢ wᵢbᵢ + yy per
+    (trial, target). The Gram table is read by five branches, so it is materialised once (it is tiny).
     """
+    stats = pin(stats)
     g = stats.filter(F.col("i") >= 0)
-    n_feat = stats.agg(F.max("i")).scalar()  # index of y = number of models
     gram = g.filter((F.col("i") < n_feat) & (F.col("j") < n_feat))
     b = g.filter((F.col("j") == n_feat) & (F.col("i") < n_feat)).select("grp", "i", F.col("v").alias("b"))
     yy = g.filter((F.col("i") == n_feat) & (F.col("j") == n_feat)).select("grp", F.col("v").alias("yy"))

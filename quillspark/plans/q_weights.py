@@ -58,7 +58,7 @@ def fit_stacked(spark, sf_dir):
 def weight_trials(spark, sf_dir):
     """H4 (rows-only): 20 seeded Dirichlet restarts scored in one pass over the Gram table."""
     trials = H.dirichlet_trials(spark, len(MODELS), 20, seed=42)
-    return rounded(H.score_trials(_stats(spark, sf_dir), trials))
+    return rounded(H.score_trials(_stats(spark, sf_dir), trials, len(MODELS)))
 
 
 def _trial_table(spark):
@@ -83,4 +83,4 @@ _PER_T = " UNION ALL ".join(
           f"SELECT trial, round(avg(r), 6) AS mcrmse FROM ({_PER_T}) GROUP BY trial")
 def score_weight_trials(spark, sf_dir):
     """H6: 50 weight vectors scored from the distributed Gram statistics (no rows × trials fan-out)."""
-    return rounded(H.score_trials(_stats(spark, sf_dir), _trial_table(spark)))
+    return rounded(H.score_trials(_stats(spark, sf_dir), _trial_table(spark), len(MODELS)))
