@@ -188,6 +188,15 @@ def repair_encoding(c: Column | str) -> Column:
     return F.coalesce(_repair_udf(F.when(c.rlike(MAY_NEED_REPAIR), c)), c)
 
 
+# Bytes that cp1252 leaves undefined, seen as the Latin-1 characters they become.
+CP1252_UNDEFINED = "\x81\x8d\x8f\x90\x9d"
+
+
+def had_undecodable(c: Column | str) -> Column:
+    """True when the repair kept a byte that cp1252 cannot decode (the reference would have raised)."""
+    return _col(c).rlike("[" + CP1252_UNDEFINED + "]")
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # Composite cleaning
 

@@ -81,13 +81,16 @@ def token_ids(tokens: Column, vocab_size: int = 30522) -> Column:
 
 
 def mask_tokens(ids: Column, doc_key: Column, epoch: Column | int, p: float = 0.1, seed: int = 42,
-                mask_id: int = SPECIAL_IDS[MASK]) -> Column:
+                mask_id: int = SPECIAL_IDS[MASK], active_epochs: tuple[int, ...] | None = (0, 1)) -> Column:
     """Replace each id by ``mask_id`` with probability ``p``; CLS, SEP and PAD ids are protected.
 
+    Masking is a training-time augmentation of the first epochs only (``active_epochs``; None = every epoch).
     The coin is a seeded hash of (doc, position, epoch), so a rerun of a lost task reproduces the same mask.
     """
     protected = [SPECIAL_IDS[CLS], SPECIAL_IDS[SEP], SPECIAL_IDS[PAD]]
     ep = F.lit(epoch) if isinstance(epoch, int) else epoch
+    if isinstance(epoch, int) and active_epochs is not None and epoch not in active_epochs:
+        return ids
 
     def one(x, i):
         coin = F.pmod(F.xxhash64(F.lit(seed), doc_key, i, ep), F.lit(1_000_000)) / F.lit(1_000_000.0)

@@ -24,11 +24,19 @@ def _stats(spark, sf_dir, features="model"):
 
 @register("fit_columnwise")
 def fit_columnwise(spark, sf_dir):
-    """H1 + H5 (rows-only): per-target weights, one model capped at 0.35; KKT and optimality are tested."""
-    grams = H.collect_grams(_stats(spark, sf_dir), len(MODELS))
+    """H1 + H5 (rows-only): per-target weights, one model capped at 0.35; KKT and optimality are tested.
+
+    Two variants: ``unclipped`` (exact, from the Gram statistics) and ``clipped`` (blend clipped to [1, 5]
+    inside the objective, refined from the unclipped optimum by distributed candidate scoring)."""
+    t = Tables(spark, sf_dir)
+    design = H.wide_design(fx.oof_long(t), fx.essays(t), MODELS)
+    grams = H.collect_grams(H.gram_statistics(design), len(MODELS))
     fits = H.fit_columnwise(grams, MODELS, UPPER)
-    rows = [(t, m, float(w[i]), r) for t, (w, r) in fits.items() for i, m in enumerate(MODELS)]
-    return spark.createDataFrame(rows, "target string, model_id string, w double, rmse double")
+    lb, ub = H.bounds(MODELS, UPPER)
+    clipped = H.refine_clipped(design, {k: w for k, (w, _) in fits.items()}, lb, ub)
+    rows = [("unclipped", tg, m, float(w[i]), r) for tg, (w, r) in fits.items() for i, m in enumerate(MODELS)]
+    rows += [("clipped", tg, m, float(w[i]), r) for tg, (w, r) in clipped.items() for i, m in enumerate(MODELS)]
+    return spark.createDataFrame(rows, "variant string, target string, model_id string, w double, rmse double")
 
 
 @register("fit_modelwise")

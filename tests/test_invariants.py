@@ -326,3 +326,37 @@ def test_leaderboard_plan_stays_in_the_jvm(spark):
     import __spark_entry__ as entry
     plan = entry.queries()["leaderboard"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_clipped_refinement_never_worse(spark):
+    t = Tables(spark, SF_SMALL)
+    models = fx.MODEL_IDS
+    design = H.wide_design(fx.oof_long(t), fx.essays(t), models).cache()
+    grams = H.collect_grams(H.gram_statistics(design), len(models))
+    fits = H.fit_columnwise(grams, models)
+    lb, ub = H.bounds(models)
+    refined = H.refine_clipped(design, {k: w for k, (w, _) in fits.items()}, lb, ub, rounds=3)
+    pdf = design.toPandas()
+    for tgt, (w0, _) in fits.items():
+        part = pdf[pdf["grp"] == tgt]
+        x = part[[f"f{i}" for i in range(len(models))]].to_numpy()
+        y = part["y"].to_numpy()
+        clipped = lambda v: math.sqrt(np.mean((np.clip(x @ v, 1, 5) - y) ** 2))
+        w1, r1 = refined[tgt]
+        assert abs(clipped(w1) - r1) < 1e-9
+        assert r1 <= clipped(w0) + 1e-12
+        assert np.all(w1 >= lb - 1e-12) and np.all(w1 <= ub + 1e-12)
+    design.unpersist()
+
+
+def test_mask_tokens_only_in_early_epochs(spark):
+    df = spark.createDataFrame([("d", [1, 10, 11, 12, 2, 0])], "text_id string, ids array<int>")
+    late = df.select(K.mask_tokens(F.col("ids"), F.col("text_id"), 5, p=1.0).alias("m")).first()["m"]
+    early = df.select(K.mask_tokens(F.col("ids"), F.col("text_id"), 0, p=1.0).alias("m")).first()["m"]
+    assert late == [1, 10, 11, 12, 2, 0]
+    assert early == [1, 3, 3, 3, 2, 0]
+
+
+def test_had_undecodable_flag(spark):
+    assert _one(spark, "a\x81b", X.had_undecodable) is True
+    assert _one(spark, "abc", X.had_undecodable) is False
