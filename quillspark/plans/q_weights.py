@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import weights as H
+from ..session import pin
 from ..sources.tables import Tables
 from ..targets import TARGETS
 from . import fixtures as fx
@@ -29,7 +30,8 @@ def fit_columnwise(spark, sf_dir):
     Two variants: ``unclipped`` (exact, from the Gram statistics) and ``clipped`` (blend clipped to [1, 5]
     inside the objective, refined from the unclipped optimum by distributed candidate scoring)."""
     t = Tables(spark, sf_dir)
-    design = H.wide_design(fx.oof_long(t), fx.essays(t), MODELS)
+    # read by the Gram pass and by every refinement round: materialise once in the shared checkpoint folder
+    design = pin(H.wide_design(fx.oof_long(t), fx.essays(t), MODELS))
     grams = H.collect_grams(H.gram_statistics(design), len(MODELS))
     fits = H.fit_columnwise(grams, MODELS, UPPER)
     lb, ub = H.bounds(MODELS, UPPER)
