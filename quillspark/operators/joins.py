@@ -40,19 +40,20 @@ def restrict_population(df: DataFrame, population: DataFrame, id_col: str = "tex
     return df.join(keep, id_col, "left_semi")
 
 
-def alignment_audit(pred_ids: DataFrame, population: DataFrame, id_col: str = "text_id") -> DataFrame:
-    """Per model, rows, distinct ids, population ids without a prediction, extra ids, duplicates.
-
-    ``pred_ids`` has ``(model_id, id)``; it replaces the first/last-id sentinels of positional alignment.
-    """
+def alignment_audit(pred_ids: DataFrame, population: DataFrame, id_col: str = "text_id",
+                    by: list[str] | None = None) -> DataFrame:
+    """Per prediction file (``by``, default model), rows, distinct ids, population ids without a
+    prediction, extra ids, duplicates. ``pred_ids`` has ``(by..., id)``; it replaces the first/last-id
+    sentinels of positional alignment."""
+    by = by or ["model_id"]
     pop = population.select(id_col).distinct()
     n_pop = pop.select(F.count(F.lit(1))).scalar()
-    matched = pred_ids.join(pop, id_col, "left_semi").groupBy("model_id").agg(
+    matched = pred_ids.join(pop, id_col, "left_semi").groupBy(*by).agg(
         F.count_distinct(id_col).alias("_matched"))
-    per_model = pred_ids.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_rows"),
-                                                 F.count_distinct(id_col).alias("n_ids"))
-    out = per_model.join(matched, "model_id", "left").fillna(0, ["_matched"])
-    return out.select("model_id", "n_rows", "n_ids",
+    per_model = pred_ids.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"),
+                                         F.count_distinct(id_col).alias("n_ids"))
+    out = per_model.join(matched, by, "left").fillna(0, ["_matched"])
+    return out.select(*by, "n_rows", "n_ids",
                       (n_pop - F.col("_matched")).alias("n_missing"),
                       (F.col("n_ids") - F.col("_matched")).alias("n_extra"),
                       (F.col("n_rows") - F.col("n_ids")).alias("n_dup"))

@@ -275,15 +275,15 @@ def restrict_population(spark, sf_dir):
 
 
 @register("alignment_audit", sql=f"WITH {essays_cte()}\n" + " UNION ALL ".join(
-    f"SELECT '{m}' AS model_id, count(*) AS n_rows, count(DISTINCT text_id) AS n_ids, "
+    f"SELECT '{m}' AS model_id, cast(k AS int) AS fold, count(*) AS n_rows, count(DISTINCT text_id) AS n_ids, "
     f"(SELECT count(*) FROM essays) - count(DISTINCT text_id) AS n_missing, cast(0 AS bigint) AS n_extra, "
-    f"cast(0 AS bigint) AS n_dup FROM essays WHERE {gap_filter(m)}" for m in MODELS))
+    f"cast(0 AS bigint) AS n_dup FROM essays, range(5) r(k) WHERE {gap_filter(m)} GROUP BY k" for m in MODELS))
 def alignment_audit(spark, sf_dir):
-    """Fold-0 pseudo-label file of every model against the previous population."""
+    """Every (model, fold) pseudo-label file against the previous population."""
     t = Tables(spark, sf_dir)
     e = fx.essays(t)
-    ids = fx.pseudo_long(e, n_folds=1).filter(F.col("target") == TARGETS[0]).select("model_id", "text_id")
-    return J.alignment_audit(ids, e)
+    ids = fx.pseudo_long(e).filter(F.col("target") == TARGETS[0]).select("model_id", "fold", "text_id")
+    return J.alignment_audit(ids, e, by=["model_id", "fold"])
 
 
 _mw_cols, _mw_from = _blend_sql(_mw, "fold, text_id", clip=False)
