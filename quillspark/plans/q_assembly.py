@@ -9,7 +9,8 @@ from ..operators import joins as J
 from ..sources.tables import Tables
 from ..targets import TARGETS
 from . import fixtures as fx
-from .q_blend import MODELS, _blend_sql, _k_model_cte, _mw, sql_clip
+from .q_blend import MODELS
+from .sqlparts import blend_sql, fold_model_cte, modelwise_w, sql_clip
 from .registry import register, rounded
 from .sqlparts import current_cte, essays_cte, known_cte
 
@@ -44,9 +45,9 @@ def _prev_pseudo_wide(spark, t, k=K_VALID):
     return J.attach_text(G.blend(pl, fx.modelwise_weights(spark), ["text_id"]), e)
 
 
-_CURR_P = _k_model_cte("cp", "model21", "curr", k_fixed=K_VALID)
-_PREV_M = ",\n".join(_k_model_cte(f"m{i}", m, "essays", k_fixed=K_VALID) for i, m in enumerate(MODELS))
-_pb_cols, _pb_from = _blend_sql(_mw, "text_id", clip=False)
+_CURR_P = fold_model_cte("cp", "model21", "curr", k_fixed=K_VALID)
+_PREV_M = ",\n".join(fold_model_cte(f"m{i}", m, "essays", k_fixed=K_VALID) for i, m in enumerate(MODELS))
+_pb_cols, _pb_from = blend_sql(modelwise_w, "text_id", clip=False)
 _pb_cols = _pb_cols.replace("round(", "(").replace(", 6) AS", ") AS")  # keep full precision inside the CTE
 _PREV_BLEND = f"pb AS (SELECT m0.text_id, {_pb_cols} {_pb_from})"
 BASE = f"WITH {essays_cte()},\n{current_cte()},\n{_CURR_P},\n{_PREV_M},\n{_PREV_BLEND}\n"

@@ -12,64 +12,16 @@ from ..sources.tables import Tables
 from ..targets import TARGETS
 from . import fixtures as fx
 from .registry import register, rounded
-from .sqlparts import (columnwise_weight, current_cte, essays_cte, gap_filter, long_oof_cte, model_params,
-                       modelwise_weight)
+from .sqlparts import (blend_sql, columnwise_w, columnwise_weight, current_cte, essays_cte, fold_model_cte,
+                       gap_filter, long_oof_cte, modelwise_w, oof_model_cte, sql_clip, sql_float)
 
 MODELS = fx.MODEL_IDS
 NORMALISED_WEIGHTS = [0.5, 0.25, 0.15, 0.35]
 SPLICE = {0: "model2", 1: "model17", 2: "model21", 3: "model17", 4: "model17"}
 
 
-def _lit(x: float) -> str:
-    return f"{x!r}e0"
-
-
-def _k_model_cte(name: str, model: str, source: str, k_fixed: int | None = None) -> str:
-    """SQL: one model's pseudo predictions per fold model k (all five, or one fixed k), wide."""
-    a, c = model_params(model)
-    cols = ", ".join(f"{t} + ((doc_id * {a} + 31 * {j} + 7 * k) % 201 - 100) * {c}e-3 AS {t}"
-                     for j, t in enumerate(TARGETS))
-    src = (f"(SELECT *, r.k AS k FROM {source}, range(5) r(k))" if k_fixed is None
-           else f"(SELECT *, {k_fixed} AS k FROM {source})")
-    return f"{name} AS (SELECT cast(k AS int) AS fold, text_id, doc_id, {cols} FROM {src} WHERE {gap_filter(model)})"
-
-
-def _oof_model_cte(name: str, model: str, source: str = "essays") -> str:
-    a, c = model_params(model)
-    cols = ", ".join(f"{t} + ((doc_id * {a} + 31 * {j}) % 201 - 100) * {c}e-3 AS {t}"
-                     for j, t in enumerate(TARGETS))
-    return f"{name} AS (SELECT fold, text_id, doc_id, {cols} FROM {source} WHERE {gap_filter(model)})"
-
-
-def _blend_sql(weight_of, keys: str, clip: bool, norm: float | None = None, from_alias: str = "m0") -> str:
-    """Weighted sum over the model CTEs m0..m3 joined on ``keys`` (LEFT from m0 = model2, complete)."""
-    cols = []
-    for t in TARGETS:
-        s = " + ".join(f"{_lit(weight_of(m, t))} * m{i}.{t}" for i, m in enumerate(MODELS))
-        if norm is not None:
-            s = f"({s}) / {_lit(norm)}"
-        if clip:
-            s = sql_clip(s)
-        cols.append(f"round({s}, 6) AS {t}")
-    joins = " ".join(f"LEFT JOIN m{i} USING ({keys})" for i in range(1, len(MODELS)))
-    return ", ".join(cols), f"FROM m0 {joins}"
-
-
-def sql_clip(expr: str) -> str:
-    """Clip to [1, 5] keeping NULL and NaN (greatest/least alone would turn NULL into a bound)."""
-    return f"CASE WHEN ({expr}) IS NULL OR isnan({expr}) THEN ({expr}) ELSE least(5e0, greatest(1e0, {expr})) END"
-
-
-def _mw(m, t):
-    return modelwise_weight(m)
-
-
-def _cw(m, t):
-    return columnwise_weight(m, t)
-
-
-_PSEUDO_MODELS = ",\n".join(_k_model_cte(f"m{i}", m, "essays") for i, m in enumerate(MODELS))
-_prev_cols, _prev_from = _blend_sql(_mw, "fold, text_id", clip=False)
+_PSEUDO_MODELS = ",\n".join(fold_model_cte(f"m{i}", m, "essays") for i, m in enumerate(MODELS))
+_prev_cols, _prev_from = blend_sql(modelwise_w, "fold, text_id", clip=False)
 
 
 @register("blend_modelwise", sql=f"WITH {essays_cte()},\n{_PSEUDO_MODELS}\n"
@@ -87,8 +39,8 @@ def _prev_pseudo(spark, sf_dir):
 
 
 _PREV_SRC = "prevpop AS (SELECT * FROM essays WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
-_PSEUDO_PREV = ",\n".join(_k_model_cte(f"m{i}", m, "prevpop") for i, m in enumerate(MODELS))
-_cw_cols, _cw_from = _blend_sql(_cw, "fold, text_id", clip=True)
+_PSEUDO_PREV = ",\n".join(fold_model_cte(f"m{i}", m, "prevpop") for i, m in enumerate(MODELS))
+_cw_cols, _cw_from = blend_sql(columnwise_w, "fold, text_id", clip=True)
 
 
 @register("blend_columnwise", sql=f"WITH {essays_cte()},\n{_PREV_SRC},\n{_PSEUDO_PREV}\n"
@@ -102,10 +54,10 @@ def blend_columnwise(spark, sf_dir):
     return rounded(J.attach_text(blended, e))
 
 
-_cur_cols, _cur_from = _blend_sql(_cw, "fold, text_id", clip=True)
+_cur_cols, _cur_from = blend_sql(columnwise_w, "fold, text_id", clip=True)
 # every fold model k reads fold 0: k is fixed to 0 in the predictions, the output fold is the loop variable.
 _CURR_SQL = (f"WITH {essays_cte()},\n{current_cte()},\n"
-             + ",\n".join(_oof_model_cte(f"m{i}", m, "(SELECT * REPLACE (cast(0 AS int) AS fold) FROM curr)")
+             + ",\n".join(oof_model_cte(f"m{i}", m, "(SELECT * REPLACE (cast(0 AS int) AS fold) FROM curr)")
                           for i, m in enumerate(MODELS))
              + f"\nSELECT cast(r.f AS int) AS fold, b.* EXCLUDE (fold) FROM (SELECT m0.fold, m0.text_id, {_cur_cols}, "
                f"e.full_text {_cur_from} LEFT JOIN essays e ON e.text_id = m0.text_id) b, range(5) r(f)")
@@ -122,8 +74,8 @@ def blend_current(spark, sf_dir):
     return rounded(out.select(F.col("_f").cast("int").alias("fold"), "text_id", *TARGETS, "full_text"))
 
 
-_OOF_M = ",\n".join(_oof_model_cte(f"m{i}", m) for i, m in enumerate(MODELS))
-_n_cols, _n_from = _blend_sql(lambda m, t: NORMALISED_WEIGHTS[MODELS.index(m)], "text_id", clip=False,
+_OOF_M = ",\n".join(oof_model_cte(f"m{i}", m) for i, m in enumerate(MODELS))
+_n_cols, _n_from = blend_sql(lambda m, t: NORMALISED_WEIGHTS[MODELS.index(m)], "text_id", clip=False,
                               norm=sum(NORMALISED_WEIGHTS))
 
 
@@ -136,7 +88,7 @@ def blend_normalised(spark, sf_dir):
 
 
 @register("fold_mean", sql=f"WITH {essays_cte()},\n{current_cte()},\n"
-          + ",\n".join(_k_model_cte(f"m{i}", m, "curr") for i, m in enumerate(MODELS)) + "\n"
+          + ",\n".join(fold_model_cte(f"m{i}", m, "curr") for i, m in enumerate(MODELS)) + "\n"
           + " UNION ALL ".join(
               f"SELECT '{m}' AS model_id, text_id, '{t}' AS target, round(avg({t}), 6) AS pred FROM m{i} "
               f"GROUP BY text_id HAVING count(*) = 5" for i, m in enumerate(MODELS) for t in TARGETS))
@@ -159,7 +111,7 @@ def _stacked_weight(model: str, target: str, source: str) -> float:
 
 
 _STACK_COLS = ", ".join(
-    "round(" + " + ".join(f"{_lit(_stacked_weight(m, t, s))} * m{i}.{s}" for i, m in enumerate(MODELS)
+    "round(" + " + ".join(f"{sql_float(_stacked_weight(m, t, s))} * m{i}.{s}" for i, m in enumerate(MODELS)
                           for s in TARGETS) + f", 6) AS {t}" for t in TARGETS)
 
 
@@ -172,7 +124,7 @@ def blend_stacked(spark, sf_dir):
     return rounded(G.blend_stacked(fx.oof_long(t).drop("fold"), w, ["text_id"]))
 
 
-_bp_cols, _bp_from = _blend_sql(_cw, "text_id", clip=True)
+_bp_cols, _bp_from = blend_sql(columnwise_w, "text_id", clip=True)
 
 
 @register("blend_predict", sql=f"WITH {essays_cte()},\n{_OOF_M}\nSELECT m0.text_id, {_bp_cols} {_bp_from}")
@@ -233,9 +185,9 @@ def importance_over_runs(spark, sf_dir):
 
 
 @register("weights_audit", sql=f"WITH {essays_cte()},\n{_OOF_M}\n" + " UNION ALL ".join(
-    f"SELECT '{t}' AS target, round({' + '.join(_lit(columnwise_weight(m, t)) for m in MODELS)}, 6) AS sum_w, "
-    f"round(sqrt(avg(({' + '.join(f'{_lit(columnwise_weight(m, t))} * m{i}.{t}' for i, m in enumerate(MODELS))} "
-    f"- e.{t}) * ({' + '.join(f'{_lit(columnwise_weight(m, t))} * m{i}.{t}' for i, m in enumerate(MODELS))} - e.{t}))), 6)"
+    f"SELECT '{t}' AS target, round({' + '.join(sql_float(columnwise_weight(m, t)) for m in MODELS)}, 6) AS sum_w, "
+    f"round(sqrt(avg(({' + '.join(f'{sql_float(columnwise_weight(m, t))} * m{i}.{t}' for i, m in enumerate(MODELS))} "
+    f"- e.{t}) * ({' + '.join(f'{sql_float(columnwise_weight(m, t))} * m{i}.{t}' for i, m in enumerate(MODELS))} - e.{t}))), 6)"
     f" AS rmse FROM m0 " + " ".join(f"JOIN m{i} USING (text_id)" for i in range(1, 4))
     + " JOIN essays e USING (text_id)" for t in TARGETS))
 def weights_audit(spark, sf_dir):
@@ -264,7 +216,7 @@ def merged_predictions(spark, sf_dir):
 
 
 @register("restrict_population", sql=f"WITH {essays_cte()},\n"
-          + ",\n".join(_k_model_cte(f"m{i}", m, "essays") for i, m in enumerate(MODELS)) + "\n"
+          + ",\n".join(fold_model_cte(f"m{i}", m, "essays") for i, m in enumerate(MODELS)) + "\n"
           + " UNION ALL ".join(f"SELECT '{m}' AS model_id, fold, text_id, '{t}' AS target, round({t}, 6) AS pred "
                                f"FROM m{i} WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
                                for i, m in enumerate(MODELS) for t in TARGETS))
@@ -286,7 +238,7 @@ def alignment_audit(spark, sf_dir):
     return J.alignment_audit(ids, e, by=["model_id", "fold"])
 
 
-_mw_cols, _mw_from = _blend_sql(_mw, "fold, text_id", clip=False)
+_mw_cols, _mw_from = blend_sql(modelwise_w, "fold, text_id", clip=False)
 
 
 @register("attach_text", sql=f"WITH {essays_cte()},\n{_PSEUDO_MODELS}\n"
@@ -300,7 +252,7 @@ def attach_text(spark, sf_dir):
 
 
 @register("average_labels", sql=f"WITH {essays_cte()},\n{current_cte()},\n"
-          + _k_model_cte("p", "exp02_fb3", "curr", k_fixed=0) + "\n"
+          + fold_model_cte("p", "exp02_fb3", "curr", k_fixed=0) + "\n"
           + f"SELECT c.text_id, {', '.join(f'round((c.{t} + p.{t}) / 2, 6) AS {t}' for t in TARGETS)} "
             "FROM curr c LEFT JOIN (SELECT * FROM p WHERE fold = 0) p ON p.text_id = c.text_id")
 def average_labels(spark, sf_dir):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import weights as H
 from ..session import pin
 from ..sources.tables import Tables
 from ..targets import TARGETS
 from . import fixtures as fx
-from .q_blend import MODELS, _oof_model_cte
+from .q_blend import MODELS
+from .sqlparts import oof_model_cte
 from .registry import register, rounded
 from .sqlparts import essays_cte
 
@@ -76,7 +76,7 @@ def _trial_table(spark):
     return spark.createDataFrame(rows, "trial int, i int, w double")
 
 
-_M = ",\n".join(_oof_model_cte(f"m{i}", m) for i, m in enumerate(MODELS))
+_M = ",\n".join(oof_model_cte(f"m{i}", m) for i, m in enumerate(MODELS))
 _J = ("j AS (SELECT e.text_id, " + ", ".join(f"e.{t} AS y_{t}" for t in TARGETS) + ", "
       + ", ".join(f"m{i}.{t} AS p{i}_{t}" for i in range(len(MODELS)) for t in TARGETS)
       + " FROM essays e " + " ".join(f"JOIN m{i} USING (text_id)" for i in range(len(MODELS))) + ")")

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import PLACEHOLDER_MARKERS
 from ..targets import TARGETS
-from .fixtures import FIXTURE_MODELS, GAP_MOD, GAPPY_MODEL, MODEL_WEIGHTS, TARGET_PQ
-
-T = TARGETS
-
+from .fixtures import FIXTURE_MODELS, GAP_MOD, GAPPY_MODEL, MODEL_IDS as FIXTURE_MODEL_IDS, MODEL_WEIGHTS, TARGET_PQ
 
 def essays_cte() -> str:
     cols = ",\n    ".join(
@@ -99,5 +96,51 @@ def placeholder_case(col: str = "doc_id") -> str:
     return f"CASE {col} % 16 {whens} END"
 
 
-def r6(expr: str) -> str:
-    return f"round({expr}, 6)"
+# --- wide per-model CTEs and blends (the SQL side is written wide on purpose) ----------------------------
+
+def sql_float(x: float) -> str:
+    return f"{x!r}e0"
+
+
+def fold_model_cte(name: str, model: str, source: str, k_fixed: int | None = None) -> str:
+    """SQL: one model's pseudo predictions per fold model k (all five, or one fixed k), wide."""
+    a, c = model_params(model)
+    cols = ", ".join(f"{t} + ((doc_id * {a} + 31 * {j} + 7 * k) % 201 - 100) * {c}e-3 AS {t}"
+                     for j, t in enumerate(TARGETS))
+    src = (f"(SELECT *, r.k AS k FROM {source}, range(5) r(k))" if k_fixed is None
+           else f"(SELECT *, {k_fixed} AS k FROM {source})")
+    return f"{name} AS (SELECT cast(k AS int) AS fold, text_id, doc_id, {cols} FROM {src} WHERE {gap_filter(model)})"
+
+
+def oof_model_cte(name: str, model: str, source: str = "essays") -> str:
+    a, c = model_params(model)
+    cols = ", ".join(f"{t} + ((doc_id * {a} + 31 * {j}) % 201 - 100) * {c}e-3 AS {t}"
+                     for j, t in enumerate(TARGETS))
+    return f"{name} AS (SELECT fold, text_id, doc_id, {cols} FROM {source} WHERE {gap_filter(model)})"
+
+
+def blend_sql(weight_of, keys: str, clip: bool, norm: float | None = None, from_alias: str = "m0") -> str:
+    """Weighted sum over the model CTEs m0..m3 joined on ``keys`` (LEFT from m0 = model2, complete)."""
+    cols = []
+    for t in TARGETS:
+        s = " + ".join(f"{sql_float(weight_of(m, t))} * m{i}.{t}" for i, m in enumerate(FIXTURE_MODEL_IDS))
+        if norm is not None:
+            s = f"({s}) / {sql_float(norm)}"
+        if clip:
+            s = sql_clip(s)
+        cols.append(f"round({s}, 6) AS {t}")
+    joins = " ".join(f"LEFT JOIN m{i} USING ({keys})" for i in range(1, len(FIXTURE_MODEL_IDS)))
+    return ", ".join(cols), f"FROM m0 {joins}"
+
+
+def sql_clip(expr: str) -> str:
+    """Clip to [1, 5] keeping NULL and NaN (greatest/least alone would turn NULL into a bound)."""
+    return f"CASE WHEN ({expr}) IS NULL OR isnan({expr}) THEN ({expr}) ELSE least(5e0, greatest(1e0, {expr})) END"
+
+
+def modelwise_w(m, t):
+    return modelwise_weight(m)
+
+
+def columnwise_w(m, t):
+    return columnwise_weight(m, t)

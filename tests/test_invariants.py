@@ -11,7 +11,6 @@ from quillspark.functions import tokens as K
 from quillspark.operators import batching as B
 from quillspark.operators import ensemble as G
 from quillspark.operators import folds as D
-from quillspark.operators import metrics as M
 from quillspark.operators import positions as POS
 from quillspark.operators import scoring as SC
 from quillspark.operators import weights as H
