@@ -249,51 +249,62 @@ def dirichlet_trials(spark, n_models: int, n_trials: int, seed: int) -> DataFram
 
 
 def refine_clipped(design: DataFrame, start: dict[str, np.ndarray], lb: np.ndarray, ub: np.ndarray,
-                   rounds: int = 6, step: float = 0.05, lo: float = 1.0, hi: float = 5.0):
+                   rounds: int = 3, steps: tuple[float, ...] = (0.04, 0.01, 0.0025), lo: float = 1.0,
+                   hi: float = 5.0):
     """H1, class version: the blend is clipped to [lo, hi] inside the objective, which is no longer quadratic.
 
-    Start from the Gram optimum; every round scores, for all targets at once, the current vector and a ±step
-    move along each coordinate (2M + 1 candidates per target) in one distributed pass — each row expands into
-    its candidates' clipped squared errors, summed by a partial aggregate — then keeps the best candidate and
-    halves the step when none improves. Returns ``{target: (weights, clipped rmse)}``.
+    Start from the Gram optimum; every round scores, for all targets at once, the current vector and ±s moves
+    along each coordinate for every step size s (2·M·|steps| + 1 candidates per target) in one distributed
+    pass — each row expands into its candidates' clipped squared errors, summed by a partial aggregate — then
+    keeps the best candidate; the steps shrink by 4 when none improves. Returns
+    ``{target: (weights, clipped rmse)}``.
     """
     names = sorted((c for c in design.columns if c.startswith("f") and c[1:].isdigit()), key=lambda c: int(c[1:]))
     m = len(names)
     cur = {t: np.asarray(w, dtype=float) for t, w in start.items()}
-    steps = {t: step for t in cur}
+    scale = {t: 1.0 for t in cur}
     best_rmse: dict[str, float] = {}
-    feats = F.array(*[F.col(c) for c in names])
+    src = design.select("grp", *names, "y")
     for _ in range(rounds):
-        cands = {}
+        cands: dict[str, np.ndarray] = {}
         for t, w in cur.items():
             cs = [w]
-            for i in range(m):
-                for sgn in (1.0, -1.0):
-                    v = w.copy()
-                    v[i] = min(max(v[i] + sgn * steps[t], lb[i]), ub[i])
-                    cs.append(v)
-            cands[t] = cs
-        per_grp = None
-        for t, cs in cands.items():
-            lit = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in cs])
-            per_grp = F.when(F.col("grp") == t, lit) if per_grp is None else per_grp.when(F.col("grp") == t, lit)
-
-        def clipped_se(wv):
-            blend = F.aggregate(F.zip_with(wv, feats, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-            err = F.least(F.lit(hi), F.greatest(F.lit(lo), blend)) - F.col("y")
-            return err * err
-
-        scored = (design.filter(F.col("grp").isin(list(cands)))
-                  .select("grp", F.posexplode(F.transform(per_grp, clipped_se)).alias("c", "se"))
-                  .groupBy("grp", "c").agg(F.sum("se").alias("sse"), F.count(F.lit(1)).alias("n")))
-        rows = collect_small(scored, limit=len(cands) * (2 * m + 1) + 1)
+            for st in steps:
+                for i in range(m):
+                    for sgn in (1.0, -1.0):
+                        v = w.copy()
+                        v[i] = min(max(v[i] + sgn * st * scale[t], lb[i]), ub[i])
+                        cs.append(v)
+            cands[t] = np.vstack(cs)
+        scored = src.mapInPandas(_clipped_sse(cands, names, lo, hi), "grp string, c int, sse double, n long")
+        totals = scored.groupBy("grp", "c").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+        rows = collect_small(totals, limit=sum(len(v) for v in cands.values()) + 1)
         by: dict[str, list] = {}
         for r in rows:
             by.setdefault(r["grp"], []).append((r["sse"], r["c"], r["n"]))
         for t, lst in by.items():
             sse, c, n = min(lst, key=lambda x: (x[0], x[1]))
             if c == 0:
-                steps[t] /= 2
+                scale[t] /= 4
             cur[t] = cands[t][c]
             best_rmse[t] = float(np.sqrt(sse / n))
     return {t: (cur[t], best_rmse[t]) for t in cur}
+
+
+def _clipped_sse(cands: dict[str, np.ndarray], names: list[str], lo: float, hi: float):
+    """Per Arrow batch: clipped squared error of every candidate (X·Wᵀ with numpy), one row per candidate."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str, np.ndarray] = {}
+        cnt: dict[str, int] = {}
+        for pdf in batches:
+            for grp, part in pdf.groupby("grp", sort=False):
+                if grp not in cands:
+                    continue
+                x = part[names].to_numpy(dtype=np.float64)
+                err = np.clip(x @ cands[grp].T, lo, hi) - part["y"].to_numpy(dtype=np.float64)[:, None]
+                acc[grp] = acc.get(grp, 0.0) + (err * err).sum(axis=0)
+                cnt[grp] = cnt.get(grp, 0) + len(part)
+        for grp, sse in acc.items():
+            yield pd.DataFrame({"grp": grp, "c": np.arange(len(sse), dtype="int32"), "sse": sse,
+                                "n": np.full(len(sse), cnt[grp], dtype="int64")})
+    return run
