@@ -23,10 +23,11 @@ _IDX_MASK = (1 << 33) - 1
 
 
 def _ranged(df: DataFrame, group_cols: list[str], order_cols: list, num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Range partitions in key order. Without an explicit count AQE sizes them from the data (coalescing keeps
+    neighbouring ranges together, so partition ids stay in key order)."""
     keys = [*group_cols, *order_cols]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    parted = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = (parted.sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_IDX_MASK))))
     return pin(ranged)

@@ -39,8 +39,12 @@ def rollup(rows: DataFrame, window: str = "1 day") -> DataFrame:
 
 def run_metric_stream(spark: SparkSession, source_path: str, schema: T.StructType, sink_path: str | None = None,
                       checkpoint: str | None = None, watermark: str = "1 hour", window: str = "1 day",
-                      max_files_per_trigger: int | None = None) -> str:
-    """Run the stream over everything available now (``availableNow``), return the sink path."""
+                      max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> str:
+    """Run the stream over everything available now (``availableNow``), return the sink path.
+
+    The state store gets ``state_partitions`` partitions (default: the cluster's parallelism). Spark fixes that
+    number from ``spark.sql.shuffle.partitions`` when a query first starts, so it is set for the start only.
+    """
     sink_path = sink_path or scratch_path(spark, "metric-sink")
     checkpoint = checkpoint or scratch_path(spark, "metric-ckpt")
     reader = spark.readStream.schema(schema)
@@ -53,8 +57,14 @@ def run_metric_stream(spark: SparkSession, source_path: str, schema: T.StructTyp
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
               .write.mode("append").partitionBy("batch_id").parquet(sink_path))
 
-    query = (agg.writeStream.outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        query = (agg.writeStream.outputMode("update").foreachBatch(sink)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     query.awaitTermination()
     return sink_path
 

@@ -359,3 +359,14 @@ def test_mask_tokens_only_in_early_epochs(spark):
 def test_had_undecodable_flag(spark):
     assert _one(spark, "a\x81b", X.had_undecodable) is True
     assert _one(spark, "abc", X.had_undecodable) is False
+
+
+def test_positions_with_aqe_sized_partitions(spark):
+    """Default path: range partitions sized by AQE (coalesced) still give exact positions."""
+    rows = [("hot" if i % 3 else f"k{i % 5}", (i * 37) % 211, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, o int, id int").repartition(7)
+    got = POS.attach_positions(df, ["o", "id"], ["g"]).toPandas()
+    pdf = df.toPandas().sort_values(["g", "o", "id"])
+    pdf["want"] = pdf.groupby("g").cumcount()
+    m = got.merge(pdf, on=["g", "o", "id"])
+    assert (m["pos"] == m["want"]).all() and len(m) == 5000
