@@ -40,8 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     cleaning, tokenising) onto one core. Only then is a round-robin repartition added; a large table already has
     many splits and is left alone, so no extra shuffle appears at scale.
     """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= parallelism:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): leave the scan as it is
         return df
     return df.repartition(parallelism)
 
