@@ -115,6 +115,11 @@ _SINGLE = [(k, v) for k, v in ASCII_FOLD.items() if len(v) == 1]
 _SINGLE_FROM = "".join(k for k, _ in _SINGLE)
 _SINGLE_TO = "".join(v for _, v in _SINGLE)
 _MULTI_CLASS = "[" + "".join(k for k, _ in _MULTI) + "]"
+# Characters the fixed table does not cover: C1 controls and everything above U+00FF except the cp1252 block.
+# Written as ranges ∩ (not the few exceptions): Latin-1 text fails the range test at once (a negated class
+# listing every table key is evaluated char by char against each key and is an order of magnitude slower).
+_EXOTIC_CLASS = ("[\\x{80}-\\x{9f}\\x{100}-\\x{10ffff}&&[^"
+                 + "".join(k for k in ASCII_FOLD if ord(k) > 0xFF) + "]]")
 
 
 def _nfkd_ascii(s: str) -> str:
@@ -137,12 +142,15 @@ def _nfkd_ascii_udf(s: pd.Series) -> pd.Series:
 def ascii_fold(c: Column | str, exotic_fallback: bool = True) -> Column:
     c = _col(c)
     multi = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _MULTI, c)
-    # one regex scan decides whether the multi-character renderings (ß → ss, Æ → AE, …) are needed at all
-    folded = F.translate(F.when(c.rlike(_MULTI_CLASS), multi).otherwise(c), _SINGLE_FROM, _SINGLE_TO)
+    # one regex scan decides whether the multi-character renderings (ß → ss, Æ → AE, …) are needed at all,
+    # and pure-ASCII rows skip the per-character translate entirely
+    single = F.translate(F.when(c.rlike(_MULTI_CLASS), multi).otherwise(c), _SINGLE_FROM, _SINGLE_TO)
+    folded = F.when(c.rlike(NON_ASCII), single).otherwise(c)
     if not exotic_fallback:
         return folded
-    # Only rows still carrying non-ASCII text are sent to Python; the rest are NULL for the UDF (cheap).
-    return F.coalesce(_nfkd_ascii_udf(F.when(folded.rlike(NON_ASCII), folded)), folded)
+    # Rows holding a character outside the fixed table are folded wholly in Python (table + NFKD); the UDF
+    # gets the original text, so the native fold above is computed once, for the other rows only.
+    return F.coalesce(_nfkd_ascii_udf(F.when(c.rlike(_EXOTIC_CLASS), c)), folded)
 
 
 # ---------------------------------------------------------------------------------------------------------------

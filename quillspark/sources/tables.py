@@ -17,6 +17,14 @@ ESSAY_SCHEMA = T.StructType(
 )
 
 
+# Scaling runs only (set by bench.py): N shifted copies of every table, derived by Spark from the given tables.
+REPLICATE_CONF = "spark.quillspark.bench.replicate"
+# id columns shifted per copy so that copies never collide; other columns are kept
+_ID_COLUMNS = {"documents": ["doc_id"], "labels": ["doc_id"], "events": ["event_id", "user_id"],
+               "embeddings": ["vec_id"], "benchmark": ["item_id"], "pages": ["page_id"], "conversations": ["conv_id"]}
+_COPY_OFFSET = 1_000_000_000
+
+
 class Tables:
     """Lazy access to the parquet tables of one data folder: ``Tables(spark, dir).documents``."""
 
@@ -24,15 +32,27 @@ class Tables:
         self.spark = spark
         self.root = root.rstrip("/")
         self._cache: dict[str, DataFrame] = {}
+        self.copies = int(spark.conf.get(REPLICATE_CONF, "1") or "1")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._cache:
-            self._cache[name] = spread(self.spark.read.parquet(f"{self.root}/{name}.parquet"))
+            df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            if self.copies > 1 and name in _ID_COLUMNS:
+                df = replicate(df, _ID_COLUMNS[name], self.copies)
+            self._cache[name] = spread(df)
         return self._cache[name]
 
 
+def replicate(df: DataFrame, id_cols: list[str], copies: int) -> DataFrame:
+    """``copies`` copies of a table with shifted ids (a bounded generator, for scaling measurements)."""
+    out = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    for c in id_cols:
+        out = out.withColumn(c, F.col(c) + F.col("_copy").cast("long") * F.lit(_COPY_OFFSET))
+    return out.drop("_copy")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core.
 
