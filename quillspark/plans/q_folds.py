@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from ..functions import tokens as K
 from ..operators import folds as D
+from ..session import pin
 from ..sources.tables import Tables
 from ..targets import TARGETS
 from . import fixtures as fx
@@ -32,7 +33,7 @@ def strat_folds(spark, sf_dir):
 @register("balanced_folds")
 def balanced_folds(spark, sf_dir):
     """D2 (rows-only): targets plus 50-quantile bins of the token counts as eight stratification labels."""
-    c = _counts(spark, sf_dir)
+    c = pin(_counts(spark, sf_dir))  # read by the two edge aggregates, the histogram and the join: tokenise once
     c = D.qcut_bins(D.qcut_bins(c, "n_token", _Q, "n_token_bin"), "nunique_token", _Q, "nutoken_bin")
     out = D.stratified_folds(c, [*TARGETS, "n_token_bin", "nutoken_bin"], seed=42)
     return out.select("text_id", "n_token", "nunique_token", "n_token_bin", "nutoken_bin", "fold")
