@@ -370,3 +370,19 @@ def test_positions_with_aqe_sized_partitions(spark):
     pdf["want"] = pdf.groupby("g").cumcount()
     m = got.merge(pdf, on=["g", "o", "id"])
     assert (m["pos"] == m["want"]).all() and len(m) == 5000
+
+
+def test_spread_is_a_no_op_for_wide_scans(spark):
+    from quillspark.sources.tables import spread
+    wide = spark.range(1000).repartition(spark.sparkContext.defaultParallelism * 2)
+    assert spread(wide) is wide
+    narrow = spark.range(1000).coalesce(1)
+    assert "RoundRobinPartitioning" in spread(narrow)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blend_plan_broadcasts_weights_and_shuffles_once(spark):
+    preds = _preds(spark, [(f"m{j}", f"t{i}", t, 1.0) for i in range(20) for j in range(3) for t in TARGETS])
+    w = _w(spark, [(f"m{j}", t, 0.5) for j in range(3) for t in TARGETS])
+    plan = G.blend(preds, w, ["text_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
