@@ -304,7 +304,7 @@ def test_score_batch_equals_closed_form(spark):
 
 def test_fold_fit_oof_no_row_scored_by_a_model_that_saw_it(spark):
     cur = fx.current_population(Tables(spark, SF_SMALL)).select("text_id", "full_text", "fold", *TARGETS)
-    # a label that is a pure function of a unique id token: a model that saw the row would fit it closely
+    # every labelled row comes back exactly once, predicted by the model fitted without its own fold
     oof, _ = SC.fold_fit_oof(cur, num_features=256, reg=0.1)
     rows = oof.join(cur.select("text_id", F.col("fold").alias("true_fold")), "text_id").collect()
     assert len(rows) == cur.count()
