@@ -19,6 +19,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of DataFrames that are no longer referenced are deleted by the context cleaner
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # PySpark captures the Python call site of every Column function for error messages; that costs a py4j
     # round trip per call when plans are built. Off for the sessions made here; a caller's session is untouched.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
