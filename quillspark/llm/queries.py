@@ -34,10 +34,10 @@ def register(name: str, sql: str | None = None):
 
 @register("op1_ngram_jaccard_join", f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_transform({_WORDS}, x -> {_FOLD.format('x')}) AS w FROM documents
+  SELECT doc_id, list_transform({_WORDS}, lambda x: {_FOLD.format('x')}) AS w FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))) END AS g FROM d
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM d
 ), n AS (
   SELECT doc_id, len(g)::BIGINT AS n FROM s
 ), e AS (
