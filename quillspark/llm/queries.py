@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, ngram_join, packing, quality
+from . import chat, langid, lines, mixing, neighbours, ngram_join, packing, quality, spans, suffixes
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,36 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=4, num=85, den=100)
 
 
+@register("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(read(spark, sf_dir, "documents"), length=400, digest=True)
+
+
+@register("op3_chat_formatting", """
+WITH t AS (
+  SELECT conv_id, list([coalesce(role, 'user'), coalesce(text, '')] ORDER BY turn, role, text) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), w AS (
+  SELECT conv_id, ts, md5(ts::VARCHAR) AS whole FROM t
+), p AS (
+  SELECT DISTINCT md5(ts[1:n]::VARCHAR) AS whole FROM (SELECT ts, unnest(range(1, len(ts))) AS n FROM t)
+), f AS (
+  SELECT whole, min(conv_id) AS conv_id, count(*)::BIGINT AS n_logged FROM w GROUP BY whole
+)
+SELECT conv_id, len(ts)::BIGINT AS n_turns, n_logged,
+  array_to_string(list_transform(ts, lambda x: '<|' || x[1] || '|>' || chr(10) || x[2] || chr(10) || '<|end|>' || chr(10)), '')
+    AS rendered
+FROM f JOIN w USING (conv_id, whole) WHERE whole NOT IN (SELECT whole FROM p)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(read(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
+@register("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 @register("op5_line_dedup", f"""
 WITH d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -83,6 +113,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@register("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = spans.remove_repeated(docs, span=2, min_words=8, counts=True)
+    return out.select("doc_id", "n_sentences", "n_removed", F.length(F.encode("text", "UTF-8")).alias("n_kept_bytes"),
+                      F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @register("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.metrics(read(spark, sf_dir, "documents"))
@@ -97,3 +135,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.taken_words(*mixing.mix(read(spark, sf_dir, "documents")))
     return out.select("doc_id", F.col("_mx_size").alias("size"), "source_size", "target", "taken")
+
+
+@register("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,37 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for batch in batches:
             yield from fn(batch)
     return df.mapInArrow(run, schema)
+
+
+# Largest Bloom filter that is broadcast; with more ids it lets more rows through, the join after it stays exact.
+BLOOM_BITS = 1 << 26
+
+
+def few_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` whose ``key`` occurs in ``wanted``, all but a few false positives dropped before any shuffle.
+
+    For wide rows (texts) of which few are wanted: the ids become a Bloom filter of at most ``BLOOM_BITS`` bits, so what
+    is broadcast is bounded whatever the data; an exact semi join follows.
+    """
+    ids = wanted.select(F.col(wanted_key).alias("_fr_id")).distinct()
+    n = ids.count()
+    bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
+    at = [F.pmod(F.xxhash64(F.col("_fr_id"), F.lit(j)), F.lit(bits)) for j in range(3)]
+    words = (ids.select(F.explode(F.array(*at)).alias("at"))
+                .groupBy(F.shiftright("at", 6).alias("word"))
+                .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")))
+    table = np.zeros(bits // 64, np.uint64)
+    found = words.toPandas()
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    shipped = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def likely(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        bloom = shipped.value
+        out = np.ones(len(a), bool)
+        for s in (a, b, c):
+            x = s.to_numpy(np.int64)
+            out &= (bloom[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pd.Series(out)
+    places = [F.pmod(F.xxhash64(F.col(key), F.lit(j)), F.lit(bits)) for j in range(3)]
+    return rows.filter(likely(*places)).join(ids, F.col(key).eqNullSafe(F.col("_fr_id")), "left_semi")
