@@ -15,10 +15,10 @@ the size of the symmetric difference, because each differing element flips one b
   below sends its blocks for both.
 * Verify. Candidates first compare a compact bit sketch (Hamming distance against d), then the sets themselves.
 
-Documents with equal sets are one class and only classes are compared. Within a group of classes that share a block the
-first class is compared with all others; what it does not connect is compared with a second leader, and
-what is still apart then is compared pair by pair inside the join condition, so a group of near copies costs a few
-rows per member instead of all pairs, and yet every link between different components of a group is examined.
+Documents with equal sets are one class and only classes are compared. Of the classes that share a block
+three leaders are compared with all others; what they leave apart from the first leader's component is compared with the
+whole block inside the join condition. So a group of near copies costs a few rows per member instead of all pairs, and
+yet every possible link between different components of a block is examined.
 
 Defined results: documents with a null text, an empty text or no words have an empty set, no links and their own id as
 component; a null id takes part and yields a null component only if all ids of its component are null; rows that
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import pin
+from .shared import few_rows, pin
 
 U64 = np.uint64
 SLACK = 1.15            # blocks per band: at least this many times d + 1
@@ -214,15 +214,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _close(pairs: DataFrame, cards: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb, band) whose sets are similar: sketches first, then the sets."""
-    sketch = cards.select("f1", "band", "sketch")
-    near = (pairs.join(sketch.select(F.col("f1").alias("a"), "band", F.col("sketch").alias("sa")), ["a", "band"])
-                 .join(sketch.select(F.col("f1").alias("b"), "band", F.col("sketch").alias("sb")), ["b", "band"])
-                 .filter(hamming("sa", "sb") <= allowed("na", "nb", num, den))
-                 .select("a", "b", "na", "nb"))
+    """The pairs (a, b, na, nb) whose sets are similar."""
     sets = cards.filter("elements is not null").select("f1", "elements")
-    both = (near.join(sets.select(F.col("f1").alias("b"), F.col("elements").alias("eb")), "b")
-                .join(sets.select(F.col("f1").alias("a"), F.col("elements").alias("ea")), "a"))
+    both = (pairs.join(sets.select(F.col("f1").alias("b"), F.col("elements").alias("eb")), "b")
+                 .join(sets.select(F.col("f1").alias("a"), F.col("elements").alias("ea")), "a"))
     shared = F.size(F.array_intersect("ea", "eb"))
     return (both.withColumn("both", shared.cast("long"))
                 .filter(F.col("both") * den >= num * (F.col("na") + F.col("nb") - F.col("both")))
@@ -241,85 +236,99 @@ def _size_ok(na: str, nb: str, num: int, den: int):
     return (F.least(na, nb) * den >= F.greatest(na, nb) * num)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """(x, nx, y, ny, band) as distinct (a, b, na, nb, band) with a < b."""
-    swap = F.col("x") > F.col("y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-                        F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"),
-                        F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"), "band").distinct()
+def _near(x: DataFrame, y: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b, na, nb), a < b, of members (key, f1, n, label, sketch) of the same block that may be linked:
+    other components, matching sizes, sketches within the allowed distance. The tests are part of the join."""
+    x = x.select("key", *[F.col(c).alias(f"{c}_x") for c in ("f1", "n", "label", "sketch")])
+    y = y.select("key", *[F.col(c).alias(f"{c}_y") for c in ("f1", "n", "label", "sketch")])
+    near = x.join(y, "key").filter((F.col("label_x") != F.col("label_y")) & _size_ok("n_x", "n_y", num, den)
+                                   & (hamming("sketch_x", "sketch_y") <= allowed("n_x", "n_y", num, den)))
+    swap = F.col("f1_x") > F.col("f1_y")
+    return near.select(F.least("f1_x", "f1_y").alias("a"), F.greatest("f1_x", "f1_y").alias("b"),
+                       F.when(swap, F.col("n_y")).otherwise(F.col("n_x")).alias("na"),
+                       F.when(swap, F.col("n_x")).otherwise(F.col("n_y")).alias("nb")).distinct()
+
+
+def shared_blocks(blocks: DataFrame) -> DataFrame:
+    """(key, f1) of the blocks that at least two different sets share; neighbours in key order are compared in a stream,
+    so no group is ever held and the blocks are shuffled once."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        last = None                       # last row of the batch before and whether it was passed on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, f1 = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (f1[1:] != f1[:-1])
+            if last is not None:
+                new[0] = (key[0], f1[0]) != last[:2]
+            key, f1 = key[new], f1[new]
+            if not len(key):
+                continue
+            same = key[1:] == key[:-1]
+            keep = np.zeros(len(key), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            out = [(key[keep], f1[keep])]
+            if last is not None and key[0] == last[0]:
+                if not keep[0]:
+                    out.insert(0, (key[:1], f1[:1]))
+                    keep[0] = True
+                if not last[2]:
+                    out.insert(0, (np.array([last[0]]), np.array([last[1]])))
+            last = (key[-1], f1[-1], bool(keep[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])),
+                                              pa.array(np.concatenate([o[1] for o in out]))], names=["key", "f1"])
+    return blocks.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(run, "key long, f1 long")
 
 
 def candidates(infos: DataFrame, blocks: DataFrame) -> DataFrame:
     """(key, band, f1, n): classes under every block they share with another class and did not leave out."""
-    dealt = blocks.repartition("key")
-    shared = (dealt.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"), F.count("*").alias("freq"))
-                   .filter("lo < hi").select(F.col("key").alias("k"), "freq"))
-    hits = (dealt.join(shared.hint("shuffle_hash"), F.col("key") == F.col("k"))
-                 .select("key", "f1", "freq").distinct())
-    classes = infos.filter("n > 0").groupBy("f1").agg(F.max("n").alias("n"), F.first("bands").alias("bands"))
-    skip = classes.select("f1", "n", F.explode("bands").alias("s")).select("f1", "n", "s.band", "s.skip")
+    hits = pin(shared_blocks(blocks))
+    freq = hits.groupBy("key").agg(F.count("*").alias("freq"))
+    skip = (infos.filter("n > 0").select("f1", "n", F.explode("bands").alias("s"))
+                 .groupBy("f1", F.col("s.band").alias("band")).agg(F.max("n").alias("n"), F.max("s.skip").alias("skip")))
     w = Window.partitionBy("f1", "band").orderBy(F.col("freq").desc(), "key")
-    return (hits.withColumn("band", F.col("key").bitwiseAND(F.lit(63)).cast("int"))
+    return (hits.join(freq, "key")
+                .withColumn("band", F.col("key").bitwiseAND(F.lit(63)).cast("int"))
                 .join(skip, ["f1", "band"])
                 .withColumn("rank", F.row_number().over(w)).filter("rank > skip")
                 .select("key", "band", "f1", "n"))
 
 
-def link_classes(docs: DataFrame, infos: DataFrame, k: int, num: int, den: int, leaders: int = 2) -> DataFrame:
-    """(node, label) of the classes (f1) that have links."""
+def link_classes(docs: DataFrame, infos: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """(node, label) of the classes (f1) that have links, None if there are none."""
     cand = pin(candidates(infos, set_blocks(docs, k, num, den)))
     names = cand.select("f1").distinct()
-    ids = infos.filter("n > 0").join(names, "f1", "left_semi").groupBy("f1").agg(F.min("id").alias("id"))
-    ids = ids.select(F.col("id").alias("wanted"))
-    cards = pin(set_cards(docs.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi"), k, num, den))
-    labels = None
-    found = None
-    tested = None
-    for turn in range(leaders + 1):
-        if labels is None:
-            members = cand.withColumn("label", F.col("f1"))
-        else:
-            members = (cand.join(labels.withColumnRenamed("node", "f1"), "f1", "left")
-                           .withColumn("label", F.coalesce("label", "f1")))
-        group = members.groupBy("key").agg(F.min("f1").alias("lead"), F.min("label").alias("lo"),
-                                           F.max("label").alias("hi")).filter("lo < hi")
-        if turn:
-            # members apart from the leader's component
-            lead = group.join(members.select("key", F.col("f1").alias("lead"), F.col("label").alias("main")),
-                              ["key", "lead"]).select("key", "main")
-            apart = members.join(lead, "key").filter("label != main")
-        if turn < leaders:
-            if turn:
-                group = apart.groupBy("key").agg(F.min(F.struct("f1", "n", "label")).alias("s")) \
-                    .select("key", F.col("s.f1").alias("x"), F.col("s.n").alias("nx"), F.col("s.label").alias("lx"))
-            else:
-                group = group.join(members.select("key", F.col("f1").alias("lead"), "n"), ["key", "lead"]) \
-                    .select("key", F.col("lead").alias("x"), F.col("n").alias("nx"), F.col("lead").alias("lx"))
-            pairs = members.join(group, "key").filter("label != lx") \
-                .select("x", "nx", F.col("f1").alias("y"), F.col("n").alias("ny"), "band") \
-                .filter(_size_ok("nx", "ny", num, den))
-        else:
-            own = cards.select("f1", "band", "sketch")
-            full = lambda m: m.join(own, ["f1", "band"])
-            x = full(apart).select("key", "band", F.col("f1").alias("x"), F.col("n").alias("nx"),
-                                   F.col("label").alias("lx"), F.col("sketch").alias("sx"))
-            y = full(members.join(lead, "key", "left_semi")).select(
-                "key", F.col("f1").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"),
-                F.col("sketch").alias("sy"))
-            pairs = x.join(y, "key").filter(
-                (F.col("lx") != F.col("ly")) & _size_ok("nx", "ny", num, den)
-                & (hamming("sx", "sy") <= allowed("nx", "ny", num, den))).select("x", "nx", "y", "ny", "band")
-        pairs = _ordered(pairs)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pin(pairs)
-        if pairs.limit(1).count() == 0:
-            continue
-        links = _close(pairs, cards, num, den)
-        found = pin(links if found is None else found.unionByName(links).distinct())
+    ids = infos.filter("n > 0").join(names, "f1", "left_semi").groupBy("f1").agg(F.min("id").alias("wanted"))
+    cards = pin(set_cards(few_rows(docs, "id", ids, "wanted"), k, num, den))
+    members = pin(cand.join(cards.select("f1", "band", "sketch"), ["f1", "band"]))
+    # three leaders of a block, chosen by different orders, meet all its members
+    other = F.xxhash64("f1")
+    lead = members.groupBy("key").agg(F.min("f1").alias("lead"), F.max("f1").alias("last"), F.min(other).alias("third"),
+                                      F.count("*").alias("size")).filter("size > 1")
+    leaders = (members.join(lead, "key").filter((F.col("f1") == F.col("lead")) | (F.col("f1") == F.col("last"))
+                                                | (other == F.col("third"))).select(*members.columns))
+    alone = lambda df: df.withColumn("label", F.col("f1"))
+    first = pin(_near(alone(leaders), alone(members), num, den))
+    found = pin(_close(first, cards, num, den))
+    if found.isEmpty():
+        labels, named = None, alone(members)
+    else:
         labels = components(found)
-        now = pairs.select("a", "b")
-        tested = now if tested is None else tested.unionByName(now)
+        named = (members.join(labels.withColumnRenamed("node", "f1"), "f1", "left")
+                        .withColumn("label", F.coalesce("label", "f1")))
+    # members that are still apart from their block's first leader meet all others of the block
+    named = pin(named)
+    main = named.join(lead.select("key", F.col("lead").alias("f1")), ["key", "f1"]).select("key", F.col("label").alias("main"))
+    split = named.join(main, "key")
+    apart = split.filter("label != main").drop("main")
+    open_ = named.join(apart.select("key").distinct(), "key", "left_semi")
+    rest = pin(_near(apart, open_, num, den).join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = pin(_close(rest, cards, num, den))
+        if not more.isEmpty():
+            labels = components(found.unionByName(more))
     return labels
 
 
