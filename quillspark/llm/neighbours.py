@@ -208,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
     if few.limit(1).count():
         n = max(1, -(-index.count() // block_rows))
         rest = search_blocks(index.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("bucket"), "id", "v"),
-                             few.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("bucket"), "id", "v"),
+                             few.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"), "id", "v"),
                              k, block_rows)
         found = found.select("query_id", "vec_id", "score").unionByName(rest)
     return _top(found.select("query_id", "vec_id", "score"), k) \

@@ -208,7 +208,7 @@ def test_neighbours_of_awkward_vectors(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(6).tolist()) for i in range(60)]
     rows += [(100 + i, rows[0][1]) for i in range(20)]
-    rows += [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0, None, 0, 0, 0, 0]), (204, [float("nan")] * 6),
+    rows += [(200, None), (201, []), (202, [0.0] * 6), (203, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (204, [float("nan")] * 6),
              (205, [float("inf")] + [0.0] * 5), (206, [1.0, 2.0]), (208, [2.0, 4.0]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for extra in ("id", "v", "bucket", "block"):
