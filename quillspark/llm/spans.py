@@ -7,13 +7,13 @@ and the sentences covered by any other occurrence are removed.
 Sentences end after ``.``, ``!`` or ``?`` (with closing quotes or brackets) before white space, and at line ends, so a
 passage finds the same boundaries wherever it stands. Spans with fewer than ``min_words`` words do not count.
 
-Only (hash, id, position) rows are shuffled; the first occurrence per hash is a partial aggregate (minimum), and of
-spans that repeat inside a batch of documents only what the aggregate needs is carried on, so a passage shared
-by a third of all documents does not gather in one task before it is reduced.
+Only (hash, id, position) rows are shuffled. The first occurrence per hash is a partial aggregate (minimum and count), so a
+passage shared by a third of all documents reaches its task already reduced; the repeated hashes are written out and
+joined with the occurrences in plain shuffles, which adaptive execution can split at a frequent hash.
 
 Defined results: a null or empty text has no sentences and stays empty; documents with fewer sentences than a span lose
-nothing; a document without words is unchanged; rows that repeat a document id share its spans (an occurrence
-is an (id, position), so equal rows count as one document and both stay); an empty table gives no rows; extra columns
+nothing; a document without words is unchanged; equal rows count as one document and stay alike, other rows that
+repeat a document id are documents of their own; an empty table gives no rows; extra columns
 pass through unchanged (helper columns start with ``_sp_``).
 """
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
+from .shared import pin
 
 # A sentence with the white space after it (if any): up to an end mark before white space, or a line end.
 SENTENCE = re.compile(rb"[^\n]*?[.!?][\"')\]]*(?:[ \t\r\f\v]+|(?=\n)|\Z)|[^\n]+|\n+")
@@ -58,42 +59,48 @@ def span_hashes(pieces: list[bytes], span: int, min_words: int) -> tuple[np.ndar
 
 
 def span_rows(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int) -> DataFrame:
-    """(hash, id, pos) of every span that counts."""
+    """(hash, id, doc, pos) of every span that counts; ``doc`` is the text's hash."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in textops.chunks(batch.column(1)):
-                hashes, ids, pos = [], [], []
-                for own, text in zip(batch.column(0).slice(first, len(rows)).to_pylist(), rows):
+                hashes, ids, docs_, pos = [], [], [], []
+                own_docs = np.asarray(batch.column(2).slice(first, len(rows)))
+                for own, doc, text in zip(batch.column(0).slice(first, len(rows)).to_pylist(), own_docs, rows):
                     grams, _ = span_hashes(sentences(text), span, min_words)
                     m = np.flatnonzero(grams)
                     if len(m):
                         hashes.append(grams[m])
                         ids += [own] * len(m)
+                        docs_.append(np.full(len(m), doc))
                         pos.append(m)
                 if hashes:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(ids, pa.int64()),
-                         pa.array(np.concatenate(pos), pa.int32())], names=["hash", "id", "pos"])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "hash long, id long, pos int")
+                         pa.array(np.concatenate(docs_), pa.int64()), pa.array(np.concatenate(pos), pa.int32())],
+                        names=["hash", "id", "doc", "pos"])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("doc"))
+    return rows.mapInArrow(run, "hash long, id long, doc long, pos int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2,
                    min_words: int = 8) -> DataFrame:
-    """(id, spans): positions of the non-first occurrences of repeated spans, by document."""
-    dealt = span_rows(docs, id_col, text_col, span, min_words).repartition("hash")
-    first = (dealt.groupBy("hash").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
-                  .filter("n > 1").select(F.col("hash").alias("h"), "first"))
-    return (dealt.join(first.hint("shuffle_hash"), F.col("hash") == F.col("h"))
-                 .filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
-                 .groupBy(F.col("id").alias("_sp_id")).agg(F.collect_set("pos").alias("_sp_spans")))
+    """(id, doc, spans): positions of the non-first occurrences of repeated spans, by document."""
+    rows = span_rows(docs, id_col, text_col, span, min_words)
+    place = F.struct("id", "doc", "pos")
+    first = pin(rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                    .filter("not first <=> last").select("hash", "first"))
+    return (rows.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
+                .groupBy(F.col("id").alias("_sp_id"), F.col("doc").alias("_sp_doc"))
+                .agg(F.collect_set("pos").alias("_sp_spans")))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2,
                     min_words: int = 8, counts: bool = False) -> DataFrame:
     """The documents without the sentences of repeated spans; with ``counts`` also ``n_sentences, n_removed``."""
     gone = repeated_spans(docs, id_col, text_col, span, min_words)
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_sp_id"]), "left").drop("_sp_id")
+    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_sp_id"])
+                       & (F.xxhash64(docs[text_col]) == gone["_sp_doc"]), "left")
     columns = docs.columns
     at = columns.index(text_col)
     fields = list(docs.schema.fields)
