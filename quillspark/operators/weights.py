@@ -24,34 +24,65 @@ GRAM_SCHEMA = "grp string, i int, j int, v double"
 
 
 def wide_design(predictions: DataFrame, truth: DataFrame, models: list[str], id_col: str = "text_id",
-                features: str = "model") -> DataFrame:
-    """Rows ``(grp, f0..f{k-1}, y)`` with complete cases only.
+                features: str = "model", complete: bool = True) -> DataFrame:
+    """Design rows, complete cases only (``incomplete_rows`` counts the others; ``complete=False`` keeps them).
 
-    ``features='model'``: one row per (essay, target), features = the M models' predictions of that target.
-    ``features='stacked'``: one row per (essay, target), features = all M × 6 prediction columns of the essay.
+    ``features='model'``: ``(grp, f0..f{M-1}, y)``, one row per (essay, target) from one row per essay, so the
+    predictions are shuffled once. ``features='stacked'``: ``(f0..f{6M-1}, y0..y5)``, one row per essay: all targets
+    share the features. An id that a model predicted twice is incomplete: neither prediction is preferred.
     """
     t = truth.select(id_col, *TARGETS)
-    if features == "model":
-        wide = predictions.groupBy(id_col, "target").agg(
-            *[F.first(F.when(F.col("model_id") == m, F.col("pred")), ignorenulls=True).alias(f"f{i}")
-              for i, m in enumerate(models)])
-        rows = wide.join(t, id_col).withColumn("y", target_value("target"))
-        names = [f"f{i}" for i in range(len(models))]
-        out = rows.select(F.col("target").alias("grp"), *names, "y")
-    elif features == "stacked":
-        cols = [(m, s) for m in models for s in TARGETS]
-        wide = predictions.groupBy(id_col).agg(
-            *[F.first(F.when((F.col("model_id") == m) & (F.col("target") == s), F.col("pred")), ignorenulls=True)
-              .alias(f"f{i}") for i, (m, s) in enumerate(cols)])
-        names = [f"f{i}" for i in range(len(cols))]
-        rows = wide.join(t, id_col).withColumn("grp", F.explode(F.array(*[F.lit(x) for x in TARGETS])))
-        out = rows.withColumn("y", target_value("grp")).select("grp", *names, "y")
+    cols = [(m, s) for m in models for s in TARGETS]
+
+    def cell(m, s):
+        here = F.when((F.col("model_id") == m) & (F.col("target") == s), F.col("pred"))
+        return F.when(F.count(here) == 1, F.max(here))
+    wide = predictions.groupBy(id_col).agg(*[cell(m, s).alias(f"f{i}") for i, (m, s) in enumerate(cols)])
+    rows = wide.join(t, id_col)
+    if features == "stacked":
+        names = [*[f"f{i}" for i in range(len(cols))], *[f"y{j}" for j in range(len(TARGETS))]]
+        out = rows.select(*names[:len(cols)], *[F.col(x).alias(f"y{j}") for j, x in enumerate(TARGETS)])
+    elif features == "model":
+        names = [*[f"f{i}" for i in range(len(models))], "y"]
+        per = [F.struct(F.lit(x).alias("grp"), *[F.col(f"f{cols.index((m, x))}").alias(f"f{i}") for i, m in enumerate(models)],
+                        F.col(x).alias("y")) for x in TARGETS]
+        out = rows.select(F.explode(F.array(*per)).alias("r")).select("r.grp", *[f"r.{c}" for c in names])
     else:
         raise ValueError("features must be 'model' or 'stacked'")
-    complete = F.lit(True)
-    for c in [*names, "y"]:
-        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c))
-    return out.filter(complete)
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c))
+    return out.filter(ok) if complete else out.withColumn("complete", ok)
+
+
+def incomplete_rows(predictions: DataFrame, truth: DataFrame, models: list[str], id_col: str = "text_id",
+                    features: str = "model") -> DataFrame:
+    """How many design rows a fit leaves out because a model has no single finite prediction: ``(grp,) n, n_dropped``."""
+    d = wide_design(predictions, truth, models, id_col, features, complete=False)
+    by = ["grp"] if features == "model" else []
+    return d.groupBy(*by).agg(F.count(F.when(F.col("complete"), 1)).alias("n"),
+                              F.count(F.when(~F.col("complete"), 1)).alias("n_dropped"))
+
+
+def stacked_grams(design: DataFrame, k: int) -> dict[str, "Gram"]:
+    """H3: the six targets share one Gram matrix over [F, Y]; each target reads its own column of it."""
+    m = len(TARGETS)
+    stats = gram_statistics(design.select(F.lit("all").alias("grp"), *[f"f{i}" for i in range(k)], *[f"y{j}" for j in range(m)]))
+    rows = collect_small(stats, limit=(k + m) * (k + m + 1) // 2 + 1)
+    full, n = np.zeros((k + m, k + m)), 0.0
+    for r in rows:
+        if r["i"] < 0:
+            n = r["v"]
+        else:
+            full[r["i"], r["j"]] = full[r["j"], r["i"]] = r["v"]
+    out = {}
+    for j, t in enumerate(TARGETS):
+        keep = [*range(k), k + j]
+        own = full[np.ix_(keep, keep)]
+        g = Gram(k, [])
+        g.G, g.b, g.yy, g.n = own[:k, :k], own[:k, k], own[k, k], n
+        out[t] = g
+    return out
 
 
 def _partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +134,9 @@ class Gram:
         return float(np.sqrt(max(self.sse(w), 0.0) / self.n))
 
 
-def collect_grams(stats: DataFrame, k: int) -> dict[str, Gram]:
-    rows = collect_small(stats, limit=200 * (k + 1) ** 2)
+def collect_grams(stats: DataFrame, k: int, groups: int = len(TARGETS)) -> dict[str, Gram]:
+    """Statistics of ``groups`` groups over ``k`` features: (k + 1)(k + 2) / 2 sums and a count each."""
+    rows = collect_small(stats, limit=groups * ((k + 1) * (k + 2) // 2 + 1))
     by: dict[str, list] = {}
     for r in rows:
         by.setdefault(r["grp"], []).append((r["i"], r["j"], r["v"]))
@@ -249,46 +281,63 @@ def dirichlet_trials(spark, n_models: int, n_trials: int, seed: int) -> DataFram
 
 
 def refine_clipped(design: DataFrame, start: dict[str, np.ndarray], lb: np.ndarray, ub: np.ndarray,
-                   rounds: int = 3, steps: tuple[float, ...] = (0.04, 0.01, 0.0025), lo: float = 1.0,
-                   hi: float = 5.0):
+                   tol: float = 1e-12, lo: float = 1.0, hi: float = 5.0):
     """H1, class version: the blend is clipped to [lo, hi] inside the objective, which is no longer quadratic.
 
-    Start from the Gram optimum; every round scores, for all targets at once, the current vector and ±s moves
-    along each coordinate for every step size s (2·M·|steps| + 1 candidates per target) in one distributed
-    pass — each row expands into its candidates' clipped squared errors, summed by a partial aggregate — then
-    keeps the best candidate; the steps shrink by 4 when none improves. Returns
-    ``{target: (weights, clipped rmse)}``.
+    Projected Gauss-Newton from the Gram optimum, run until no target improves its squared error by more than
+    ``tol`` (relative). Only rows whose blend lies strictly inside the range have a gradient, so a step solves the
+    box-constrained least squares of those rows (one distributed Gram pass); the step length is chosen among halvings of
+    the full step by their exact clipped errors (one distributed scoring pass). The error falls strictly in every
+    accepted step, so the loop ends without a round limit. Returns ``{target: (weights, clipped rmse)}``.
     """
     names = sorted((c for c in design.columns if c.startswith("f") and c[1:].isdigit()), key=lambda c: int(c[1:]))
-    m = len(names)
+    k = len(names)
     cur = {t: np.asarray(w, dtype=float) for t, w in start.items()}
-    scale = {t: 1.0 for t in cur}
-    best_rmse: dict[str, float] = {}
     src = design.select("grp", *names, "y")
-    for _ in range(rounds):
-        cands: dict[str, np.ndarray] = {}
-        for t, w in cur.items():
-            cs = [w]
-            for st in steps:
-                for i in range(m):
-                    for sgn in (1.0, -1.0):
-                        v = w.copy()
-                        v[i] = min(max(v[i] + sgn * st * scale[t], lb[i]), ub[i])
-                        cs.append(v)
-            cands[t] = np.vstack(cs)
-        scored = src.mapInPandas(_clipped_sse(cands, names, lo, hi), "grp string, c int, sse double, n long")
-        totals = scored.groupBy("grp", "c").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
-        rows = collect_small(totals, limit=sum(len(v) for v in cands.values()) + 1)
-        by: dict[str, list] = {}
-        for r in rows:
-            by.setdefault(r["grp"], []).append((r["sse"], r["c"], r["n"]))
-        for t, lst in by.items():
-            sse, c, n = min(lst, key=lambda x: (x[0], x[1]))
-            if c == 0:
-                scale[t] /= 4
-            cur[t] = cands[t][c]
-            best_rmse[t] = float(np.sqrt(sse / n))
-    return {t: (cur[t], best_rmse[t]) for t in cur}
+    best = {t: (sse[0], n) for t, (sse, n) in _clipped_errors(src, {t: w[None] for t, w in cur.items()}, names, lo, hi).items()}
+    moving = set(best)
+    while moving:
+        at = {t: cur[t] for t in moving}
+        stats = src.mapInPandas(_active_gram(at, names, lo, hi), GRAM_SCHEMA)
+        grams = collect_grams(stats.groupBy("grp", "i", "j").agg(F.sum("v").alias("v")), k, groups=len(cur))
+        trials = {}
+        for t in moving:
+            if t not in grams:
+                continue
+            full = solve_box_ls(grams[t].G, grams[t].b, lb, ub) - cur[t]
+            trials[t] = np.vstack([cur[t] + full / 2 ** s for s in range(31)])
+        errors = _clipped_errors(src, trials, names, lo, hi) if trials else {}
+        moving = set()
+        for t, (sse, n) in errors.items():
+            c = int(np.argmin(sse))
+            if sse[c] < best[t][0] * (1 - tol):
+                cur[t], best[t] = trials[t][c], (sse[c], n)
+                moving.add(t)
+    return {t: (cur[t], float(np.sqrt(best[t][0] / best[t][1]))) for t in best}
+
+
+def _clipped_errors(src: DataFrame, cands: dict[str, np.ndarray], names: list[str], lo: float, hi: float):
+    """``{target: (clipped squared error of every candidate, rows)}`` in one distributed pass."""
+    scored = src.mapInPandas(_clipped_sse(cands, names, lo, hi), "grp string, c int, sse double, n long")
+    totals = scored.groupBy("grp", "c").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+    out: dict[str, tuple] = {}
+    for r in collect_small(totals, limit=sum(len(v) for v in cands.values())):
+        sse, _ = out.setdefault(r["grp"], (np.zeros(len(cands[r["grp"]])), r["n"]))
+        sse[r["c"]] = r["sse"]
+    return out
+
+
+def _active_gram(at: dict[str, np.ndarray], names: list[str], lo: float, hi: float):
+    """Partial Gram statistics of the rows whose blend lies strictly inside the clipping range."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def inside():
+            for pdf in batches:
+                for grp, part in pdf.groupby("grp", sort=False):
+                    if grp in at:
+                        p = part[names].to_numpy(dtype=np.float64) @ at[grp]
+                        yield part[(p > lo) & (p < hi)]
+        yield from _partial_gram(inside())
+    return run
 
 
 def _clipped_sse(cands: dict[str, np.ndarray], names: list[str], lo: float, hi: float):

@@ -54,7 +54,8 @@ def fit_modelwise(spark, sf_dir):
 def fit_stacked(spark, sf_dir):
     """H3 (rows-only): every (model, source column) is a feature of every target."""
     k = len(MODELS) * len(TARGETS)
-    grams = H.collect_grams(_stats(spark, sf_dir, "stacked"), k)
+    t = Tables(spark, sf_dir)
+    grams = H.stacked_grams(H.wide_design(fx.oof_long(t), fx.essays(t), MODELS, features="stacked"), k)
     lb, ub = H.bounds([f"{m}:{s}" for m in MODELS for s in TARGETS])
     rows = []
     for t, g in grams.items():
