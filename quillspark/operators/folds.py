@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from .ensemble import collect_small
 
-MAX_BUCKETS = 2048
-MAX_LABEL_CELLS = 5_000_000
+# Hash buckets that folds are assigned to: a fixed number, so an id's bucket never depends on the other rows.
+N_BUCKETS = 1024
+# Continuous labels are stratified by this many quantile bins (at most); a value that holds at least 1 / N_STRATA of
+# the rows keeps a stratum of its own, so discrete scores are balanced value by value.
+N_STRATA = 200
 
 
 def _bucket(id_col: str, seed: int, n_buckets: int) -> Column:
@@ -70,33 +73,56 @@ def balance_buckets(counts: np.ndarray, sizes: np.ndarray, n_splits: int, sweeps
     return fold_of
 
 
+def _edges_up_to(edges: Column, x: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e <= x))
+
+
+def strata(df: DataFrame, label_cols: list[str]) -> list[Column]:
+    """Stratum of every label as a string: the value itself, or for floating-point labels the quantile bin (the edges of
+    all such columns come from one aggregate with a sketch of fixed size)."""
+    continuous = [f.name for f in df.schema.fields if f.name in label_cols and f.dataType.typeName() in ("double", "float")]
+    edges = {}
+    if continuous:
+        probs = [i / N_STRATA for i in range(N_STRATA + 1)]
+        row = df.select(*[F.percentile_approx(F.nanvl(c, F.lit(None).cast("double")), probs, 10_000).alias(c)
+                          for c in continuous]).first()
+        edges = {c: sorted(set(row[c] or [])) for c in continuous}
+    out = []
+    for c in label_cols:
+        if c in edges:
+            known = F.array(*[F.lit(float(e)) for e in edges[c]]) if edges[c] else F.array().cast("array<double>")
+            bin_ = _edges_up_to(known, F.col(c))
+            out.append(F.when(F.col(c).isNull(), F.lit(None)).when(F.isnan(c), F.lit("nan")).otherwise(bin_.cast("string")))
+        else:
+            out.append(F.col(c).cast("string"))
+    return out
+
+
 def stratified_folds(df: DataFrame, label_cols: list[str], id_col: str = "text_id", n_splits: int = 5,
-                     seed: int = 42, n_buckets: int | None = None, fold_col: str = "fold") -> DataFrame:
-    """Multilabel-stratified K folds. Strata are the (label column, value) marginals."""
+                     seed: int = 42, n_buckets: int = N_BUCKETS, fold_col: str = "fold") -> DataFrame:
+    """Multilabel-stratified K folds. Strata are the (label column, stratum) marginals.
+
+    One aggregate gives the histogram and, as one more label that every row shares, the bucket sizes; it has at most
+    ``n_buckets`` x strata rows, whatever the number of rows.
+    """
     spark = df.sparkSession
-    if n_buckets is None:
-        n = df.count()
-        n_buckets = max(1, min(n, MAX_BUCKETS))
     keyed = df.withColumn("_bucket", _bucket(id_col, seed, n_buckets))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("l"), F.col(c).cast("string").alias("v"))
-                                for i, c in enumerate(label_cols)]))
+    cells = F.explode(F.array(F.struct(F.lit(-1).alias("l"), F.lit("").alias("v")),
+                              *[F.struct(F.lit(i).alias("l"), c.alias("v")) for i, c in enumerate(strata(df, label_cols))]))
     hist = (keyed.select("_bucket", cells.alias("x"))
             .groupBy("_bucket", F.col("x.l").alias("l"), F.col("x.v").alias("v")).count())
-    sizes = keyed.groupBy("_bucket").count()
-    hist_rows = collect_small(hist, MAX_LABEL_CELLS)
-    size_rows = collect_small(sizes, MAX_BUCKETS * 2)
-
-    labels = sorted({(r["l"], r["v"]) for r in hist_rows}, key=lambda lv: (lv[0], str(lv[1])))
+    hist_rows = collect_small(hist, n_buckets * (1 + len(label_cols) * (N_STRATA + 3)))
+    labels = sorted({(r["l"], r["v"]) for r in hist_rows if r["l"] >= 0}, key=lambda lv: (lv[0], str(lv[1])))
     lab_idx = {lv: i for i, lv in enumerate(labels)}
     counts = np.zeros((n_buckets, len(labels)))
-    for r in hist_rows:
-        counts[r["_bucket"], lab_idx[(r["l"], r["v"])]] = r["count"]
     bucket_sizes = np.zeros(n_buckets)
-    for r in size_rows:
-        bucket_sizes[r["_bucket"]] = r["count"]
+    for r in hist_rows:
+        if r["l"] < 0:
+            bucket_sizes[r["_bucket"]] = r["count"]
+        else:
+            counts[r["_bucket"], lab_idx[(r["l"], r["v"])]] = r["count"]
     fold_of = balance_buckets(counts, bucket_sizes, n_splits)
-    mapping = spark.createDataFrame([(int(b), int(f)) for b, f in enumerate(fold_of) if bucket_sizes[b] > 0],
-                                    f"_bucket int, {fold_col} int")
+    mapping = spark.createDataFrame([(int(b), int(f)) for b, f in enumerate(fold_of)], f"_bucket int, {fold_col} int")
     return keyed.drop(fold_col).join(F.broadcast(mapping), "_bucket").drop("_bucket")
 
 
