@@ -48,11 +48,17 @@ def format_dispatch(spark, sf_dir):
 
 
 def _oof_dir(spark, sf_dir) -> str:
-    """One CSV per model, as the reference's OOF folder (track-two files carry the true targets too)."""
+    """One CSV per model, in the three kinds that occur in one folder: true targets plus ``pred_*``, the same with an
+    unnamed index column, and target-named predictions in another column order."""
     t = Tables(spark, sf_dir)
     base = scratch_path(spark, "oofs")
-    for m in fx.MODEL_IDS:
-        write_csv(fx.oof_wide(t, m), f"{base}/{m}.csv")
+    for i, m in enumerate(fx.MODEL_IDS):
+        wide = fx.oof_wide(t, m)
+        if i % 3 == 1:
+            wide = wide.select(F.xxhash64("text_id").alias(""), *wide.columns)
+        elif i % 3 == 2:
+            wide = wide.select(*[F.col(f"pred_{c}").alias(c) for c in reversed(TARGETS)], "text_id", "full_text")
+        write_csv(wide, f"{base}/{m}.csv")
     return base
 
 
@@ -62,14 +68,14 @@ _OOF_LONG_SQL = f"WITH {essays_cte()},\n{long_oof_cte()}\n"
 @register("oof_dir_scan", sql=_OOF_LONG_SQL + "SELECT model_id, text_id, target, round(pred, 6) AS pred FROM oof")
 def oof_dir_scan(spark, sf_dir):
     """A3 + E9: one glob scan of the folder; model id from the file name; normalised to the long layout."""
-    wide = read_prediction_dir(spark, f"{_oof_dir(spark, sf_dir)}/*.csv", OOF_SCHEMA)
+    wide = read_prediction_dir(spark, f"{_oof_dir(spark, sf_dir)}/*.csv")
     return rounded(S.to_long(wide, ["model_id", "text_id"]))
 
 
 @register("ban_models", sql=_OOF_LONG_SQL + "SELECT model_id, text_id, target, round(pred, 6) AS pred FROM oof "
           "WHERE model_id NOT IN ('model17')")
 def ban_models(spark, sf_dir):
-    wide = read_prediction_dir(spark, f"{_oof_dir(spark, sf_dir)}/*.csv", OOF_SCHEMA, banned_models=["model17"])
+    wide = read_prediction_dir(spark, f"{_oof_dir(spark, sf_dir)}/*.csv", banned_models=["model17"])
     return rounded(S.to_long(wide, ["model_id", "text_id"]))
 
 
@@ -115,8 +121,7 @@ def latest_run(spark, sf_dir):
     run1 = oof.filter(F.col("model_id") == "model21")
     run2 = oof.filter(F.col("model_id") == "model2").withColumn("model_id", F.lit("model21"))
     for run_ts, df in ((1, run1), (2, run2)):
-        df.withColumn("split", F.lit("oof")).withColumn("run_ts", F.lit(run_ts).cast("long")) \
-          .select(*S.STORE_COLUMNS).write.mode("append").partitionBy("split", "model_id", "fold").parquet(root)
+        S.write_predictions(df, root, "oof", run_ts)
     out = S.latest_run(S.read_predictions(spark, root, split="oof"))
     return rounded(out.select("split", "model_id", "fold", "text_id", "target", "pred", "run_ts"))
 
@@ -136,6 +141,6 @@ def submission(spark, sf_dir):
     wide = G.fold_mean(pl, ["text_id"]).groupBy("text_id").pivot("target", TARGETS).agg(F.first("pred"))
     sub = J.submission(template, wide)
     path = scratch_path(spark, "submission")
-    write_csv(sub, path, single_file=True)
+    write_csv(sub, path)
     schema = "text_id string, " + ", ".join(f"{c} double" for c in TARGETS)
     return rounded(read_csv(spark, path, schema))

@@ -1,14 +1,13 @@
 """Prediction store: one long, partitioned table for out-of-fold and pseudo-label predictions.
 
-Layout ``<root>/split=<s>/model_id=<m>/fold=<k>/part-*.parquet`` with rows
-``(text_id, target, pred, run_ts)``. Writes use dynamic partition overwrite, so re-scoring one (model, fold)
-replaces only that folder; keeping several runs side by side is done with the ``run_ts`` column and the
-``latest`` view instead of renaming folders.
+Layout ``<root>/split=<s>/model_id=<m>/fold=<k>/run_ts=<r>/part-*.parquet`` with rows ``(text_id, target, pred)``.
+Writes use dynamic partition overwrite, so writing a run again replaces that run of these (model, fold) pairs only;
+other runs stay beside it and the ``latest_run`` view picks the newest, instead of renaming folders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..targets import TARGETS
@@ -36,21 +35,25 @@ def to_long(wide: DataFrame, id_cols: list[str], pred_prefix: str = "pred_", tar
 
 
 def write_predictions(long_df: DataFrame, root: str, split: str, run_ts: int | None = None) -> None:
-    """Append/replace predictions of the (split, model_id, fold) partitions present in ``long_df``."""
+    """Write (or replace) one run of the (model, fold) pairs present in ``long_df``; older runs are kept.
+
+    The rows are rebalanced on the partition columns: few files per folder, yet a large (model, fold) is split over
+    several tasks (adaptive execution sizes them).
+    """
     if split not in SPLITS:
         raise ValueError(f"unknown split {split!r}; expected one of {SPLITS}")
     out = long_df.withColumn("split", F.lit(split))
     out = out.withColumn("run_ts", F.lit(run_ts if run_ts is not None else 0).cast("long"))
     out = out.select(*STORE_COLUMNS)
-    (out.repartition("split", "model_id", "fold")
+    (out.hint("rebalance", "model_id", "fold")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("split", "model_id", "fold").parquet(root))
+        .partitionBy("split", "model_id", "fold", "run_ts").parquet(root))
 
 
 def read_predictions(spark: SparkSession, root: str, split: str | None = None, models: list[str] | None = None,
                      folds: list[int] | None = None) -> DataFrame:
     """Scan with partition pruning on split / model / fold (filters land in ``PartitionFilters``)."""
-    df = spark.read.option("basePath", root).parquet(root)
+    df = spark.read.option("basePath", root).parquet(root).withColumn("run_ts", F.col("run_ts").cast("long"))
     if split is not None:
         df = df.filter(F.col("split") == split)
     if models is not None:
@@ -61,18 +64,11 @@ def read_predictions(spark: SparkSession, root: str, split: str | None = None, m
 
 
 def latest_run(df: DataFrame, keys: tuple[str, ...] = ("split", "model_id", "fold", "text_id", "target")) -> DataFrame:
-    """Keep the newest ``run_ts`` per key (ties: larger pred, deterministic).
+    """Keep the newest ``run_ts`` per key (a key twice in one run: the larger pred, deterministic).
 
-    A max-by aggregate, not a window: partial aggregation runs map-side, so a key with many runs does not
-    pile up in one task.
+    Two plain maxima instead of one over structs: hash aggregates with map-side combine, so a key with many runs
+    does not pile up in one task.
     """
-    best = F.max_by(F.struct("pred"), F.struct("run_ts", "pred"))
-    return (df.groupBy(*keys)
-              .agg(F.max("run_ts").alias("run_ts"), best.alias("_b"))
-              .select(*keys, F.col("_b.pred").alias("pred"), "run_ts"))
-
-
-def rank_runs(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Run age per key: 0 = latest. Window per key is bounded by the number of runs kept."""
-    w = Window.partitionBy(*keys).orderBy(F.col("run_ts").desc())
-    return df.withColumn("run_age", F.row_number().over(w) - 1)
+    newest = df.groupBy(*keys).agg(F.max("run_ts").alias("run_ts"))
+    return df.join(newest, [*keys, "run_ts"]).groupBy(*keys, "run_ts").agg(F.max("pred").alias("pred")) \
+        .select(*keys, "pred", "run_ts")

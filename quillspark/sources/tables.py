@@ -41,7 +41,7 @@ class Tables:
             df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
             if self.copies > 1 and name in _ID_COLUMNS:
                 df = replicate(df, _ID_COLUMNS[name], self.copies)
-            self._cache[name] = spread(df)
+            self._cache[name] = df
         return self._cache[name]
 
 
@@ -53,38 +53,33 @@ def replicate(df: DataFrame, id_cols: list[str], copies: int) -> DataFrame:
     return out.drop("_copy")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
+INDEX_NAMES = ("", "_c0", "Unnamed: 0")
 
-    A small file stored as one row group is read by a single task, which serialises row-level work (text
-    cleaning, tokenising) onto one core. Only then is a round-robin repartition added; a large table already has
-    many splits and is left alone, so no extra shuffle appears at scale.
-    """
-    try:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= parallelism:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): leave the scan as it is
-        return df
-    return df.repartition(parallelism)
 
-
-def _drop_index_column(df: DataFrame) -> DataFrame:
-    """pandas ``to_csv`` without ``index=False`` writes an unnamed first column; Spark names it ``_c0``."""
-    first = df.columns[0] if df.columns else None
-    if first in ("_c0", "", "Unnamed: 0"):
-        return df.drop(first)
-    return df
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file as written: the first record of its first file (one short read)."""
+    first = spark.read.options(**{**PANDAS_CSV, "header": "false", "mode": "PERMISSIVE"}).csv(path).first()
+    return [x or "" for x in first] if first else []
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV written by pandas: header, quoted multi-line fields. Give a schema in production (no inference pass)."""
+    """CSV written by pandas: header, quoted multi-line fields. Give a schema in production (no inference pass).
+
+    The schema's fields are found by header name: the file may have them in another order, may have more columns (an
+    unnamed index column, say), and fields it lacks are NULL.
+    """
     reader = spark.read.options(**PANDAS_CSV)
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", "true")
-    return _drop_index_column(reader.csv(path))
+    if schema is None:
+        df = reader.option("inferSchema", "true").csv(path)
+        return df.drop(df.columns[0]) if df.columns and df.columns[0] in INDEX_NAMES else df
+    wanted = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    names = csv_header(spark, path)
+    types = {f.name: f.dataType for f in wanted.fields}
+    as_read = T.StructType([T.StructField(n if n in types else f"_other{i}", types.get(n, T.StringType()))
+                            for i, n in enumerate(names)])
+    df = reader.schema(as_read).option("enforceSchema", "true").csv(path) if names else spark.createDataFrame([], wanted)
+    return df.select(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in wanted.fields]) if names else df
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -94,25 +89,39 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return read_csv(spark, path, schema)
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV that pandas reads back: header, quotes doubled, newlines kept inside quotes.
-
-    ``single_file`` is for small outputs such as a submission; it funnels through one task.
-    """
-    out = df.coalesce(1) if single_file else df
-    (out.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')
-     .option("quoteAll", "false").csv(path))
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """CSV that pandas reads back: header, quotes doubled, newlines kept inside quotes; a folder of part files."""
+    out = df.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"') \
+        .option("quoteAll", "false")
+    if rows_per_file:
+        out = out.option("maxRecordsPerFile", rows_per_file)
+    out.csv(path)
 
 
-def read_prediction_dir(spark: SparkSession, pattern: str, schema: T.StructType | str | None = None,
-                        banned_models: list[str] | None = None) -> DataFrame:
-    """One scan over a folder of per-model prediction files; ``model_id`` is the file name without suffix.
+def read_prediction_dir(spark: SparkSession, pattern: str, banned_models: list[str] | None = None,
+                        targets: list[str] = TARGETS) -> DataFrame:
+    """One scan over a folder of per-model prediction files: ``model_id, text_id, fold, <targets>``.
 
-    Replaces listing the folder and merging file by file: the glob is read once and the model id comes from
-    the file metadata column.
+    The files may differ: true targets plus ``pred_<target>`` columns or target-named predictions, with or without an
+    unnamed index column, in any column order. They are read once as raw records together with their file name; the
+    header record of each file (the one whose fields hold ``text_id``) says where its columns are, and a join on the
+    file puts them in place. The headers are one row per file.
     """
-    df = read_table(spark, pattern, schema)
-    return ban_models(df.withColumn("model_id", model_id_from_path(F.col("_metadata.file_path"))), banned_models)
+    width = 2 * len(targets) + 8
+    raw = (spark.read.options(**{**PANDAS_CSV, "header": "false", "mode": "PERMISSIVE"})
+           .schema(", ".join(f"c{i} string" for i in range(width))).csv(pattern)
+           .select(F.array(*[f"c{i}" for i in range(width)]).alias("r"), F.col("_metadata.file_path").alias("file")))
+    is_header = F.array_contains("r", "text_id")
+    heads = raw.filter(is_header).select("file", F.col("r").alias("h"))
+    rows = raw.filter(~F.coalesce(is_header, F.lit(False))).join(heads, "file")
+
+    def field(name):
+        return F.try_element_at("r", F.nullif(F.array_position("h", name), F.lit(0)).cast("int"))
+    has_pred = F.array_contains("h", f"pred_{targets[0]}")
+    df = rows.select(model_id_from_path(F.col("file")).alias("model_id"), field("text_id").alias("text_id"),
+                     field("fold").cast("int").alias("fold"),
+                     *[F.when(has_pred, field(f"pred_{t}")).otherwise(field(t)).cast("double").alias(t) for t in targets])
+    return ban_models(df, banned_models)
 
 
 def model_id_from_path(path) -> "F.Column":
