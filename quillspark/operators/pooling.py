@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def cells(tokens: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    keep = keep if keep is not None else ["doc_id", "layer", "pos", "mask"]
+    keep = keep if keep is not None else [c for c in ("doc_id", "layer", "pos", "mask") if c in tokens.columns]
     return tokens.select(*keep, F.posexplode("vec").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
 
 

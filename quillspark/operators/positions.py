@@ -7,7 +7,7 @@ key moves that key's rows into one task. Both are avoided here with a segmented
 2. pin partition id and in-partition index with a reliable checkpoint (ids stay stable if tasks rerun);
 3. aggregate each (partition, group) chunk into a small table (count, sums, minima);
 4. carry totals across chunks with a window on that small table;
-5. join the carries back (broadcast when the chunk table is proven small) and combine with local values.
+5. join the carries back (the optimiser picks the join from the measured size) and combine with local values.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 
-# Chunk tables up to this many rows are broadcast; above it they are joined with a shuffle.
-BROADCAST_CHUNK_ROWS = 2_000_000
 _IDX_MASK = (1 << 33) - 1
 
 
@@ -33,13 +31,6 @@ def _ranged(df: DataFrame, group_cols: list[str], order_cols: list, num_partitio
     return pin(ranged)
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    n = small.count()
-    if n <= BROADCAST_CHUNK_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on)
-
-
 def attach_positions(df: DataFrame, order_cols: list, group_cols: list[str] | None = None, pos_col: str = "pos",
                      num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order, restarting per group. Order keys must be unique
@@ -51,7 +42,7 @@ def attach_positions(df: DataFrame, order_cols: list, group_cols: list[str] | No
         if group_cols else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carries = chunks.select("_pid", *group_cols, "_first",
                             F.coalesce(F.sum("_n").over(carry_w), F.lit(0)).alias("_before"))
-    out = _join_small(ranged, carries, ["_pid", *group_cols])
+    out = ranged.join(carries, ["_pid", *group_cols])
     out = out.withColumn(pos_col, (F.col("_before") + F.col("_idx") - F.col("_first")).cast("long"))
     return out.drop("_pid", "_idx", "_first", "_before")
 
@@ -85,7 +76,7 @@ def running_aggregates(df: DataFrame, group_cols: list[str], order_cols: list, s
     carry_cols = [F.sum(f"_t_{n}").over(carry_w).alias(f"_c_{n}") for n in sums] + \
                  [F.min(f"_t_{n}").over(carry_w).alias(f"_c_{n}") for n in mins]
     carries = chunks.select("_pid", *group_cols, *carry_cols)
-    out = _join_small(local, carries, ["_pid", *group_cols])
+    out = local.join(carries, ["_pid", *group_cols])
     for name in sums:
         out = out.withColumn(name, _add_nullable(F.col(f"_c_{name}"), F.col(f"_l_{name}")))
     for name in mins:

@@ -6,6 +6,7 @@ each registered query grows with those tables.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,16 +135,36 @@ def metric_log(t: Tables) -> DataFrame:
     return ev.withColumn("step", (F.col("_p") + 1).cast("long")).drop("_p")
 
 
-def token_vectors(t: Tables) -> DataFrame:
-    """tokens(doc_id, layer, pos, mask, vec) from ``embeddings``."""
+def token_vectors(t: Tables, positions: bool = True) -> DataFrame:
+    """tokens(doc_id, layer, mask, vec, and pos if asked for) from ``embeddings``."""
     e = t.embeddings.select(F.col("label").cast("long").alias("doc_id"), "vec_id",
                             (F.col("vec_id") % 13).cast("int").alias("layer"),
                             F.when(F.col("vec_id") % 7 != 0, 1).otherwise(0).cast("int").alias("mask"),
                             F.col("embedding").alias("vec"))
-    e = attach_positions(e, ["vec_id"], ["doc_id", "layer"], pos_col="pos")
-    return e.withColumn("pos", F.col("pos").cast("int"))
+    if not positions:
+        return e
+    # the scan for positions carries keys only; the vectors are joined back by id
+    pos = attach_positions(e.select("doc_id", "layer", "vec_id"), ["vec_id"], ["doc_id", "layer"], pos_col="pos")
+    return e.join(pos.select("vec_id", F.col("pos").cast("int").alias("pos")), "vec_id")
 
 
 def closed_form_score(text, fold, j: int):
     """The fixture scorer: 1 + ((length(text) + 13 fold + 7 j) % 41) / 10."""
     return F.lit(1.0) + ((F.length(text) + F.lit(13) * fold + F.lit(7 * j)) % 41) / F.lit(10.0)
+
+
+class ClosedFormScorer:
+    """Deterministic stand-in model: 1 + ((len(text) + 13·fold + 7·j + offset) % 41) / 10 for target j."""
+
+    def __init__(self, offset: int = 0):
+        self.offset = offset
+
+    def __call__(self):
+        offset = self.offset
+
+        def score(pdf):
+            n = pdf["text"].fillna("").str.len().to_numpy(dtype=np.int64)
+            k = pdf["fold_model"].to_numpy(dtype=np.int64)
+            j = np.arange(len(TARGETS), dtype=np.int64)
+            return 1.0 + ((n[:, None] + 13 * k[:, None] + 7 * j[None, :] + offset) % 41) / 10.0
+        return score

@@ -45,8 +45,8 @@ LAST = "layer = (SELECT top FROM top)"
 MEAN = "sum(v * mask) / greatest(sum(mask), 1e-9)"
 
 
-def _tokens(spark, sf_dir):
-    return fx.token_vectors(Tables(spark, sf_dir))
+def _tokens(spark, sf_dir, positions: bool = False):
+    return fx.token_vectors(Tables(spark, sf_dir), positions)
 
 
 def _width(spark, sf_dir) -> int:
@@ -92,14 +92,14 @@ _LW_SUM = sum(layer_weight(l) for l in range(LAYER_START, 13))
           f"AS value FROM cells WHERE pos = 0 AND layer >= {LAYER_START} GROUP BY doc_id, dim")
 def pool_weighted_layers(spark, sf_dir):
     """Layers 4..12 (13 hidden states) with weights 1 + l % 3."""
-    return rounded(P.pool_weighted_layers(_tokens(spark, sf_dir), {l: layer_weight(l) for l in range(13)},
+    return rounded(P.pool_weighted_layers(_tokens(spark, sf_dir, True), {l: layer_weight(l) for l in range(13)},
                                           LAYER_START))
 
 
 @register("pool_concat_cls", sql=TOKENS_SQL + "SELECT doc_id, cast(((SELECT top FROM top) - layer) * (SELECT d FROM top) "
           f"+ dim AS int) AS dim, round(v, 6) AS value FROM cells WHERE pos = 0 AND layer > (SELECT top FROM top) - {N_CONCAT}")
 def pool_concat_cls(spark, sf_dir):
-    return rounded(P.pool_concat_cls(_tokens(spark, sf_dir), N_CONCAT))
+    return rounded(P.pool_concat_cls(_tokens(spark, sf_dir, True), N_CONCAT))
 
 
 @register("pool_concat_mean", sql=TOKENS_SQL + "SELECT doc_id, cast(((SELECT top FROM top) - layer) * (SELECT d FROM top) "
@@ -121,7 +121,7 @@ def pool_attention(spark, sf_dir):
     d = _width(spark, sf_dir)
     q = [q_vec(i) for i in range(d)]
     w = [[w_att(i, f) for f in range(N_OUT)] for i in range(d)]
-    return rounded(P.pool_attention(_tokens(spark, sf_dir), q, w))
+    return rounded(P.pool_attention(_tokens(spark, sf_dir, True), q, w))
 
 
 @register("linear_head", sql=TOKENS_SQL + f""",
@@ -135,3 +135,13 @@ def linear_head(spark, sf_dir):
     feats = P.pool_mean(_tokens(spark, sf_dir))
     w = [[w_head(i, j) for j in range(len(TARGETS))] for i in range(d)]
     return rounded(P.linear_head(feats, w, [HEAD_BIAS] * len(TARGETS), TARGETS))
+
+
+@register("pool_vectors", sql=TOKENS_SQL + f""",
+pm AS (SELECT doc_id, dim, round({MEAN}, 6) AS x FROM cells WHERE {LAST} GROUP BY doc_id, dim)
+SELECT doc_id, list(x ORDER BY dim)::VARCHAR[] AS vec FROM pm GROUP BY doc_id""".replace("\n,\npm", ",\npm")
+          .replace("list(x ORDER BY dim)::VARCHAR[]", "array_to_string(list(cast(round(x * 1e6) AS bigint) ORDER BY dim), ' ')"))
+def pool_vectors(spark, sf_dir):
+    """P1 as one vector per document (written as millionths, so engines print it alike)."""
+    vec = P.to_vectors(rounded(P.pool_mean(_tokens(spark, sf_dir))))
+    return vec.select("doc_id", F.array_join(F.transform("vec", lambda x: F.round(x * 1e6).cast("long")), " ").alias("vec"))
