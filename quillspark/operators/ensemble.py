@@ -8,7 +8,7 @@ NaN even for w = 0).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..targets import TARGETS, clip_score
@@ -45,16 +45,15 @@ def blend(predictions: DataFrame, weights: DataFrame, keys: list[str], targets:
     """
     targets = targets or TARGETS
     spec = weight_spec(weights, targets)
-    w = F.broadcast(weights.select("model_id", "target", "w"))
+    w = F.broadcast(numbered(weights.select("model_id", "target", "w"), "target"))
     joined = predictions.join(w, ["model_id", "target"])
     aggs = []
     for t in targets:
         is_t = F.col("target") == t
         total = F.sum(F.when(is_t, F.col("w") * F.col("pred")))
-        n = F.count(F.when(is_t, F.col("pred")))
         n_models, w_sum = spec[t]
         value = total / F.lit(w_sum) if normalise else total
-        value = F.when(n == F.lit(n_models), value)
+        value = F.when(each_once(F.when(is_t & F.col("pred").isNotNull(), F.col("_no")), n_models), value)
         aggs.append((clip_score(value) if clip else value).alias(t))
     out = joined.groupBy(*keys).agg(*aggs)
     if template is not None:
@@ -66,25 +65,48 @@ def blend_stacked(predictions: DataFrame, weights: DataFrame, keys: list[str], t
                   clip: bool = False) -> DataFrame:
     """Every (model, source column) may feed every target. Weights ``(target, model_id, source_target, w)``."""
     targets = targets or TARGETS
-    collect_small(weights.select("target"))  # size check before the broadcast below
     n_terms = {r["target"]: int(r["n"]) for r in
                collect_small(weights.groupBy("target").agg(F.count(F.lit(1)).alias("n")))}
-    w = F.broadcast(weights.select(F.col("model_id"), F.col("source_target").alias("_src"),
-                                   F.col("target").alias("_dst"), "w"))
+    w = F.broadcast(numbered(weights.select(F.col("model_id"), F.col("source_target").alias("_src"),
+                                            F.col("target").alias("_dst"), "w"), "_dst"))
     joined = predictions.withColumnRenamed("target", "_src").join(w, ["model_id", "_src"])
     aggs = []
     for t in targets:
         is_t = F.col("_dst") == t
-        value = F.when(F.count(F.when(is_t, F.col("pred"))) == F.lit(n_terms.get(t, 0)),
+        value = F.when(each_once(F.when(is_t & F.col("pred").isNotNull(), F.col("_no")), n_terms.get(t, 0)),
                        F.sum(F.when(is_t, F.col("w") * F.col("pred"))))
         aggs.append((clip_score(value) if clip else value).alias(t))
     return joined.groupBy(*keys).agg(*aggs)
 
 
-def fold_mean(predictions: DataFrame, keys: list[str], n_folds: int = 5) -> DataFrame:
-    """Mean over fold models; NULL unless all ``n_folds`` fold models scored the row."""
+def numbered(weights: DataFrame, by: str) -> DataFrame:
+    """The weight table (a parameter table, size-checked) with ``_no`` = 0, 1, ... per target."""
+    rows = sorted(collect_small(weights), key=lambda r: [str(x) for x in r])
+    seen: dict[str, int] = {}
+    out = []
+    for r in rows:
+        out.append((*r, seen.get(r[by], 0)))
+        seen[r[by]] = out[-1][-1] + 1
+    return weights.sparkSession.createDataFrame(out, weights.schema.add("_no", "long"))
+
+
+def each_once(number: Column, n: int) -> Column:
+    """True if the non-null ``number`` values of a group are 0..n-1, each exactly once: n rows, and every number seen
+    (one bit each in bitmaps of 63 numbers, which combine map-side)."""
+    ok = F.count(number) == F.lit(n)
+    for lo in range(0, n, 63):
+        size = min(63, n - lo)
+        inside = number.between(lo, lo + size - 1)
+        bits = F.bit_or(F.when(inside, F.call_function("shiftleft", F.lit(1).cast("long"), (number - lo).cast("int"))))
+        ok = ok & (F.coalesce(bits, F.lit(0)) == F.lit((1 << size) - 1))
+    return ok
+
+
+def fold_mean(predictions: DataFrame, keys: list[str], n_folds: int = 5, fold_col: str = "fold") -> DataFrame:
+    """Mean over fold models; NULL unless each of the ``n_folds`` fold models scored the row exactly once."""
+    scored = F.when(F.col("pred").isNotNull(), F.col(fold_col))
     return (predictions.groupBy(*keys, "target")
-            .agg(F.when(F.count("pred") == n_folds, F.avg("pred")).alias("pred")))
+            .agg(F.when(each_once(scored, n_folds), F.avg("pred")).alias("pred")))
 
 
 def clip_predictions(predictions: DataFrame, col: str = "pred") -> DataFrame:
@@ -116,20 +138,69 @@ def weight_sums(weights: DataFrame) -> DataFrame:
     return weights.groupBy("target").agg(F.sum("w").alias("sum_w"))
 
 
+CATALOG_COLUMNS = ["ensemble_id", "kind", "source", "destination", "fold_source", "model_id", "target", "w"]
+KINDS = ("modelwise", "columnwise", "normalised")
+FOLD_SOURCES = ("own", "zero")
+
+
+def load_catalog(spark, path: str) -> DataFrame:
+    """Named ensembles from a file (Parquet, or CSV with a header): weights are data, not code.
+
+    Columns ``ensemble_id, kind, source, destination, fold_source, model_id, target, w``: the source population the
+    ensemble reads, the name its output is stored under and where each fold's predictions come from. A row with a NULL
+    target holds for every target (model-wise weights).
+    """
+    from ..sources.tables import read_table
+    schema = "ensemble_id string, kind string, source string, destination string, fold_source string, model_id string, target string, w double"
+    df = read_table(spark, path, schema)
+    targets = F.when(F.col("target").isNull(), F.array(*[F.lit(t) for t in TARGETS])).otherwise(F.array("target"))
+    return df.select(*CATALOG_COLUMNS).withColumn("target", F.explode(targets))
+
+
 def run_catalog(catalog: DataFrame, ensemble_id: str, predictions: DataFrame, keys: list[str],
                 template: DataFrame | None = None) -> DataFrame:
     """Dispatch a named ensemble. Catalogue rows ``(ensemble_id, kind, model_id, target, w)``.
 
-    ``kind``: ``modelwise`` (plain weighted sum), ``columnwise`` (sum then clip). Unknown ids are an error.
+    ``kind``: ``modelwise`` (plain weighted sum), ``columnwise`` (sum then clip), ``normalised`` (sum over the weight sum).
+    Unknown ids are an error.
     """
     entry = catalog.filter(F.col("ensemble_id") == ensemble_id)
-    kinds = [r["kind"] for r in collect_small(entry.select("kind").distinct())]
-    if not kinds:
-        raise KeyError(f"unknown ensemble id {ensemble_id!r}")
-    if len(kinds) > 1:
-        raise ValueError(f"ensemble {ensemble_id!r} mixes kinds {kinds}")
-    kind = kinds[0]
-    if kind not in ("modelwise", "columnwise"):
+    kind = _single(entry, "kind", ensemble_id)
+    if kind not in KINDS:
         raise ValueError(f"unknown ensemble kind {kind!r}")
     used = predictions.join(F.broadcast(entry.select("model_id").distinct()), "model_id", "left_semi")
-    return blend(used, entry, keys, clip=(kind == "columnwise"), template=template)
+    return blend(used, entry, keys, clip=(kind == "columnwise"), normalise=(kind == "normalised"), template=template)
+
+
+def _single(entry: DataFrame, col: str, ensemble_id: str):
+    found = [r[0] for r in collect_small(entry.select(col).distinct())]
+    if not found:
+        raise KeyError(f"unknown ensemble id {ensemble_id!r}")
+    if len(found) > 1:
+        raise ValueError(f"ensemble {ensemble_id!r} mixes {col} {found}")
+    return found[0]
+
+
+def route_catalog(catalog: DataFrame, ensemble_id: str, sources: dict[str, DataFrame], keys: list[str],
+                  fold_col: str = "fold", n_folds: int = 5) -> DataFrame:
+    """G9 with routing: blend the ensemble over the population its entry names; adds ``destination``.
+
+    ``fold_source`` ``own`` blends every fold's predictions for that fold; ``zero`` feeds fold 0's to all folds (G3).
+    """
+    entry = catalog.filter(F.col("ensemble_id") == ensemble_id)
+    source = _single(entry, "source", ensemble_id)
+    if source not in sources:
+        raise KeyError(f"ensemble {ensemble_id!r} reads unknown population {source!r}")
+    preds = fold_source(sources[source], _single(entry, "fold_source", ensemble_id), fold_col, n_folds)
+    return run_catalog(catalog, ensemble_id, preds, keys) \
+        .withColumn("destination", F.lit(_single(entry, "destination", ensemble_id)))
+
+
+def fold_source(predictions: DataFrame, source: str, fold_col: str = "fold", n_folds: int = 5) -> DataFrame:
+    """Which fold model's predictions stand in each output fold: its ``own``, or fold ``zero``'s in all of them."""
+    if source not in FOLD_SOURCES:
+        raise ValueError(f"unknown fold source {source!r}; expected one of {FOLD_SOURCES}")
+    if source == "own":
+        return predictions
+    folds = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
+    return predictions.filter(F.col(fold_col) == 0).drop(fold_col).select("*", folds.alias(fold_col))

@@ -40,29 +40,40 @@ def mse(y: Column, p: Column) -> Column:
 
 
 def scores_by_target(scored: DataFrame, by: list[str], criterion: Criterion = rmse,
-                     name: str = "rmse") -> DataFrame:
+                     name: str = "rmse", strict: bool = False) -> DataFrame:
     """One row per (by..., target) with the criterion and the number of scored rows.
 
-    Rows whose prediction is NULL are skipped and show up as a smaller ``n`` (lenient mode).
+    Lenient (default): rows whose prediction or truth is NULL or NaN are skipped and show up as a smaller ``n``.
+    ``strict``: any such row is an error, raised when the result is computed.
     """
-    valid = scored.filter(F.col("pred").isNotNull() & F.col("y").isNotNull())
-    return valid.groupBy(*by, "target").agg(criterion(F.col("y"), F.col("pred")).alias(name),
-                                            F.count(F.lit(1)).alias("n"))
-
-
-def mcrmse(target_scores: DataFrame, by: list[str], col: str = "rmse") -> DataFrame:
-    """Mean of the per-target scores."""
-    return target_scores.groupBy(*by).agg(F.avg(col).alias("mcrmse"))
+    y, p = F.col("y"), F.col("pred")
+    valid = y.isNotNull() & p.isNotNull() & ~F.isnan(y) & ~F.isnan(p)
+    if strict:
+        fail = F.raise_error(F.lit("a prediction or label is missing or NaN")).cast("double")
+        rows = scored.withColumn("pred", F.when(valid, p).otherwise(fail))
+    else:
+        rows = scored.filter(valid)
+    return rows.groupBy(*by, "target").agg(criterion(F.col("y"), F.col("pred")).alias(name), F.count(F.lit(1)).alias("n"))
+
+
+def mcrmse(target_scores: DataFrame, by: list[str], col: str = "rmse", targets: list[str] | None = None) -> DataFrame:
+    """Mean of the per-target scores; NULL unless every target has one."""
+    targets = targets or TARGETS
+    scored = F.count(F.when(F.col("target").isin(targets), F.col(col)))
+    return target_scores.groupBy(*by).agg(F.when(scored == len(targets), F.avg(col)).alias("mcrmse"))
 
 
 def leaderboard(target_scores: DataFrame, by: str = "model_id", col: str = "rmse",
                 targets: list[str] | None = None) -> DataFrame:
-    """I4: targets as columns, MCRMSE, ordered best first (ties by id)."""
+    """I4: targets as columns, MCRMSE and the scored rows of the least covered target (``n``), best first, ties by id;
+    a model that lacks a target has no MCRMSE and comes last."""
     targets = targets or TARGETS
     wide = target_scores.groupBy(by).agg(*[F.max(F.when(F.col("target") == t, F.col(col))).alias(t)
-                                           for t in targets])
+                                           for t in targets],
+                                         F.when(F.count(F.when(F.col("target").isin(targets), F.col(col))) == len(targets),
+                                                F.min("n")).otherwise(F.lit(0)).cast("long").alias("n"))
     mean = sum((F.col(t) for t in targets), F.lit(0.0)) / F.lit(float(len(targets)))
-    return wide.withColumn("mcrmse", mean).orderBy("mcrmse", by)
+    return wide.withColumn("mcrmse", mean).orderBy(F.col("mcrmse").asc_nulls_last(), by)
 
 
 def cumulative_cv(scored: DataFrame, by: list[str], fold_col: str = "fold") -> DataFrame:
@@ -134,12 +145,23 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def focal_row(logits: Column, target: Column, gamma: float = 2.0) -> Column:
-    """I11 row term: -(1 - p_c)^γ · log p_c for c = first argmax of the target."""
+def focal_row(logits: Column, target: Column, gamma: float = 2.0, weights: list[float] | None = None) -> Column:
+    """I11 row term: -w_c · (1 - p_c)^γ · log p_c for c = first argmax of the target; class weights default to 1.
+
+    As in the usual weighted negative log-likelihood, the mean over rows is Σ terms / Σ w_c (``class_weight``).
+    """
     logp = log_softmax(logits)
     c = F.array_position(target, F.array_max(target))
     lp = F.element_at(logp, c.cast("int"))
-    return -(F.pow(F.lit(1.0) - F.exp(lp), F.lit(gamma)) * lp)
+    return -(F.pow(F.lit(1.0) - F.exp(lp), F.lit(gamma)) * lp) * class_weight(target, weights)
+
+
+def class_weight(target: Column, weights: list[float] | None) -> Column:
+    """Weight of the row's class (first argmax of the target)."""
+    if weights is None:
+        return F.lit(1.0)
+    c = F.array_position(target, F.array_max(target)).cast("int")
+    return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), c)
 
 
 def dense_ce_row(logits: Column, target: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ensemble as G
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..session import scratch_path
 from ..sources.store import to_long
 from ..sources.tables import Tables
 from ..targets import TARGETS
@@ -68,10 +69,9 @@ def blend_current(spark, sf_dir):
     """G3 with ``fold_source='zero'``: fold 0's pseudo labels feed all five outputs (as the reference did)."""
     t = Tables(spark, sf_dir)
     cur = fx.current_population(t)
-    preds = fx.pseudo_long(cur.select("doc_id", "text_id", *TARGETS), n_folds=1)  # fold model 0 only
-    blended = G.blend(preds, fx.columnwise_weights(spark), ["text_id"], clip=True)
-    out = J.attach_text(blended, cur).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return rounded(out.select(F.col("_f").cast("int").alias("fold"), "text_id", *TARGETS, "full_text"))
+    preds = G.fold_source(fx.pseudo_long(cur.select("doc_id", "text_id", *TARGETS)), "zero")
+    blended = G.blend(preds, fx.columnwise_weights(spark), ["fold", "text_id"], clip=True)
+    return rounded(J.attach_text(blended, cur).select("fold", "text_id", *TARGETS, "full_text"))
 
 
 _OOF_M = ",\n".join(oof_model_cte(f"m{i}", m) for i, m in enumerate(MODELS))
@@ -139,8 +139,12 @@ def ensemble_catalog(spark, sf_dir):
     t = Tables(spark, sf_dir)
     cat = fx.modelwise_weights(spark, "cat_modelwise").withColumn("kind", F.lit("modelwise")).unionByName(
         fx.columnwise_weights(spark, "cat_columnwise").withColumn("kind", F.lit("columnwise")))
+    path = scratch_path(spark, "catalog") + ".parquet"
+    (cat.withColumns({"source": F.lit("prev"), "destination": F.lit("fixture"), "fold_source": F.lit("own")})
+        .select(*G.CATALOG_COLUMNS).write.parquet(path))
     preds = fx.pseudo_long(fx.essays(t))
-    return rounded(G.run_catalog(cat, "cat_columnwise", preds, ["fold", "text_id"]))
+    out = G.route_catalog(G.load_catalog(spark, path), "cat_columnwise", {"prev": preds}, ["fold", "text_id"])
+    return rounded(out.drop("destination"))
 
 
 _SCORES = f"""WITH {essays_cte()},\n{long_oof_cte()},

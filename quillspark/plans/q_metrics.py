@@ -51,8 +51,8 @@ _LB_MEAN = " + ".join(f"max(CASE WHEN target = '{t}' THEN rmse END)" for t in TA
 
 
 @register("leaderboard", sql=WITH_OOF + f"""
-SELECT model_id, {_LB_COLS}, round(({_LB_MEAN}) / 6e0, 6) AS mcrmse FROM (
-  SELECT model_id, target, sqrt(avg((pred - y) * (pred - y))) AS rmse FROM oof GROUP BY model_id, target)
+SELECT model_id, {_LB_COLS}, min(n) AS n, round(({_LB_MEAN}) / 6e0, 6) AS mcrmse FROM (
+  SELECT model_id, target, sqrt(avg((pred - y) * (pred - y))) AS rmse, count(*) AS n FROM oof GROUP BY model_id, target)
 GROUP BY model_id""")
 def leaderboard(spark, sf_dir):
     scored, _ = _scored(spark, sf_dir)
@@ -279,9 +279,11 @@ SELECT run_id, fold, step AS best_step, loss AS best_loss FROM (
 WHERE r = 1""")
 def best_checkpoint(spark, sf_dir):
     log = fx.metric_log(Tables(spark, sf_dir))
-    best = F.min_by(F.struct("step", "loss"), F.struct("loss", "step"))
-    return (log.groupBy("run_id", "fold").agg(best.alias("b"))
-            .select("run_id", "fold", F.col("b.step").alias("best_step"), F.col("b.loss").alias("best_loss")))
+    # primitive buffers keep the hash aggregate: the lowest loss first, then the first step that reached it
+    lowest = log.groupBy("run_id", "fold").agg(F.min("loss").alias("best_loss"))
+    return (log.join(lowest, ["run_id", "fold"]).filter(F.col("loss") == F.col("best_loss"))
+            .groupBy("run_id", "fold", "best_loss").agg(F.min("step").alias("best_step"))
+            .select("run_id", "fold", "best_step", "best_loss"))
 
 
 # --- T1: the same roll-up as a stream ----------------------------------------------------------------------------
@@ -294,9 +296,16 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, user_id AS r
        round(round(sum(value * (1 + event_id % 6)), 9) / sum(1 + event_id % 6), 6) AS epoch_loss
 FROM events GROUP BY 1, 2, 3""")
 def metric_stream(spark, sf_dir):
-    """Structured Streaming roll-up (watermark, daily window, update mode, foreachBatch sink), read back."""
+    """Structured Streaming roll-up (watermark, daily window, update mode, foreachBatch sink), read back.
+
+    The backlog arrives as eight files in no time order, two per trigger; no row may fall behind the watermark.
+    """
+    from ..session import scratch_path
     from ..streaming import metric_stream as MS
     events = Tables(spark, sf_dir).events
-    # the file source reads folders or globs; a one-character class turns the single file into a glob
-    sink = MS.run_metric_stream(spark, f"{sf_dir}/event[s].parquet", events.schema)
+    source = scratch_path(spark, "metric-source")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(source)
+    sink, dropped = MS.run_metric_stream(spark, source, events.schema, max_files_per_trigger=2)
+    if dropped:
+        raise RuntimeError(f"{dropped} rows were behind the watermark")
     return rounded(MS.finish(MS.latest(spark, sink)))
