@@ -1,10 +1,13 @@
 """Roll up a training-metric stream per (day, run, fold) with Structured Streaming.
 
 ``readStream`` (file source) → event-time watermark → tumbling window × (run, fold) aggregate in ``update``
-mode → ``foreachBatch`` appends each micro-batch's updated rows, tagged with the batch id, to a table in the
-shared folder. Late rows inside the watermark update their window and are appended again; the ``latest``
-view keeps the newest version per key. A replayed batch (after a failure) rewrites the same batch id, which
-the view deduplicates, so the sink is effectively exactly-once.
+mode → ``foreachBatch`` writes each micro-batch's updated rows to the folder of its batch id. Late rows inside the
+watermark update their window and are written again; the ``latest`` view keeps the newest version per key. A
+replayed batch (after a failure) overwrites its own folder, so the sink is effectively exactly-once.
+
+A backlog is read in file order, not in time order, so a watermark shorter than the span of the backlog would drop rows.
+Without an explicit watermark it covers that span (one aggregate over the time column); rows that still fall behind
+a given watermark are counted by Spark and returned.
 """
 
 from __future__ import annotations
@@ -37,44 +40,48 @@ def rollup(rows: DataFrame, window: str = "1 day") -> DataFrame:
                     "best_loss", "steps"))
 
 
+def backlog_watermark(spark: SparkSession, source_path: str, schema: T.StructType) -> str:
+    """A watermark that no row of the files there now can be behind: their time span plus a day."""
+    ts = F.col("ts").cast("timestamp").cast("double")
+    lo, hi = spark.read.schema(schema).parquet(source_path).select(F.min(ts), F.max(ts)).first()
+    return f"{int((hi or 0) - (lo or 0)) + 86_400} seconds"
+
+
 def run_metric_stream(spark: SparkSession, source_path: str, schema: T.StructType, sink_path: str | None = None,
-                      checkpoint: str | None = None, watermark: str = "1 hour", window: str = "1 day",
-                      max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> str:
-    """Run the stream over everything available now (``availableNow``), return the sink path.
+                      checkpoint: str | None = None, watermark: str | None = None, window: str = "1 day",
+                      max_files_per_trigger: int | None = None, state_partitions: int | None = None) -> tuple[str, int]:
+    """Run the stream over everything available now (``availableNow``); returns the sink path and the number of rows
+    dropped because they were behind the watermark (default: one that covers the backlog).
 
     The state store gets ``state_partitions`` partitions (default: the cluster's parallelism). Spark fixes that
-    number from ``spark.sql.shuffle.partitions`` when a query first starts, so it is set for the start only.
+    number from ``spark.sql.shuffle.partitions`` when a query first starts, so the query runs in a session of its own.
     """
     sink_path = sink_path or scratch_path(spark, "metric-sink")
     checkpoint = checkpoint or scratch_path(spark, "metric-ckpt")
-    reader = spark.readStream.schema(schema)
+    watermark = watermark or backlog_watermark(spark, source_path, schema)
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    reader = own.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = metric_rows(reader.parquet(source_path)).withWatermark("ts", watermark)
-    agg = rollup(rows, window)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-              .write.mode("append").partitionBy("batch_id").parquet(sink_path))
-
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        query = (agg.writeStream.outputMode("update").foreachBatch(sink)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+        batch.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
+
+    query = (rollup(rows, window).writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    return sink_path
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    return sink_path, dropped
 
 
 def latest(spark: SparkSession, sink_path: str) -> DataFrame:
     """Newest version of every (window, run, fold) row in the sink."""
     df = spark.read.parquet(sink_path)
-    vals = ["loss_sum", "n", "best_loss", "steps"]
-    best = F.max_by(F.struct(*vals), F.col("batch_id"))
-    return df.groupBy(*KEY).agg(best.alias("_v")).select(*KEY, *[F.col(f"_v.{v}").alias(v) for v in vals])
+    newest = df.groupBy(*KEY).agg(F.max("batch_id").alias("batch_id"))
+    return df.join(newest, [*KEY, "batch_id"]).select(*KEY, "loss_sum", "n", "best_loss", "steps")
 
 
 def finish(df: DataFrame) -> DataFrame:
