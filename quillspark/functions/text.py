@@ -68,6 +68,38 @@ ASCII_FOLD = {
     "•": "*", "…": "...", "‰": "%0", "‹": "<", "›": ">", "€": "EUR", "™": "(tm)",
 }
 
+# Latin renderings of the Greek and Cyrillic small letters; capitals follow by rule.
+GREEK_AND_CYRILLIC = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l",
+    "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph",
+    "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k",
+    "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh",
+    "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ё": "io",
+    "і": "i", "ї": "i", "є": "ie", "ґ": "g",
+}
+
+
+def _wider_letters() -> dict[str, str]:
+    """Letters beyond Latin-1 by rule: accented Latin and Greek letters lose their marks (canonical decomposition),
+    Greek and Cyrillic letters get their Latin rendering, a capital the rendering of its small letter with a capital."""
+    out = {}
+    for small, latin in GREEK_AND_CYRILLIC.items():
+        out[small] = latin
+        if len(small.upper()) == 1 and small != "ς":
+            out[small.upper()] = latin[:1].upper() + latin[1:]
+    for point in [*range(0x100, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x1F00)]:
+        ch = chr(point)
+        base = [c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c)]
+        if ch not in out and ch not in ASCII_FOLD and len(base) == 1 and base[0] != ch:
+            latin = base[0] if base[0].isascii() else out.get(base[0])
+            if latin is not None:
+                out[ch] = latin
+    return out
+
+
+ASCII_FOLD |= _wider_letters()
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

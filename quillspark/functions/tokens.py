@@ -81,20 +81,27 @@ def token_ids(tokens: Column, vocab_size: int = 30522) -> Column:
 
 
 def mask_tokens(ids: Column, doc_key: Column, epoch: Column | int, p: float = 0.1, seed: int = 42,
-                mask_id: int = SPECIAL_IDS[MASK], active_epochs: tuple[int, ...] | None = (0, 1)) -> Column:
-    """Replace each id by ``mask_id`` with probability ``p``; CLS, SEP and PAD ids are protected.
+                mask_id: int = SPECIAL_IDS[MASK], active_epochs: tuple[int, ...] | None = (0, 1),
+                added_from: int | None = None) -> Column:
+    """Replace each id by ``mask_id`` with probability ``p``; CLS, SEP, PAD, the mask itself and ids from
+    ``added_from`` on (markers added behind the vocabulary) are protected.
 
     Masking is a training-time augmentation of the first epochs only (``active_epochs``; None = every epoch).
     The coin is a seeded hash of (doc, position, epoch), so a rerun of a lost task reproduces the same mask.
     """
-    protected = [SPECIAL_IDS[CLS], SPECIAL_IDS[SEP], SPECIAL_IDS[PAD]]
+    protected = [SPECIAL_IDS[CLS], SPECIAL_IDS[SEP], SPECIAL_IDS[PAD], mask_id]
     ep = F.lit(epoch) if isinstance(epoch, int) else epoch
     if isinstance(epoch, int) and active_epochs is not None and epoch not in active_epochs:
         return ids
 
     def one(x, i):
-        coin = F.pmod(F.xxhash64(F.lit(seed), doc_key, i, ep), F.lit(1_000_000)) / F.lit(1_000_000.0)
-        return F.when(x.isin(protected), x).when(coin < F.lit(p), F.lit(mask_id)).otherwise(x)
+        # the first 8 hex digits of an md5: a coin that any engine can toss again
+        coin = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_key, i, ep).cast("binary")), 1, 8), 16, 10) \
+            .cast("long") / F.lit(float(1 << 32))
+        keep = x.isin(protected)
+        if added_from is not None:
+            keep = keep | (x >= added_from)
+        return F.when(keep, x).when(coin < F.lit(p), F.lit(mask_id)).otherwise(x)
     return F.transform(ids, one)
 
 

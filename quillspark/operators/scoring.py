@@ -3,7 +3,8 @@
 A *scorer factory* is a picklable callable returning ``score(pdf) -> ndarray[n, 6]`` for a pandas batch with
 columns ``text`` and ``fold_model``. ``mapInPandas`` calls the factory once per task (load the model once),
 then feeds Arrow batches; rows are sorted by length inside each partition first, so batches pad little,
-without a global sort.
+without a global sort. Every text is sent to Python once: the fold models (and, for a registry, the models) are
+looped over inside the batch, and fold means are taken there, so nothing is fanned out or shuffled.
 """
 
 from __future__ import annotations
@@ -16,60 +17,68 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import pin
 from ..targets import N_FOLDS, TARGETS
 
 ScorerFactory = Callable[[], Callable[[pd.DataFrame], np.ndarray]]
 MODES = ("oofs", "prev_pseudolabels", "curr_pseudolabels", "submission")
 
 
-class ClosedFormScorer:
-    """Deterministic stand-in model: 1 + ((len(text) + 13·fold + 7·j + offset) % 41) / 10 for target j."""
-
-    def __init__(self, offset: int = 0):
-        self.offset = offset
-
-    def __call__(self):
-        offset = self.offset
+def score_batch(rows: DataFrame, factory: ScorerFactory, id_col: str = "text_id", text_col: str = "full_text",
+                fold_model_col: str = "fold_model", extra: list[str] | None = None,
+                fold_models: list[int] | None = None, mean: bool = False) -> DataFrame:
+    """K1: score each row with the fold model named in ``fold_model_col``, or with every one of ``fold_models``; wide
+    output, one column per target; ``mean`` averages over the fold models."""
+    return score_registry(rows, {"": factory}, id_col, text_col, fold_model_col, extra, fold_models, mean).drop("model_id")
 
-        def score(pdf: pd.DataFrame) -> np.ndarray:
-            n = pdf["text"].fillna("").str.len().to_numpy(dtype=np.int64)
-            k = pdf["fold_model"].to_numpy(dtype=np.int64)
-            j = np.arange(len(TARGETS), dtype=np.int64)
-            return 1.0 + ((n[:, None] + 13 * k[:, None] + 7 * j[None, :] + offset) % 41) / 10.0
-        return score
 
+def score_registry(rows: DataFrame, registry: dict[str, ScorerFactory], id_col: str = "text_id",
+                   text_col: str = "full_text", fold_model_col: str = "fold_model", extra: list[str] | None = None,
+                   fold_models: list[int] | None = None, mean: bool = False) -> DataFrame:
+    """K3: every named factory scores every row (each with its fold models) while the row's batch is in memory.
 
-def score_batch(rows: DataFrame, factory: ScorerFactory, id_col: str = "text_id", text_col: str = "full_text",
-                fold_model_col: str = "fold_model", extra: list[str] | None = None) -> DataFrame:
-    """K1: score each row with the fold model named in ``fold_model_col``; wide output, one column per target."""
+    Models are loaded one at a time per batch order but kept for the task; rows come out as ``(model_id, id, fold_model,
+    targets..., extra...)``, without ``fold_model`` when ``mean``.
+    """
     extra = extra or []
-    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                      F.col(fold_model_col).cast("int").alias("fold_model"), *extra)
+    own = F.col(fold_model_col).cast("int") if fold_models is None else F.lit(0)
+    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("fold_model"), *extra)
     src = src.sortWithinPartitions(F.length("text"), "id")
     extra_fields = [f for f in src.schema.fields if f.name in extra]
-    schema = "id string, fold_model int, " + ", ".join(f"{t} double" for t in TARGETS)
+    schema = "model_id string, id string, " + ("" if mean else "fold_model int, ") + ", ".join(f"{t} double" for t in TARGETS)
     for f in extra_fields:
         schema += f", {f.name} {f.dataType.simpleString()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = factory()
-        for pdf in batches:
-            preds = np.asarray(score(pdf), dtype=np.float64)
+        models = {name: factory() for name, factory in registry.items()}
+
+        def frame(name, pdf, preds, fold):
             out = pd.DataFrame(preds, columns=TARGETS)
-            out.insert(0, "fold_model", pdf["fold_model"].to_numpy())
+            if not mean:
+                out.insert(0, "fold_model", fold)
             out.insert(0, "id", pdf["id"].to_numpy())
+            out.insert(0, "model_id", name)
             for f in extra_fields:
                 out[f.name] = pdf[f.name].to_numpy()
-            yield out
+            return out
+        for pdf in batches:
+            for name, score in models.items():
+                if fold_models is None:
+                    yield frame(name, pdf, np.asarray(score(pdf), dtype=np.float64), pdf["fold_model"].to_numpy())
+                    continue
+                total = 0.0
+                for k in fold_models:
+                    preds = np.asarray(score(pdf.assign(fold_model=np.int32(k))), dtype=np.float64)
+                    if mean:
+                        total = total + preds
+                    else:
+                        yield frame(name, pdf, preds, np.full(len(pdf), k, dtype="int32"))
+                if mean:
+                    yield frame(name, pdf, total / len(fold_models), None)
 
     return src.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
-def with_fold_models(rows: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
-    """Each row once per fold model (a fixed fan-out of K, not a join)."""
-    return rows.withColumn("fold_model", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-
-
 def score_mode(mode: str, labelled: DataFrame, factory: ScorerFactory, previous: DataFrame | None = None,
                test: DataFrame | None = None, id_col: str = "text_id", n_folds: int = N_FOLDS) -> DataFrame:
     """K2: the four inference modes.
@@ -77,8 +86,9 @@ def score_mode(mode: str, labelled: DataFrame, factory: ScorerFactory, previous:
     * ``oofs``: each labelled row by the model of its own (stored) fold;
     * ``prev_pseudolabels``: previous data minus labelled ids, by all K models;
     * ``curr_pseudolabels``: labelled data by all K models;
-    * ``submission``: test rows by all K models, averaged over folds (all K required).
+    * ``submission``: test rows by all K models, averaged over folds inside the batch.
     """
+    folds = list(range(n_folds))
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; expected one of {MODES}")
     if mode == "oofs":
@@ -87,42 +97,29 @@ def score_mode(mode: str, labelled: DataFrame, factory: ScorerFactory, previous:
         if previous is None:
             raise ValueError("prev_pseudolabels needs the previous table")
         rows = previous.join(labelled.select(id_col), id_col, "left_anti")
-        return score_batch(with_fold_models(rows, n_folds), factory, id_col)
+        return score_batch(rows, factory, id_col, fold_models=folds)
     if mode == "curr_pseudolabels":
-        return score_batch(with_fold_models(labelled, n_folds), factory, id_col)
+        return score_batch(labelled, factory, id_col, fold_models=folds)
     if test is None:
         raise ValueError("submission needs the test table")
-    scored = score_batch(with_fold_models(test, n_folds), factory, id_col)
-    return scored.groupBy(id_col).agg(
-        *[F.when(F.count(t) == n_folds, F.avg(t)).alias(t) for t in TARGETS])
-
-
-class RegistryScorer:
-    """K3: one factory for a registry of models; each row names its model (``model_id``) and fold model."""
-
-    def __init__(self, offsets: dict[str, int]):
-        self.offsets = dict(offsets)
+    return score_batch(test, factory, id_col, fold_models=folds, mean=True)
 
-    def __call__(self):
-        offsets = self.offsets
 
-        def score(pdf: pd.DataFrame) -> np.ndarray:
-            off = pdf["model_id"].map(offsets).to_numpy(dtype=np.int64)
-            n = pdf["text"].fillna("").str.len().to_numpy(dtype=np.int64)
-            k = pdf["fold_model"].to_numpy(dtype=np.int64)
-            j = np.arange(len(TARGETS), dtype=np.int64)
-            return 1.0 + ((n[:, None] + 13 * k[:, None] + 7 * j[None, :] + off[:, None]) % 41) / 10.0
-        return score
+def registry_scoring(population: DataFrame, registry: dict[str, ScorerFactory], id_col: str = "text_id",
+                     n_folds: int = N_FOLDS) -> DataFrame:
+    """K3: score a population with every registered model and all its fold models in one pass; fold means."""
+    return score_registry(population, registry, id_col, fold_models=list(range(n_folds)), mean=True)
 
 
-def registry_scoring(population: DataFrame, offsets: dict[str, int], id_col: str = "text_id",
-                     n_folds: int = N_FOLDS) -> DataFrame:
-    """K3: score a population with every registry model and all K fold models in one pass; fold mean."""
-    models = F.array(*[F.lit(m) for m in offsets])
-    rows = with_fold_models(population.withColumn("model_id", F.explode(models)), n_folds)
-    scored = score_batch(rows, RegistryScorer(offsets), id_col, extra=["model_id"])
-    return scored.groupBy("model_id", id_col).agg(
-        *[F.when(F.count(t) == n_folds, F.avg(t)).alias(t) for t in TARGETS])
+def training_rows(labelled: DataFrame, k: int, extra: DataFrame | None = None,
+                  extra_fold_col: str | None = None) -> DataFrame:
+    """Rows that the model of fold ``k`` may see: labelled rows of other folds, and extra rows (of its own fold model)."""
+    train = labelled.filter(~F.col("fold").eqNullSafe(F.lit(k)))
+    if extra is None:
+        return train
+    extra = extra if extra_fold_col is None else extra.filter(F.col(extra_fold_col) == k)
+    cols = [c for c in train.columns if c in extra.columns]
+    return train.select(*cols).unionByName(extra.select(*cols))
 
 
 def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "text_id", text_col: str = "full_text",
@@ -140,18 +137,21 @@ def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "tex
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     from pyspark.ml.regression import LinearRegression
 
+    # term counts do not depend on the fold: computed once, written to the shared folder, read by every fold
+    counts = Pipeline(stages=[
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\w+|[^\w\s]", gaps=False),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)])
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return pin(counts.fit(df).transform(df).drop("_tok", text_col))
+    labelled = hashed(labelled)
+    extra_train = hashed(extra_train) if extra_train is not None else None
+    score_also = hashed(score_also) if score_also is not None else None
+
     def fit_fold(k: int):
-        train = labelled.filter(~F.col("fold").eqNullSafe(F.lit(k)))
-        if extra_train is not None:
-            extra = extra_train if extra_fold_col is None else extra_train.filter(F.col(extra_fold_col) == k)
-            cols = [c for c in train.columns if c in extra.columns]
-            train = train.select(*cols).unionByName(extra.select(*cols))
+        train = training_rows(labelled, k, extra_train, extra_fold_col)
         valid = labelled.filter(F.col("fold") == k)
-        feats = Pipeline(stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\w+|[^\w\s]", gaps=False),
-            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="_x"),
-        ]).fit(train)
+        feats = IDF(inputCol="_tf", outputCol="_x").fit(train)
         xtr = feats.transform(train).select("_x", *TARGETS, *([weight_col] if weight_col else [])).persist()
         xva = feats.transform(valid).select(id_col, "fold", "_x")
         xot = None
@@ -167,7 +167,7 @@ def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "tex
             if xot is not None:
                 xot = model.transform(xot)
         xtr.unpersist()
-        return xva.drop("_x"), (xot.drop("_x") if xot is not None else None)
+        return xva.drop("_x", "_tf"), (xot.drop("_x", "_tf") if xot is not None else None)
 
     # Folds are independent: their fits run as concurrent Spark jobs (as CrossValidator's ``parallelism``).
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:

@@ -70,20 +70,19 @@ def ship_package(spark: SparkSession) -> None:
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder and worker-side package, idempotent.
 
-    Both need the SparkContext; on a session without one (Spark Connect) the server-side settings apply.
+    Both need the SparkContext; on a Spark Connect session (which has none) the server-side settings apply.
     """
-    try:
-        ensure_checkpoint_dir(spark)
-        ship_package(spark)
-    except Exception as exc:  # noqa: BLE001
-        if "sparkContext" not in str(exc) and "JVM" not in str(exc) and "CONNECT" not in str(exc).upper():
-            raise
+    if not hasattr(spark, "_jsparkSession"):
+        return
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables, read from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local tests) a scratch folder is made.
+    Only a local session (one machine, as in tests) that has none gets a scratch folder; on a cluster a folder of one
+    machine would lose what other machines write, so there its absence is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -91,6 +90,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="quill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
