@@ -18,8 +18,9 @@ def length_order(df: DataFrame, len_col: str, id_col: str = "text_id", pos_col:
 
 
 def shuffle_order(df: DataFrame, id_col: str, seed: int, epoch: int, pos_col: str = "pos") -> DataFrame:
-    """C11: a seeded permutation per epoch: order by a hash of (seed, epoch, id)."""
-    keyed = df.withColumn("_shuffle_key", F.xxhash64(F.lit(seed), F.lit(epoch), F.col(id_col)))
+    """C11: a seeded permutation per epoch: order by a digest of (seed, epoch, id)."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col(id_col)).cast("binary"))
+    keyed = df.withColumn("_shuffle_key", digest)
     return attach_positions(keyed, ["_shuffle_key", id_col], pos_col=pos_col).drop("_shuffle_key")
 
 

@@ -169,8 +169,8 @@ def split_label(k: int, fold_col: str = "fold") -> Column:
 
 
 def sample_n(df: DataFrame, n: int, seed: int, id_col: str = "text_id") -> DataFrame:
-    """Exactly n rows, repeatable: the n smallest seeded hashes (distributed top-k, not a global sort)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    """Exactly n rows, repeatable: the n smallest seeded digests (distributed top-k, not a global sort)."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)).cast("binary")), F.col(id_col)).limit(n)
 
 
 def head_n(df: DataFrame, n: int, id_col: str = "text_id") -> DataFrame:

@@ -272,10 +272,14 @@ def score_trials(stats: DataFrame, trials: DataFrame, n_feat: int) -> DataFrame:
     return per.groupBy("trial").agg(F.avg("rmse").alias("mcrmse"))
 
 
+def dirichlet_weights(n_models: int, n_trials: int, seed: int) -> np.ndarray:
+    """Weight vectors drawn from Dirichlet(1, …, 1), seeded."""
+    return np.random.default_rng(seed).dirichlet(np.ones(n_models), size=n_trials)
+
+
 def dirichlet_trials(spark, n_models: int, n_trials: int, seed: int) -> DataFrame:
-    """H4: random restarts drawn from Dirichlet(1, …, 1), seeded, as a ``(trial, i, w)`` table."""
-    rng = np.random.default_rng(seed)
-    w = rng.dirichlet(np.ones(n_models), size=n_trials)
+    """H4: random restarts as a ``(trial, i, w)`` table."""
+    w = dirichlet_weights(n_models, n_trials, seed)
     rows = [(int(t), int(i), float(w[t, i])) for t in range(n_trials) for i in range(n_models)]
     return spark.createDataFrame(rows, "trial int, i int, w double")
 

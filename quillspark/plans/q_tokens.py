@@ -130,9 +130,11 @@ def mask_tokens(spark, sf_dir):
     return masked.select("text_id", "input_ids", "masked_ids", n_masked.alias("n_masked"))
 
 
-@register("shuffle_epoch")
+@register("shuffle_epoch", sql=f"WITH {essays_cte()}\nSELECT text_id, pos, cast(ep AS int) AS epoch, "
+          f"pos // {BATCH} AS batch_id FROM (SELECT text_id, ep, row_number() OVER (PARTITION BY ep ORDER BY "
+          "md5(concat('42:', ep, ':', text_id)), text_id) - 1 AS pos FROM essays, range(2) r(ep))")
 def shuffle_epoch(spark, sf_dir):
-    """C11 (rows-only): per-epoch seeded permutations of the essays for epochs 0 and 1."""
+    """C11: per-epoch seeded permutations of the essays for epochs 0 and 1."""
     e = fx.essays(Tables(spark, sf_dir)).select("text_id")
     parts = [B.shuffle_order(e, "text_id", seed=42, epoch=ep).withColumn("epoch", F.lit(ep)) for ep in (0, 1)]
     return parts[0].unionByName(parts[1]).withColumn("batch_id", (F.col("pos") / BATCH).cast("long"))

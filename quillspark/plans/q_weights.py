@@ -65,13 +65,6 @@ def fit_stacked(spark, sf_dir):
     return spark.createDataFrame(rows, "target string, model_id string, source_target string, w double, rmse double")
 
 
-@register("weight_trials")
-def weight_trials(spark, sf_dir):
-    """H4 (rows-only): 20 seeded Dirichlet restarts scored in one pass over the Gram table."""
-    trials = H.dirichlet_trials(spark, len(MODELS), 20, seed=42)
-    return rounded(H.score_trials(_stats(spark, sf_dir), trials, len(MODELS)))
-
-
 def _trial_table(spark):
     rows = [(t, i, ((t * (i + 3)) % 17) / 17.0) for t in range(1, N_TRIALS + 1) for i in range(len(MODELS))]
     return spark.createDataFrame(rows, "trial int, i int, w double")
@@ -90,6 +83,22 @@ _PER_T = " UNION ALL ".join(
     for t in TARGETS)
 
 
+# the drawn weights are parameters; the SQL scores the same ones
+_DRAWS = H.dirichlet_weights(len(MODELS), 20, seed=42)
+_DR = ("tr AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(i), *[f"{x!r}e0" if "e" not in repr(x) else repr(x)
+                                                                       for x in map(float, w)]]) + ")"
+                                                       for i, w in enumerate(_DRAWS))
+       + ") v(trial, " + ", ".join(f"w{i}" for i in range(len(MODELS))) + "))")
+
+
+@register("weight_trials", sql=f"WITH {essays_cte()},\n{_M},\n{_J},\n{_DR}\n"
+          f"SELECT trial, round(avg(r), 6) AS mcrmse FROM ({_PER_T}) GROUP BY trial")
+def weight_trials(spark, sf_dir):
+    """H4: 20 seeded Dirichlet restarts scored in one pass over the Gram table."""
+    trials = H.dirichlet_trials(spark, len(MODELS), 20, seed=42)
+    return rounded(H.score_trials(_stats(spark, sf_dir), trials, len(MODELS)))
+
+
 @register("score_weight_trials", sql=f"WITH {essays_cte()},\n{_M},\n{_J},\n{_TR}\n"
           f"SELECT trial, round(avg(r), 6) AS mcrmse FROM ({_PER_T}) GROUP BY trial")
 def score_weight_trials(spark, sf_dir):
