@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,11 +52,21 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 BLOOM_BITS = 1 << 26
 
 
-def few_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written.
+
+    Its cleaner removes them once the driver has collected their plans, which an idle driver heap can put off for half an
+    hour; large steps ask for the collection when they are done.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def few_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, exact: bool = True) -> DataFrame:
     """``rows`` whose ``key`` occurs in ``wanted``, all but a few false positives dropped before any shuffle.
 
     For wide rows (texts) of which few are wanted: the ids become a Bloom filter of at most ``BLOOM_BITS`` bits, so what
-    is broadcast is bounded whatever the data; an exact semi join follows.
+    is broadcast is bounded whatever the data; an exact semi join follows (``exact=False``: the caller joins anyway).
     """
     ids = wanted.select(F.col(wanted_key).alias("_fr_id")).distinct()
     n = ids.count()
@@ -78,4 +89,5 @@ def few_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> D
             out &= (bloom[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
         return pd.Series(out)
     places = [F.pmod(F.xxhash64(F.col(key), F.lit(j)), F.lit(bits)) for j in range(3)]
-    return rows.filter(likely(*places)).join(ids, F.col(key).eqNullSafe(F.col("_fr_id")), "left_semi")
+    some = rows.filter(likely(*places))
+    return some if not exact else some.join(ids, F.col(key).eqNullSafe(F.col("_fr_id")), "left_semi")

@@ -6,7 +6,7 @@ adjacent suffix in that order has the same first ``length`` bytes. The order is
 sorting, with a cover modulo v instead of modulo 3, and with names that only have to tell equal from unequal:
 
 1. *Sort sampled tuples.* D is a difference cover modulo v: for any two positions i, j some shift below v takes both to
-   sampled positions (residues in D). Tuples of w = length - v + 1 bytes at the sampled positions (about 6 % of all
+   sampled positions (residues in D). Tuples of w = length - v + 1 bytes at the sampled positions (about 8 % of all
    positions) are named by a 64-bit fingerprint and dealt by name; a name that occurs once is settled. Two equal strings of
    ``length`` bytes share, at that shift, one equal tuple inside them, so only suffixes that begin at most v - 1
    bytes before a repeated tuple can have a twin.
@@ -15,7 +15,7 @@ sorting, with a cover modulo v instead of modulo 3, and with names that only hav
    stretches are named by the text they span. Of equal stretches only the first occurrence goes on, the others are known to
    have twins: large groups of copies shrink to one.
 3. *Merge the remaining suffixes and compare adjacent prefixes.* The remaining suffixes are sorted by the name of their
-   first ``length`` bytes (96 bits) and neighbours are compared.
+   first ``length`` bytes (79 bits) and neighbours are compared.
 
 Documents with equal texts are one class with one representative; a class with copies loses everything (if it is
 ``length`` bytes or longer). Before rows are shuffled, names that repeat inside a batch are reduced to one row.
@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import few_rows, pin, shared_path
+from .shared import few_rows, pin, release, shared_path
 
 U64 = np.uint64
 LENGTH = 400
-MIN_TUPLE = 64          # bytes of a sampled tuple, at least
 SEGMENT = 64            # mean suffixes of a stretch
+# A suffix row's place holds its position (48 bits) and 15 further bits of its name.
+PLACE_BITS, PLACE_MASK = 48, (1 << 48) - 1
 WINDOW = 1 << 18        # suffixes of one document handled at a time
 
 _rng = np.random.default_rng(977)
@@ -51,9 +52,10 @@ _BASES = [U64(int(x) * 8 + 5) for x in _rng.integers(2 ** 40, 2 ** 60, 2)]
 
 @functools.lru_cache(maxsize=8)
 def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
-    """(v, D): a perfect difference set modulo v = p^2 + p + 1 for the largest prime p that leaves tuples of
-    ``MIN_TUPLE`` bytes (fewer for short lengths), built from the powers of a generator of GF(p^3)."""
-    spare = min(MIN_TUPLE, max(1, length // 3))
+    """(v, D): a perfect difference set modulo v = p^2 + p + 1 for the largest prime p that leaves tuples of a third of
+    ``length`` bytes, built from the powers of a generator of GF(p^3). A larger v samples less, but its shorter tuples
+    repeat more often where no string of ``length`` bytes does."""
+    spare = max(1, length // 3)
     primes = [p for p in range(2, 200) if all(p % q for q in range(2, p))]
     for p in reversed(primes):
         v = p * p + p + 1
@@ -227,15 +229,35 @@ def _repeated_names(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "name long, id long").groupBy("id").agg(F.collect_set("name").alias("names"))
 
 
+RUNS = "runs array<struct<start:long,end:long>>"
+
+
+def _with_runs(texts: DataFrame, length: int) -> DataFrame:
+    """(id, raw, copies, runs) of the (id, raw, copies, names) that have suffixes which may have a twin."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            runs = [candidate_runs(batch.column(1)[i].as_py(), np.asarray(batch.column(3)[i].values).view(np.uint64), length)
+                    for i in range(batch.num_rows)]
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], kind)],
+                names=["id", "raw", "copies", "runs"])
+            yield out.filter(pa.array([bool(r) for r in runs], pa.bool_()))
+    return texts.mapInArrow(run, "id long, raw binary, copies long, " + RUNS)
+
+
+def _runs(cell) -> list[tuple[int, int]]:
+    return [(r["start"], r["end"]) for r in cell.as_py()]
+
+
 def _stretch_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, id, start): the stretches of suffixes that may have a twin."""
+    """(k1, k2, id, start): the stretches of suffixes that may have a twin, of (id, raw, runs)."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.column(0)[i].as_py()
                 raw = batch.column(1)[i].as_py()
-                runs = candidate_runs(raw, np.asarray(batch.column(2)[i].values).view(np.uint64), length)
-                for starts, _, k1, k2, *_ in stretches(raw, runs, length):
+                for starts, _, k1, k2, *_ in stretches(raw, _runs(batch.column(2)[i]), length):
                     yield pa.RecordBatch.from_arrays([_long(k1), _long(k2), _long(np.full(len(k1), own)), _long(starts)],
                                                      names=["k1", "k2", "id", "start"])
     return texts.mapInArrow(_joined(run), "k1 long, k2 long, id long, start long")
@@ -257,8 +279,8 @@ def _joined(fn):
 
 
 def _suffix_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(key, id, place, run): suffixes still to compare (run 0, ``place`` = 32 more bits of the name and the position)
-    and runs known to have twins. ``texts`` holds (id, raw, names, later, copied): starts of stretches that are not the
+    """(key, id, place, run): suffixes still to compare (run 0, ``place`` = 15 more bits of the name and the position)
+    and runs known to have twins. ``texts`` holds (id, raw, runs, later, copied): starts of stretches that are not the
     first occurrence and of those that are first of several."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +288,7 @@ def _suffix_rows(texts: DataFrame, length: int) -> DataFrame:
             for i in range(batch.num_rows):
                 own = batch.column(0)[i].as_py()
                 raw = batch.column(1)[i].as_py()
-                runs = candidate_runs(raw, np.asarray(batch.column(2)[i].values).view(np.uint64), length)
+                runs = _runs(batch.column(2)[i])
                 later = set(batch.column(3)[i].as_py() or ())
                 first = set(batch.column(4)[i].as_py() or ())
                 for starts, ends, _, _, n1, n2, lo in stretches(raw, runs, length):
@@ -282,7 +304,7 @@ def _suffix_rows(texts: DataFrame, length: int) -> DataFrame:
                     if len(pos):
                         keys.append(n1[pos])
                         ids.append(np.full(len(pos), own))
-                        places.append(((n2[pos] >> U64(33)).astype(np.int64) << 32) | (pos + lo))
+                        places.append(((n2[pos] >> U64(49)).astype(np.int64) << PLACE_BITS) | (pos + lo))
                         lens.append(np.zeros(len(pos), np.int64))
                 if sum(map(len, keys)) > 200_000:
                     yield _reduced(keys, ids, places, lens)
@@ -298,7 +320,7 @@ def _reduced(keys: list, ids: list, places: list, lens: list) -> pa.RecordBatch:
     key, own, place, size = (np.concatenate(x) for x in (keys, ids, places, lens))
     open_ = np.flatnonzero(size == 0)
     order = open_[np.lexsort((place[open_], key[open_]))]
-    name, more = key[order], place[order] >> 32
+    name, more = key[order], place[order] >> PLACE_BITS
     same = (name[1:] == name[:-1]) & (more[1:] == more[:-1])
     twin = np.zeros(len(order), bool)
     twin[1:] |= same
@@ -306,9 +328,9 @@ def _reduced(keys: list, ids: list, places: list, lens: list) -> pa.RecordBatch:
     first = np.ones(len(order), bool)
     first[1:] = ~same
     known = order[twin]
-    keep = np.concatenate((np.flatnonzero(size > 0), order[first]))
+    keep = np.concatenate((np.flatnonzero(size > 0), np.sort(order[first])))    # in text order rows compress better
     # known single suffixes become runs of neighbours
-    at = place[known] & 0xFFFFFFFF
+    at = place[known] & PLACE_MASK
     by = np.lexsort((at, own[known]))
     at, who = at[by], own[known][by]
     begin = np.ones(len(at), bool)
@@ -330,18 +352,18 @@ def _twins(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             key, ids, place, size = (np.asarray(c) for c in batch.columns)
-            more = place >> 32
+            more = place >> PLACE_BITS
             open_ = size == 0
             same = (key[1:] == key[:-1]) & (more[1:] == more[:-1]) & open_[1:] & open_[:-1]
             keep = ~open_
             keep[1:] |= same
             keep[:-1] |= same
             out = []
-            if last is not None and open_[0] and last[3] and key[0] == last[0] and more[0] == last[2] >> 32:
+            if last is not None and open_[0] and last[3] and key[0] == last[0] and more[0] == last[2] >> PLACE_BITS:
                 keep[0] = True
                 if not last[4]:
-                    out.append((np.array([last[1]]), np.array([last[2] & 0xFFFFFFFF]), np.array([1])))
-            out.append((ids[keep], np.where(open_[keep], place[keep] & 0xFFFFFFFF, place[keep]),
+                    out.append((np.array([last[1]]), np.array([last[2] & PLACE_MASK]), np.array([1])))
+            out.append((ids[keep], np.where(open_[keep], place[keep] & PLACE_MASK, place[keep]),
                         np.maximum(size[keep], 1)))
             last = (key[-1], ids[-1], place[-1], bool(open_[-1]), bool(keep[-1]))
             yield pa.RecordBatch.from_arrays(
@@ -398,22 +420,29 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     long = rows.filter(F.col("n_bytes") >= length)
     names = pin(_repeated_names(_name_rows(long.select("id", "raw"), length))
                 .join(classes.select("id", "at", "copies"), "id"))
-    found = few_rows(long.select("at", "id", "raw"), "at", names, "at")
+    release(spark)
+    found = few_rows(long.select("at", "id", "raw"), "at", names, "at", exact=False)
     path = shared_path(spark, "suffix-texts")
-    found.join(names, ["at", "id"]).select("id", "raw", "names", "copies").write.parquet(path)
+    # written once: small row numbers that stay the same stand for the texts from here on
+    (_with_runs(found.join(names, ["at", "id"]).select("id", "raw", "copies", "names"), length)
+     .withColumn("num", F.monotonically_increasing_id()).write.parquet(path))
     texts = spark.read.parquet(path)
+    del names, found
+    release(spark)
+    numbered = texts.select(F.col("num").alias("id"), "raw", "runs")
 
-    cuts = _stretch_rows(texts, length)
+    cuts = _stretch_rows(numbered, length)
     firsts = (cuts.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n"))
                   .filter("n > 1").select("k1", "k2", "first"))
     is_first = F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.start").eqNullSafe(F.col("start"))
     marks = (cuts.join(firsts, ["k1", "k2"])
                  .groupBy("id").agg(F.collect_list(F.when(~is_first, F.col("start"))).alias("later"),
                                     F.collect_list(F.when(is_first, F.col("start"))).alias("copied")))
-    left = texts.join(marks, "id", "left").select("id", "raw", "names", "later", "copied")
-    spans = _twins(_suffix_rows(left, length))
+    left = numbered.join(marks, "id", "left").select("id", "raw", "runs", "later", "copied")
+    spans = pin(_twins(_suffix_rows(left, length))).withColumnRenamed("id", "num")
+    release(spark)
     # texts that occur once; the others are settled by their number of copies
-    changed = _affected(texts.filter("copies = 1").select("id", "raw").join(spans, "id"), length)
+    changed = _affected(texts.filter("copies = 1").join(spans, "num").select("id", "raw", "spans"), length)
     if digest:
         changed = changed.select("id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
         base = rows.select("doc", "id", "id2", "n_bytes", F.sha2("raw", 256).alias("own"))
