@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import textops
 from .shared import WORD
 
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 100_000
 BUCKETS = 1024
 
 
@@ -127,6 +127,8 @@ def source_table(sized: DataFrame, weight_cycle: tuple[float, ...], max_repeat:
              "slots": slots[i], "blocks": -(-sizes[i] // block_words)} for i, r in enumerate(rows)]
 
 
+# The slots grow out of a small range inside tasks, so the optimiser underrates their size and would broadcast them:
+# joins with them ask for a merge join.
 def slots_table(spark: SparkSession, sources: list[dict], shard_slots: int, seed: int) -> DataFrame:
     """(shard, slot, number, block): which block fills each slot, drawn shard by shard inside tasks."""
     totals = np.array([s["slots"] for s in sources], np.int64)
@@ -172,7 +174,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = source_table(base, weight_cycle, max_repeat, block_words)
     schema = "_mx_name string, number long, source_size long, target double"
     names = spark.createDataFrame([(s["source"], s["number"], s["size"], s["target"]) for s in sources], schema)
-    sized = base.join(names, base["_mx_source"].eqNullSafe(names["_mx_name"]), "left").drop("_mx_name")
+    # one row per source, at most MAX_SOURCES (checked above), so the hot source is not dealt to one task
+    sized = base.join(F.broadcast(names), base["_mx_source"].eqNullSafe(names["_mx_name"]), "left").drop("_mx_name")
     # a source's stream is ordered by (bucket, id): bucket sums give every bucket its start, so no window sees more
     # than one bucket of a source, however large the source is
     sized = sized.withColumn("_mx_bucket", F.pmod("_mx_hash", F.lit(BUCKETS)))
@@ -201,7 +204,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``documents`` with ``taken``: the words of each document that the mix holds, repeats counted."""
     uses = slots.groupBy("number", "block").agg(F.count("*").alias("_mx_uses"))
-    taken = (pieces.join(uses, ["number", "block"])
+    taken = (pieces.join(uses.hint("merge"), ["number", "block"])
                    .groupBy(F.col("number").alias("_mx_n"), F.col(id_col).alias("_mx_i"), F.col("_mx_row").alias("_mx_r"))
                    .agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("_mx_uses")).alias("_mx_taken")))
     on = ((documents["number"] == taken["_mx_n"]) & documents[id_col].eqNullSafe(taken["_mx_i"])
@@ -217,7 +220,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents, pieces, slots = mix(docs, id_col, text_col, source_col, **options)
     uses = slots.groupBy("number", "block").agg(F.count("*").alias("_mx_uses"))
     source = documents.select("number", "_mx_source").distinct().withColumnRenamed("number", "_mx_n")
-    spans = (pieces.join(uses, ["number", "block"])
+    spans = (pieces.join(uses.hint("merge"), ["number", "block"])
                    .groupBy("number", F.col(id_col).alias("_mx_i"))
                    .agg(F.array_sort(F.collect_list(F.struct("_mx_row", "from_word", "to_word", "_mx_uses"))).alias("_mx_spans"))
                    .join(source, F.col("number") == F.col("_mx_n"))
