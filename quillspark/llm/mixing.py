@@ -164,7 +164,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(documents, pieces, slots).
 
     documents: ``_mx_row, id, _mx_source, _mx_size, number, source_size, target`` - one row per input row;
-    pieces: ``_mx_row, number, block, from_word, to_word`` - the words of a document that lie in a block;
+    pieces: ``_mx_row, _mx_source, number, block, from_word, to_word`` - the words of a document that lie in a block;
     slots: ``shard, slot, number, block`` - the mix; join it to the pieces on (number, block).
     """
     spark = docs.sparkSession
@@ -195,7 +195,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = (placed.filter("_mx_size > 0")
                     .withColumn("block", F.explode(F.sequence(
                         F.floor(F.col("_mx_from") / b), F.floor((F.col("_mx_from") + F.col("_mx_size") - 1) / b))))
-                    .select(F.col("_mx_id").alias(id_col), "_mx_row", "number", "block",
+                    .select(F.col("_mx_id").alias(id_col), "_mx_row", "_mx_source", "number", "block",
                             F.greatest(F.lit(0), F.col("block") * b - F.col("_mx_from")).alias("from_word"),
                             F.least(F.col("_mx_size"), (F.col("block") + 1) * b - F.col("_mx_from")).alias("to_word")))
     return documents, pieces, slots_table(spark, sources, shard_slots, seed)
@@ -217,14 +217,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     **options) -> DataFrame:
     """The mix as documents: copy r (0, 1, ...) of a document holds, in order, its blocks that the mix uses more than r
     times, so over all copies each word stands as often as the mix takes it. Other columns are repeated as they are."""
-    documents, pieces, slots = mix(docs, id_col, text_col, source_col, **options)
+    _, pieces, slots = mix(docs, id_col, text_col, source_col, **options)
     uses = slots.groupBy("number", "block").agg(F.count("*").alias("_mx_uses"))
-    source = documents.select("number", "_mx_source").distinct().withColumnRenamed("number", "_mx_n")
     spans = (pieces.join(uses.hint("merge"), ["number", "block"])
-                   .groupBy("number", F.col(id_col).alias("_mx_i"))
-                   .agg(F.array_sort(F.collect_list(F.struct("_mx_row", "from_word", "to_word", "_mx_uses"))).alias("_mx_spans"))
-                   .join(source, F.col("number") == F.col("_mx_n"))
-                   .select("_mx_i", "_mx_source", "_mx_spans"))
+                   .groupBy(F.col(id_col).alias("_mx_i"), "_mx_source")
+                   .agg(F.array_sort(F.collect_list(F.struct("_mx_row", "from_word", "to_word", "_mx_uses"))).alias("_mx_spans")))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
     numbered = docs.withColumn("_mx_row", F.row_number().over(Window.partitionBy(source_col, id_col).orderBy(size)))
     joined = numbered.join(spans, numbered[id_col].eqNullSafe(spans["_mx_i"])

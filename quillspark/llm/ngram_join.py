@@ -345,7 +345,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         own = infos.withColumn("label", F.lit(None).cast("long"))
     own = own.withColumn("label", F.coalesce("label", "f1"))
-    names = own.filter("n > 0").groupBy(F.col("label").alias("name")).agg(F.min("id").alias("component"))
+    # written out, so that the join starts from plain shuffles and a large component can be split over tasks
+    names = pin(own.filter("n > 0").groupBy(F.col("label").alias("name")).agg(F.min("id").alias("component")))
     return (own.join(names, (F.col("n") > 0) & (F.col("label") == F.col("name")), "left")
                .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                        F.coalesce("component", "id").alias("component_id")))

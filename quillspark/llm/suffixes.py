@@ -451,9 +451,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         base = rows.select("doc", "id", "id2", "n_bytes", F.col("raw").alias("own"))
         empty, kept = F.lit(b""), "kept"
     # a text that occurs twice loses everything
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = (base.join(classes.select("id", "id2", "n_bytes", "copies"), ["id", "id2", "n_bytes"])
-               .join(changed, "id", "left"))
+    copied = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)
+    # written out, so that the join starts from plain shuffles and a large group of copies can be split over tasks
+    several = pin(classes.filter("copies > 1").select("id", "id2", "n_bytes", "copies"))
+    out = base.join(several, ["id", "id2", "n_bytes"], "left").join(changed, "id", "left")
     return out.select(
         F.col("doc").alias(id_col), "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
