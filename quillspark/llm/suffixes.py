@@ -435,9 +435,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = (cuts.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n"))
                   .filter("n > 1").select("k1", "k2", "first"))
     is_first = F.col("first.id").eqNullSafe(F.col("id")) & F.col("first.start").eqNullSafe(F.col("start"))
-    marks = (cuts.join(firsts, ["k1", "k2"])
+    marks = pin(cuts.join(firsts, ["k1", "k2"])
                  .groupBy("id").agg(F.collect_list(F.when(~is_first, F.col("start"))).alias("later"),
                                     F.collect_list(F.when(is_first, F.col("start"))).alias("copied")))
+    del cuts, firsts
+    release(spark)
     left = numbered.join(marks, "id", "left").select("id", "raw", "runs", "later", "copied")
     spans = pin(_twins(_suffix_rows(left, length))).withColumnRenamed("id", "num")
     release(spark)
