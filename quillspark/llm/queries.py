@@ -116,7 +116,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = spans.remove_repeated(docs, span=2, min_words=8, counts=True)
+    out = spans.remove_repeated(docs, span=2, min_words=8, counts=True, grow=True)
     return out.select("doc_id", "n_sentences", "n_removed", F.length(F.encode("text", "UTF-8")).alias("n_kept_bytes"),
                       F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 

@@ -62,15 +62,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def few_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, exact: bool = True) -> DataFrame:
+def few_rows(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, exact: bool = True,
+             most_bits: int = BLOOM_BITS) -> DataFrame:
     """``rows`` whose ``key`` occurs in ``wanted``, all but a few false positives dropped before any shuffle.
 
-    For wide rows (texts) of which few are wanted: the ids become a Bloom filter of at most ``BLOOM_BITS`` bits, so what
+    For wide rows (texts) of which few are wanted: the ids become a Bloom filter of at most ``most_bits`` bits, so what
     is broadcast is bounded whatever the data; an exact semi join follows (``exact=False``: the caller joins anyway).
     """
     ids = wanted.select(F.col(wanted_key).alias("_fr_id")).distinct()
     n = ids.count()
-    bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
+    bits = min(most_bits, 1 << max(10, (16 * n).bit_length()))
     at = [F.pmod(F.xxhash64(F.col("_fr_id"), F.lit(j)), F.lit(bits)) for j in range(3)]
     words = (ids.select(F.explode(F.array(*at)).alias("at"))
                 .groupBy(F.shiftright("at", 6).alias("word"))

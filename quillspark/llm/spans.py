@@ -1,15 +1,20 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences of a document is hashed (sentences trimmed, white space collapsed, A-Z
-lower-cased). Runs of the whole corpus meet by hash; the first occurrence (smallest document id, then position) stays
-and the sentences covered by any other occurrence are removed.
+Every run of ``span`` consecutive sentences of a document with at least ``min_words`` words is hashed, and with ``grow``
+also every longer one that just reaches them (sentences trimmed, white space collapsed, A-Z lower-cased). Runs of the
+whole corpus meet by hash; the first occurrence (smallest document id, then position) stays and the sentences covered by
+any other occurrence are removed.
 
-Sentences end after ``.``, ``!`` or ``?`` (with closing quotes or brackets) before white space, and at line ends, so a
-passage finds the same boundaries wherever it stands. Spans with fewer than ``min_words`` words do not count.
+Sentences end after ``.``, ``!`` or ``?`` (with closing quotes or brackets) before white space, after the end marks of
+other scripts, and at line ends, so a passage finds the same boundaries wherever it stands. Sentences of more than
+``LONG_SENTENCE`` words are cut at content-defined points into parts that count as sentences: a repeat inside one sentence
+is found from about 50 words on (at worst; its first and last ``2 * CUT_WINDOW`` words may stay). A character of a script
+without spaces counts as a word.
 
 Only (hash, id, position) rows are shuffled. The first occurrence per hash is a partial aggregate (minimum and count), so a
-passage shared by a third of all documents reaches its task already reduced; the repeated hashes are written out and
-joined with the occurrences in plain shuffles, which adaptive execution can split at a frequent hash.
+passage shared by a third of all documents reaches its task already reduced; the repeated hashes are written out, most
+other rows are dropped by a Bloom filter of them, and the rest is joined in plain shuffles, which adaptive execution can
+split at a frequent hash.
 
 Defined results: a null or empty text has no sentences and stays empty; documents with fewer sentences than a span lose
 nothing; a document without words is unchanged; equal rows count as one document and stay alike, other rows that
@@ -19,7 +24,9 @@ pass through unchanged (helper columns start with ``_sp_``).
 
 from __future__ import annotations
 
+import array
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,76 +36,182 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import pin
-
+from .shared import few_rows, pin
+
+# End marks and closing quotes or brackets beyond ASCII, and characters of scripts written without spaces (kana, Han, Thai,
+# Lao, Tibetan, Burmese, Khmer, full-width forms); fixed values.
+ENDS = b"|".join(c.encode() for c in "。！？．｡।॥؟۔።፧။។։‼⁇⁈⁉")
+CLOSES = b"|".join(c.encode() for c in "」』）】》〉”’»")
+WIDE = (rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbf][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]"
+        rb"|\xef[\xa4-\xab\xbc-\xbe][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 # A sentence with the white space after it (if any): up to an end mark before white space, or a line end.
 SENTENCE = re.compile(rb"[^\n]*?[.!?][\"')\]]*(?:[ \t\r\f\v]+|(?=\n)|\Z)|[^\n]+|\n+")
+# The same for texts with other marks, which end a sentence whatever follows; equal to the above where there are none.
+BEYOND_ASCII = re.compile(ENDS + b"|" + CLOSES)
+SENTENCE_BEYOND = re.compile(rb"[^\n]*?(?:[.!?](?:[\"')\]]|" + CLOSES + rb")*(?:[ \t\r\f\v]+|(?=\n)|\Z)|(?:" + ENDS
+                             + rb")(?:[.!?\"')\]]|" + ENDS + b"|" + CLOSES + rb")*[ \t\r\f\v]*)|[^\n]+|\n+")
+# What counts as a word: a character of those scripts, or a run of others between white space.
+HAS_WIDE = re.compile(WIDE)
+WIDE_UNIT = re.compile(WIDE + rb"|(?:(?!" + WIDE + rb")[^ \t\n\r\f\v])+")
+# Sentences with more words are cut; the cuts are the smallest word hashes of every CUT_WINDOW consecutive words, so two
+# copies of a passage share the cuts more than that far from its ends, and no piece is longer.
+LONG_SENTENCE, CUT_WINDOW = 16, 8
+
+# Largest filter of repeated hashes that is built on the driver; it only saves shuffles, the join is exact.
+FILTER_BITS = 1 << 24
+
+
+class Parts:
+    """The sentences of a text and the parts of its long ones: words, first word, begin and end byte of each."""
+
+    def __init__(self, text: bytes):
+        plain = text.isascii()
+        pieces = (SENTENCE if plain or not BEYOND_ASCII.search(text) else SENTENCE_BEYOND).findall(text)
+        if not plain and HAS_WIDE.search(text):
+            pieces = [x for p in pieces for x in (cut(p) if HAS_WIDE.search(p) else (p,))]
+        self.words = w = textops.Words(pieces)
+        self._hashes = None
+        count = w.count()
+        at = np.flatnonzero(count)
+        long = count > LONG_SENTENCE
+        self.first = w.first[:-1][at]
+        # the words' owners and the pieces' bytes in the text; the pieces are joined by one byte each
+        begin = w.doc_start[:-1] - np.arange(len(pieces))
+        self.begin, self.end = begin[at], begin[at] + np.diff(w.doc_start)[at] - 1
+        self.whole = np.ones(len(at), bool)             # a sentence ends with the part
+        if long.any():
+            owner = np.repeat(np.arange(len(pieces)), count)
+            i = np.flatnonzero((owner[:-CUT_WINDOW + 1] == owner[CUT_WINDOW - 1:]) & long[owner[:-CUT_WINDOW + 1]])
+            keys = np.lib.stride_tricks.sliding_window_view(self.hashes(), CUT_WINDOW)[i]
+            more = np.unique(i + CUT_WINDOW - 1 - keys[:, ::-1].argmin(axis=1))
+            more = more[w.first[owner[more]] != more]
+            order = np.argsort(np.concatenate((self.first, more)), kind="stable")
+            same = np.concatenate((at, owner[more]))[order]
+            self.first = np.concatenate((self.first, more))[order]
+            self.begin = np.concatenate((self.begin, w.starts[more] - owner[more]))[order]
+            self.whole = np.append(same[1:] != same[:-1], True)
+            ends = begin[same] + np.diff(w.doc_start)[same] - 1
+            self.end = np.where(self.whole, ends, np.append(self.begin[1:], 0))
+
+    def hashes(self) -> np.ndarray:
+        if self._hashes is None:
+            self._hashes = self.words.hashes(fold=True)
+        return self._hashes
 
 
 def sentences(text: bytes) -> list[bytes]:
     """Pieces whose concatenation is the text; pieces without words are separators."""
-    return SENTENCE.findall(text)
-
-
-def span_hashes(pieces: list[bytes], span: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each run of ``span`` sentences or 0 if too short, piece number of every sentence)."""
-    w = textops.Words(pieces)
-    count = w.count()
-    at = np.flatnonzero(count)
-    if len(at) < span:
-        return np.zeros(0, np.uint64), at
-    words = w.hashes(fold=True)
-    order = np.arange(len(words), dtype=np.int64) - np.repeat(w.first[:-1], count)
-    each = np.add.reduceat(textops.mix(words + order.astype(np.uint64) * textops._STEP[40]), w.first[:-1][at])
-    each = textops.mix(each + count[at].astype(np.uint64))
-    grams = textops.gram_hashes(each, span)
-    total = np.convolve(count[at], np.ones(span, np.int64), "valid")
-    grams[grams == 0] = 1
-    grams[total < min_words] = 0
-    return grams, at
-
-
-def span_rows(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int) -> DataFrame:
-    """(hash, id, doc, pos) of every span that counts; ``doc`` is the text's hash."""
+    p = Parts(text)
+    out, done = [], 0
+    for a, b in zip(p.begin.tolist(), p.end.tolist()):
+        out += [text[done:a]] * (a > done) + [text[a:b]]
+        done = b
+    return out + [text[done:]] * (done < len(text))
+
+
+def cut(piece: bytes) -> list[bytes]:
+    """A sentence with characters of scripts without spaces in parts, if it is long; cuts as for plain words."""
+    starts, keys = array.array("q"), array.array("L")
+    for m in WIDE_UNIT.finditer(piece):
+        starts.append(m.start())
+        keys.append(zlib.crc32(m.group().lower()))
+    if len(starts) <= LONG_SENTENCE:
+        return [piece]
+    windows = np.lib.stride_tricks.sliding_window_view(np.asarray(keys), CUT_WINDOW)
+    last = np.arange(len(windows)) + CUT_WINDOW - 1 - windows[:, ::-1].argmin(axis=1)
+    at = np.asarray(starts)[np.unique(last[last > 0])].tolist()
+    return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)])]
+
+
+def word_counts(w: textops.Words) -> np.ndarray:
+    """What each word counts: 1, or its characters of scripts without spaces."""
+    out = np.ones(len(w.starts), np.int64)
+    b = w.buf
+    lead = np.flatnonzero(b[:-1] >= 0xE0)
+    if len(lead):
+        x, y = b[lead], b[lead + 1]
+        wide = np.zeros(len(b) + 1, np.int64)
+        wide[lead + 1] = ((x >= 0xE3) & (x <= 0xE9) | (x == 0xE0) & (y >= 0xB8)
+                          | (x == 0xE1) & ((y <= 0x82) | (y == 0x9E) | (y == 0x9F))
+                          | (x == 0xEF) & ((y >= 0xA4) & (y <= 0xAB) | (y >= 0xBC) & (y <= 0xBE)) | (x == 0xF0) & (y >= 0xA0))
+        wide = np.cumsum(wide)
+        out = np.maximum(out, wide[w.ends] - wide[w.starts])
+    return out
+
+
+def span_hashes(text: bytes, span: int, min_words: int, grow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the spans of a document; a place is the number of the first sentence << 16 | sentences.
+
+    A span grows from ``span`` sentences until it has ``min_words`` words: from every first one onwards and from every end
+    of a sentence backwards, so a passage loses neither its head nor its tail. Without ``grow`` only those that need not
+    grow count.
+    """
+    p = Parts(text)
+    n = len(p.first)
+    if n < span:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words = p.hashes()
+    count = np.diff(np.append(p.first, len(words)))
+    order = np.arange(len(words), dtype=np.int64) - np.repeat(p.first, count)
+    each = np.add.reduceat(textops.mix(words + order.astype(np.uint64) * textops._STEP[40]), p.first)
+    each = textops.mix(each + count.astype(np.uint64))
+    total = np.concatenate(([0], np.cumsum(np.add.reduceat(word_counts(p.words), p.first))))
+    first, last = np.arange(n), np.arange(n) + 1
+    stop = np.maximum(np.searchsorted(total, total[:-1] + min_words), first + span)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, last - span)
+    back = p.whole & (start >= 0)
+    size = np.concatenate(((stop - first)[stop <= n], (last - start)[back]))
+    place = np.unique(np.concatenate((first[stop <= n], start[back])) << 16 | size)
+    if not grow:
+        place = place[place & 0xFFFF == span]
+    start, size = place >> 16, place & 0xFFFF
+    # differences of prefix sums of each sentence's hash times a power of an odd number, moved to power 0
+    power = np.cumprod(np.full(n, textops._STEP[0], np.uint64))
+    inverse = np.cumprod(np.full(n, pow(int(textops._STEP[0]), -1, 1 << 64), np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each * power)))
+    return textops.mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * textops._STEP[1]), place
+
+
+def span_rows(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int, grow: bool) -> DataFrame:
+    """(hash, id, doc, pos) of every span; ``doc`` is the text's hash, ``pos`` the place in it."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows in textops.chunks(batch.column(1)):
                 hashes, ids, docs_, pos = [], [], [], []
                 own_docs = np.asarray(batch.column(2).slice(first, len(rows)))
                 for own, doc, text in zip(batch.column(0).slice(first, len(rows)).to_pylist(), own_docs, rows):
-                    grams, _ = span_hashes(sentences(text), span, min_words)
-                    m = np.flatnonzero(grams)
-                    if len(m):
-                        hashes.append(grams[m])
-                        ids += [own] * len(m)
-                        docs_.append(np.full(len(m), doc))
-                        pos.append(m)
+                    grams, places = span_hashes(text, span, min_words, grow)
+                    if len(grams):
+                        hashes.append(grams)
+                        ids += [own] * len(grams)
+                        docs_.append(np.full(len(grams), doc))
+                        pos.append(places)
                 if hashes:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(ids, pa.int64()),
-                         pa.array(np.concatenate(docs_), pa.int64()), pa.array(np.concatenate(pos), pa.int32())],
+                         pa.array(np.concatenate(docs_), pa.int64()), pa.array(np.concatenate(pos), pa.int64())],
                         names=["hash", "id", "doc", "pos"])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("doc"))
-    return rows.mapInArrow(run, "hash long, id long, doc long, pos int")
+    return rows.mapInArrow(run, "hash long, id long, doc long, pos long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2,
-                   min_words: int = 8) -> DataFrame:
-    """(id, doc, spans): positions of the non-first occurrences of repeated spans, by document."""
-    rows = span_rows(docs, id_col, text_col, span, min_words)
+                   min_words: int = 8, grow: bool = False) -> DataFrame:
+    """(id, doc, spans): places of the non-first occurrences of repeated spans, by document."""
+    rows = span_rows(docs, id_col, text_col, span, min_words, grow)
     place = F.struct("id", "doc", "pos")
     first = pin(rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                     .filter("not first <=> last").select("hash", "first"))
-    return (rows.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
+    return (few_rows(rows, "hash", first, "hash", exact=False, most_bits=FILTER_BITS).join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
                 .groupBy(F.col("id").alias("_sp_id"), F.col("doc").alias("_sp_doc"))
                 .agg(F.collect_set("pos").alias("_sp_spans")))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2,
-                    min_words: int = 8, counts: bool = False) -> DataFrame:
+                    min_words: int = 8, counts: bool = False, grow: bool = False) -> DataFrame:
     """The documents without the sentences of repeated spans; with ``counts`` also ``n_sentences, n_removed``."""
-    gone = repeated_spans(docs, id_col, text_col, span, min_words)
+    gone = repeated_spans(docs, id_col, text_col, span, min_words, grow)
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_sp_id"])
                        & (F.xxhash64(docs[text_col]) == gone["_sp_doc"]), "left")
     columns = docs.columns
@@ -112,18 +225,17 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts, total, lost = [], [], []
             for text, spans in zip(batch.column(at), batch.column(len(columns))):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                pieces = sentences(raw)
-                where = np.flatnonzero(textops.Words(pieces).count()) if pieces else np.zeros(0, np.int64)
+                parts = Parts(raw)
                 n = 0
                 if spans.is_valid:
-                    drop = np.zeros(len(where), bool)
+                    drop = np.zeros(len(parts.first), bool)
                     for p in spans.as_py():
-                        drop[p:p + span] = True
+                        drop[p >> 16:(p >> 16) + (p & 0xFFFF)] = True
                     n = int(drop.sum())
-                    out = set(where[drop].tolist())
-                    raw = b"".join(x for i, x in enumerate(pieces) if i not in out)
+                    ends = [0, *parts.end[drop].tolist()]
+                    raw = b"".join(raw[a:b] for a, b in zip(ends, [*parts.begin[drop].tolist(), len(raw)]))
                 texts.append(raw.decode("utf-8", "surrogatepass"))
-                total.append(len(where))
+                total.append(len(parts.first))
                 lost.append(n)
             out = [batch.column(i) if i != at else pa.array(texts, batch.schema.field(at).type)
                    for i in range(len(columns))]

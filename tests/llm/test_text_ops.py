@@ -90,6 +90,32 @@ def test_span_dedup(spark, rows):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == brute_spans(rows, 2, 8)
 
 
+def test_spans_of_short_long_and_foreign_sentences(spark):
+    """Passages planted as raw text lose their second copy, whatever their sentences look like."""
+    rng = random.Random(12)
+    short = "".join(f"{w}!! " for w in words(rng, 60))
+    long = " ".join(words(rng, 60))
+    split = " ".join(words(rng, 20)) + ". " + " ".join(words(rng, 8)) + ". " + " ".join(words(rng, 26))
+    han = "".join("".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(9)) + "。" for _ in range(8))
+    plain = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(70))
+    hindi = "".join(" ".join("राम" + chr(0x915 + rng.randrange(30)) for _ in range(4)) + "। " for _ in range(12))
+    rows, left = [], {}
+    for i, (p, keeps) in enumerate([(short, 0), (long, 34), (split, 34), (han, 0), (plain, 34), (hindi, 0)]):
+        around = [" ".join(words(rng, 12, 10 ** 6)) for _ in range(4)]
+        joint = ". " if keeps == 0 else " "
+        rows += [(2 * i + j, around[2 * j] + joint + p + " " + around[2 * j + 1], "en", "s", 1) for j in (0, 1)]
+        left[2 * i + 1] = (p, keeps, set(around[2].split()) | set(around[3].split()))
+    units = lambda t: [m.group() for m in re.finditer(r"[\u3000-\u9fff]|[^\s\u3000-\u9fff]+", t)]
+    out = {r["doc_id"]: r["text"] for r in spans.remove_repeated(docs_frame(spark, rows), counts=True, grow=True).collect()}
+    for doc, text, *_ in rows:
+        if doc % 2 == 0:
+            assert out[doc] == text
+        else:
+            p, keeps, own = left[doc]
+            rest = [u.rstrip(".") for u in units(out[doc])]
+            assert own <= set(rest) and len([u for u in rest if u not in own]) <= keeps, (doc, out[doc])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB.!? \n\t\"é", max_size=60))
 def test_sentences_concatenate_to_the_text(text):
