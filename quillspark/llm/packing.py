@@ -8,7 +8,8 @@ ones of all partitions are merged in a second, small step in groups of ``merge_g
 a group is cut at powers of two, where a sequence needs no padding. So nothing is padded and no step gathers more than
 ``merge_group`` partial sequences in one task.
 
-Token ids are those of a ``tokenizers`` byte-level BPE file without special tokens. Texts are split into that
+Token ids are those of a ``tokenizers`` byte-level BPE file at its default settings, without the special tokens of a post
+processor: the file's added tokens (such as ``<|endoftext|>``) are matched in the text and give their own ids. Texts are split into that
 tokenizer's units with vectorised character classes; each distinct unit is encoded once per cache lifetime with the
 same vocabulary (``vocabulary``), which is several times cheaper than encoding every text; ``tests/llm`` compares the
 ids with ``tokenizers`` itself.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -66,11 +68,26 @@ def _encoder(path: str):
     return tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Id of every token that is matched in the text before it is split into units."""
+    import json
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 class Tokenizer:
-    """Ids of many texts at once; keeps the ids of units seen before (bounded)."""
+    """Ids of many texts at once; keeps the ids of units seen before (bounded).
+
+    With ``added`` the file's added tokens are matched in the texts, else they are ordinary text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         self.encode = _encoder(path)
+        self.added = added_tokens(path) if added else {}
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")")
         self.classes = np.full(0x110000, 255, np.uint8)
         self.classes[list(UNICODE_SPACES)] = SPACE
         self._reset()
@@ -124,6 +141,19 @@ class Tokenizer:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, first id of each text and the end)."""
+        if not any(token in text for token in self.added for text in texts):
+            return self._ordinary(texts)
+        segments = [self.split.split(text) for text in texts]        # every second segment is an added token
+        which = np.array([self.added[x] if i % 2 else -1 for own in segments for i, x in enumerate(own)], np.int64)
+        ids, at = self._ordinary([b"" if i % 2 else x for own in segments for i, x in enumerate(own)])
+        token = np.flatnonzero(which >= 0)
+        size = np.diff(at)
+        size[token] = 1
+        stop = np.concatenate(([0], np.cumsum(size)))
+        text = np.concatenate(([0], np.cumsum([len(own) for own in segments])))
+        return np.insert(ids, at[token], which[token].astype(np.uint32)), stop[text]
+
+    def _ordinary(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(texts)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         if not joined:
@@ -182,7 +212,7 @@ class Tokenizer:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return Tokenizer(path, added=True)
 
 
 class Windows:
