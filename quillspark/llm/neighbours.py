@@ -6,10 +6,10 @@ visits its own bucket and the buckets next to it in the order of their estimated
 costs the squared distance of the query's projection to that edge of its interval, a set of moves costs the sum, and
 the cheapest sets are generated with a heap. All buckets found in all tables are merged and ranked by the exact cosine.
 
-Rows with the same vector are indexed once per the ``k + 1`` smallest ids: no more of them can be among a query's k
-nearest, ties going to the smaller id. Index and queries meet bucket by bucket; a bucket with more than
-``block_rows`` vectors is split into blocks that each see the bucket's queries, and a block returns only its k best per
-query, so no pairs are materialised and no task holds more than a block. A query with fewer than k neighbours found
+Rows that repeat both id and vector count once. Of the rows with the same vector those with the ``k + 1`` smallest ids are
+indexed: no more of them can be among a query's k nearest, ties going to the smaller id. Index and queries meet bucket by bucket; a bucket with more than
+``block_rows`` vectors is split into blocks that each see the bucket's queries, and a block returns only its k best
+ids per query, so no pairs are materialised and no task holds more than a block. A query with fewer than k neighbours found
 is answered exactly, block by block over all vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as
@@ -146,19 +146,24 @@ def entries(vectors: DataFrame, probes: int, tables: int, hashes: int, width: fl
 
 
 def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query id, id, score) of each query's k best, ties to the smaller id."""
+    """(query id, id, score) of each query's k best ids, each with its best score, ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    ids, v = ids[order], v[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     rough = unit_vectors(q) @ unit_vectors(v).T
     for i, own in enumerate(query_ids):
         row = np.where(ids == own, -np.inf, rough[i])
-        if len(row) > k:
-            near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
+        if len(first) > k:
+            best = np.maximum.reduceat(row, first) if len(first) < len(row) else row
+            near = np.flatnonzero(row >= np.partition(best, len(first) - k)[len(first) - k] - 1e-9)
         else:
             near = np.arange(len(row))
         near = near[ids[near] != own]
         if not len(near):
             continue
         exact = cosine(np.repeat(q[i][None], len(near), 0), v[near])
-        top = np.lexsort((ids[near], -exact))[:k]
+        top = np.lexsort((ids[near], -exact))
+        top = top[np.sort(np.unique(ids[near][top], return_index=True)[1])[:k]]
         yield np.full(len(top), own), ids[near][top], exact[top]
 
 
@@ -195,7 +200,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
             tables: int = 6, hashes: int = 4, width: float = 1.2, probes: int = 48, seed: int = 11,
             block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, nearest first."""
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(vectors, id_col, vector_col).distinct()
     same = Window.partitionBy("v").orderBy("id")
     index = rows.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k + 1).select("id", "v")
     asked = usable(queries, id_col, vector_col)
