@@ -120,10 +120,9 @@ def trim_batch(spark, sf_dir):
 
 @register("mask_tokens")
 def mask_tokens(spark, sf_dir):
-    """C10 (rows-only): masked ids per essay; invariants (protected ids kept, rate ≈ p) are in tests."""
+    """C10 (rows-only): masked ids of the whole essay; invariants (protected ids kept, rate ≈ p) are in tests."""
     toks = _tokens(spark, sf_dir)
-    ids, _ = K.encode_plus(F.col("toks"), PAD_LEN)
-    enc = toks.select("text_id", K.token_ids(ids).alias("input_ids"))
+    enc = toks.select("text_id", K.token_ids(K.add_special(F.col("toks"))).alias("input_ids"))
     masked = enc.withColumn("masked_ids", K.mask_tokens(F.col("input_ids"), F.col("text_id"), 0, p=0.15))
     n_masked = F.aggregate(F.zip_with("input_ids", "masked_ids", lambda a, b: F.when(a != b, 1).otherwise(0)),
                            F.lit(0), lambda acc, v: acc + v)
