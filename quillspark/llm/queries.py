@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, lines, mixing, neighbours, ngram_join, packing, quality, spans, suffixes
+from . import chat, exactfit, langid, lexical, lines, mixing, neighbours, ngram_join, packing, quality, spans, suffixes, trie
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,86 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+# crc32 of a decimal number: the digits' bytes folded in one by one, eight shifts each
+_CRC = """(xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295))"""
+
+
+@register("op11_conversation_trie", f"""
+WITH own AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), head AS (
+  SELECT conv_id, ts, {_CRC.format('conv_id')} % 9 AS h FROM own
+), built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.ts, [])[1:a.h], a.ts[a.h + 1:]) AS ts
+  FROM head a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5
+), step AS (
+  SELECT conv_id, len(ts) AS total, unnest(range(0, len(ts) + 1)) AS depth, ts FROM built
+), pre AS (
+  SELECT conv_id, total, depth, sha256(ts[1:depth]::VARCHAR) AS node, CASE WHEN depth > 0 THEN sha256(ts[1:depth - 1]::VARCHAR) END AS up,
+    CASE WHEN depth > 0 THEN strlen(ts[depth].text) ELSE 0 END AS bytes FROM step
+), nodes AS (
+  SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256
+  FROM pre GROUP BY depth, node
+), kids AS (
+  SELECT depth - 1 AS depth, up AS node, count(*)::BIGINT AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), facts AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (depth, node)
+), sums AS (
+  SELECT p.depth, p.node, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((f.n_convs - 1) * f.bytes)::BIGINT AS saved_tokens
+  FROM facts f JOIN pre p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY 1, 2
+)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM facts f JOIN sums s USING (depth, node) LEFT JOIN facts u ON u.depth = f.depth - 1 AND u.node = f.up
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = trie.conversations(read(spark, sf_dir, "conversations"))
+    base = own.filter(F.col("id") % 5 == 0).select(F.col("id").alias("base"), F.slice("turns", 1, 8).alias("start"))
+    shared = F.crc32(F.col("id").cast("string").cast("binary")) % 9
+    start = F.slice(F.coalesce("start", F.slice("turns", 1, 0)), F.lit(1), shared.cast("int"))
+    rest = F.slice("turns", (shared + 1).cast("int"), F.greatest(F.size("turns"), F.lit(1)))
+    built = own.join(base, F.col("id") - F.col("id") % 5 == F.col("base"), "left").select("id", F.concat(start, rest).alias("turns"))
+    out = trie.prefix_trie(built)
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+                      F.coalesce("ends", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+@register("op12_exact_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactfit.pack(read(spark, sf_dir, "documents"), end_id=2, length=1024)
+
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op13_ranked_search", f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_transform({_TERMS.format("coalesce(text, '')")}, lambda x: {_FOLD.format('x')}) AS ts FROM documents
+), s AS (
+  SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0
+), i AS (
+  SELECT DISTINCT item_id, text FROM benchmark
+), q AS (
+  SELECT item_id, row_number() OVER () AS item, {_FOLD.format('unnest(' + _TERMS.format("coalesce(text, '')") + ')')} AS term FROM i
+), asked AS (
+  SELECT item, item_id, term, count(*) AS times FROM q GROUP BY ALL
+), t AS (
+  SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d
+), f AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM t SEMI JOIN asked USING (term) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term
+), score AS (
+  SELECT item, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM f JOIN w USING (term) JOIN asked USING (term), s GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM score WHERE score > 0 QUALIFY rank <= 10
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
