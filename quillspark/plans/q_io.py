@@ -33,6 +33,21 @@ def csv_roundtrip(spark, sf_dir):
     return rounded(read_csv(spark, path, ESSAY_SCHEMA))
 
 
+@register("csv_mixed_headers", sql=f"WITH {essays_cte()}\nSELECT text_id, full_text, {_T6} FROM essays")
+def csv_mixed_headers(spark, sf_dir):
+    """A1: files of one folder with their own headers: as is, reversed behind an index column, and with forty more columns
+    (some multi-line) in between; one read finds every field by the header of its file."""
+    e = fx.essays(Tables(spark, sf_dir)).select("doc_id", "text_id", "full_text", *TARGETS)
+    base = scratch_path(spark, "mixed-csv")
+    own = ["text_id", "full_text", *TARGETS]
+    more = [F.concat(F.lit(f"note {i}\n"), F.substring("full_text", 1, 5)).alias(f"note{i}") for i in range(40)]
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    write_csv(e.filter(third == 0).select(*own), f"{base}/plain.csv")
+    write_csv(e.filter(third == 1).select(F.col("doc_id").alias(""), *reversed(own)), f"{base}/reversed.csv")
+    write_csv(e.filter(third == 2).select("full_text", *more, *reversed(TARGETS), "text_id"), f"{base}/wide.csv")
+    return rounded(read_csv(spark, f"{base}/*.csv", ESSAY_SCHEMA))
+
+
 @register("format_dispatch", sql=f"WITH {essays_cte()}\nSELECT 'pq' AS fmt, text_id, round(cohesion, 6) AS cohesion "
           "FROM essays UNION ALL SELECT 'csv' AS fmt, text_id, round(cohesion, 6) AS cohesion FROM essays")
 def format_dispatch(spark, sf_dir):

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..targets import TARGETS
-
-# CSV options that read what pandas ``to_csv`` writes: header, doubled quotes, newlines inside quoted fields.
-PANDAS_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "mode": "FAILFAST"}
+from .csvfiles import field, read_csv, read_records
 
 ESSAY_SCHEMA = T.StructType(
     [T.StructField("text_id", T.StringType()), T.StructField("full_text", T.StringType())]
@@ -53,35 +51,6 @@ def replicate(df: DataFrame, id_cols: list[str], copies: int) -> DataFrame:
     return out.drop("_copy")
 
 
-INDEX_NAMES = ("", "_c0", "Unnamed: 0")
-
-
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file as written: the first record of its first file (one short read)."""
-    first = spark.read.options(**{**PANDAS_CSV, "header": "false", "mode": "PERMISSIVE"}).csv(path).first()
-    return [x or "" for x in first] if first else []
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV written by pandas: header, quoted multi-line fields. Give a schema in production (no inference pass).
-
-    The schema's fields are found by header name: the file may have them in another order, may have more columns (an
-    unnamed index column, say), and fields it lacks are NULL.
-    """
-    reader = spark.read.options(**PANDAS_CSV)
-    if schema is None:
-        df = reader.option("inferSchema", "true").csv(path)
-        return df.drop(df.columns[0]) if df.columns and df.columns[0] in INDEX_NAMES else df
-    wanted = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    names = csv_header(spark, path)
-    types = {f.name: f.dataType for f in wanted.fields}
-    as_read = T.StructType([T.StructField(n if n in types else f"_other{i}", types.get(n, T.StringType()))
-                            for i, n in enumerate(names)])
-    df = reader.schema(as_read).option("enforceSchema", "true").csv(path) if names else spark.createDataFrame([], wanted)
-    return df.select(*[F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name)
-                       for f in wanted.fields]) if names else df
-
-
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Format by suffix: ``.pq``/``.parquet`` → parquet, anything else → pandas-style CSV."""
     if path.endswith(".pq") or path.endswith(".parquet"):
@@ -103,24 +72,16 @@ def read_prediction_dir(spark: SparkSession, pattern: str, banned_models: list[s
     """One scan over a folder of per-model prediction files: ``model_id, text_id, fold, <targets>``.
 
     The files may differ: true targets plus ``pred_<target>`` columns or target-named predictions, with or without an
-    unnamed index column, in any column order. They are read once as raw records together with their file name; the
-    header record of each file (the one whose fields hold ``text_id``) says where its columns are, and a join on the
-    file puts them in place. The headers are one row per file.
+    unnamed index column, of any width and in any column order; each file's header says where its columns are. A
+    file without ``text_id`` is an error, a target or fold that a file lacks is NULL.
     """
-    width = 2 * len(targets) + 8
-    raw = (spark.read.options(**{**PANDAS_CSV, "header": "false", "mode": "PERMISSIVE"})
-           .schema(", ".join(f"c{i} string" for i in range(width))).csv(pattern)
-           .select(F.array(*[f"c{i}" for i in range(width)]).alias("r"), F.col("_metadata.file_path").alias("file")))
-    is_header = F.array_contains("r", "text_id")
-    heads = raw.filter(is_header).select("file", F.col("r").alias("h"))
-    rows = raw.filter(~F.coalesce(is_header, F.lit(False))).join(heads, "file")
-
-    def field(name):
-        return F.try_element_at("r", F.nullif(F.array_position("h", name), F.lit(0)).cast("int"))
     has_pred = F.array_contains("h", f"pred_{targets[0]}")
-    df = rows.select(model_id_from_path(F.col("file")).alias("model_id"), field("text_id").alias("text_id"),
-                     field("fold").cast("int").alias("fold"),
-                     *[F.when(has_pred, field(f"pred_{t}")).otherwise(field(t)).cast("double").alias(t) for t in targets])
+    text_id = F.when(F.array_contains("h", "text_id"), field("text_id")) \
+        .otherwise(F.raise_error(F.concat("file", F.lit(": no column text_id"))))
+    df = read_records(spark, pattern).select(
+        model_id_from_path(F.col("file")).alias("model_id"), text_id.alias("text_id"),
+        field("fold").cast("double").cast("int").alias("fold"),
+        *[F.when(has_pred, field(f"pred_{t}")).otherwise(field(t)).cast("double").alias(t) for t in targets])
     return ban_models(df, banned_models)
 
 
