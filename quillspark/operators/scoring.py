@@ -10,15 +10,15 @@ looped over inside the batch, and fold means are taken there, so nothing is fann
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
 from ..targets import N_FOLDS, TARGETS
+from . import ridge
 
 ScorerFactory = Callable[[], Callable[[pd.DataFrame], np.ndarray]]
 MODES = ("oofs", "prev_pseudolabels", "curr_pseudolabels", "submission")
@@ -125,61 +125,33 @@ def training_rows(labelled: DataFrame, k: int, extra: DataFrame | None = None,
 def fold_fit_oof(labelled: DataFrame, n_folds: int = N_FOLDS, id_col: str = "text_id", text_col: str = "full_text",
                  num_features: int = 1024, reg: float = 1.0, weight_col: str | None = None,
                  extra_train: DataFrame | None = None, extra_fold_col: str | None = None,
-                 score_also: DataFrame | None = None, parallelism: int = 5) -> tuple[DataFrame, DataFrame | None]:
-    """K4: per fold k, fit text → six targets on rows with fold ≠ k (plus the ``extra_train`` rows, restricted to
-    ``extra_fold_col == k`` when given), predict fold k. Spark ML: RegexTokenizer → HashingTF → IDF →
-    LinearRegression (L2), one regression per target on a shared, persisted feature table.
+                 score_also: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """K4: the model of fold k is fitted on the labelled rows with fold ≠ k (plus the ``extra_train`` rows, those with
+    ``extra_fold_col == k`` when given) and predicts the rows of fold k. One pass gives the moments of every fold; see ``ridge``.
 
     Returns (OOF predictions ``(id, fold, pred_<t>...)``, predictions of every fold model on ``score_also``
     as ``(id, fold_model, pred_<t>...)`` or None).
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-    from pyspark.ml.regression import LinearRegression
-
-    # term counts do not depend on the fold: computed once, written to the shared folder, read by every fold
-    counts = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\w+|[^\w\s]", gaps=False),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)])
-
-    def hashed(df: DataFrame) -> DataFrame:
-        return pin(counts.fit(df).transform(df).drop("_tok", text_col))
-    labelled = hashed(labelled)
-    extra_train = hashed(extra_train) if extra_train is not None else None
-    score_also = hashed(score_also) if score_also is not None else None
-
-    def fit_fold(k: int):
-        train = training_rows(labelled, k, extra_train, extra_fold_col)
-        valid = labelled.filter(F.col("fold") == k)
-        feats = IDF(inputCol="_tf", outputCol="_x").fit(train)
-        xtr = feats.transform(train).select("_x", *TARGETS, *([weight_col] if weight_col else [])).persist()
-        xva = feats.transform(valid).select(id_col, "fold", "_x")
-        xot = None
-        if score_also is not None:
-            xot = feats.transform(score_also).select(id_col, F.lit(k).alias("fold_model"), "_x")
-        for t in TARGETS:
-            lr = LinearRegression(featuresCol="_x", labelCol=t, predictionCol=f"pred_{t}", regParam=reg,
-                                  elasticNetParam=0.0, solver="normal")
-            if weight_col:
-                lr = lr.setWeightCol(weight_col)
-            model = lr.fit(xtr.filter(F.col(t).isNotNull()))
-            xva = model.transform(xva)
-            if xot is not None:
-                xot = model.transform(xot)
-        xtr.unpersist()
-        return xva.drop("_x", "_tf"), (xot.drop("_x", "_tf") if xot is not None else None)
-
-    # Folds are independent: their fits run as concurrent Spark jobs (as CrossValidator's ``parallelism``).
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_folds))) as pool:
-        results = list(pool.map(fit_fold, range(n_folds)))
-    oofs = [r[0] for r in results]
-    others = [r[1] for r in results if r[1] is not None]
-    oof = oofs[0]
-    for o in oofs[1:]:
-        oof = oof.unionByName(o)
-    other = None
-    if others:
-        other = others[0]
-        for o in others[1:]:
-            other = other.unionByName(o)
-    return oof, other
+    def features(df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(F.col(id_col), ridge.term_places(F.col(text_col), num_features).alias("places"), *more)
+
+    def training(df: DataFrame, grp: Column) -> list[Column]:
+        w = F.col(weight_col).cast("double") if weight_col and weight_col in df.columns else F.lit(1.0)
+        y = F.array(*[F.coalesce(F.col(t).cast("double"), F.lit(float("nan"))) for t in TARGETS])
+        return [grp.alias("grp"), y.alias("y"), w.alias("w")]
+    # tokens are found once: the moments and the predictions read the written places
+    def numbered(name: str, col: str) -> Column:
+        return F.concat(F.lit(name), F.coalesce(F.col(col).cast("int").cast("string"), F.lit(" none")))
+    own = pin(features(labelled, F.col("fold"), *training(labelled, numbered("fold", "fold"))))
+    rows = own.select("grp", "places", "y", "w")
+    if extra_train is not None:
+        grp = F.lit("extra") if extra_fold_col is None else numbered("extra", extra_fold_col)
+        rows = rows.unionByName(features(extra_train, *training(extra_train, grp)).select("grp", "places", "y", "w"))
+    found = ridge.moments(rows, num_features)
+    names = set(found.docs)
+    models = []
+    for k in range(n_folds):
+        train = [g for g in names if not g.startswith("extra") and g != f"fold{k}"] + [g for g in names if g in ("extra", f"extra{k}")]
+        models.append(found.fit(sorted(train), reg))
+    oof = ridge.predict(own, models, id_col, "fold")
+    return oof, None if score_also is None else ridge.predict(features(score_also), models, id_col, shown="fold_model")
