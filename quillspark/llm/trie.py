@@ -10,8 +10,8 @@ and close, leaves from the rank of ``()`` pairs, savings from the difference of
 A subtree that lies off the paths of a shard's first and last entry is complete in that shard. The nodes on those two
 paths, the spines, may go on in neighbouring shards: they leave the shard with partial measures and are merged by
 digest. Leaves and savings of a merged spine node also count the spine nodes below it; each of those is owned by the first
-path that has it, suffix sums over a path hand the owned ones to their ancestors on the path, and a sum by digest adds the
-paths. Spine rows number two path lengths a shard, so a first turn or conversation that a third of the log shares is a
+path that has it, so a path owns its deeper end: suffix sums over it serve the owned nodes, their total the nodes above,
+and a sum by digest adds the paths. Spine rows number two path lengths a shard, so a first turn or conversation that a third of the log shares is a
 few rows from each shard and never one group in one task. A node outside the spines whose parent is on one finds it by
 (shard, digest), which a popular parent spreads over its shards.
 
@@ -42,6 +42,8 @@ from .shared import pin
 
 SHARD_TURNS = 1 << 18
 BLOCK = 64
+# Spine nodes (about 30 bytes each) that are broadcast at most, and the parts a digest is dealt to beyond.
+FEW_NODES, SALTS = 200_000, 16
 ROOT = bytes(16)
 NOTHING = np.iinfo(np.int64).max
 NODE_SCHEMA = ("shard long, side int, depth long, key binary, parent_key binary, conv_id long, parent_conv_id long, "
@@ -295,38 +297,54 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     return rows.groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
-def _merged(rows: DataFrame) -> DataFrame:
+def _by_key(rows: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    """Join on the digest. The root and popular turns have a row from every shard: few nodes are broadcast, more are joined with
+    those rows spread over ``SALTS`` tasks a digest."""
+    if few:
+        return rows.join(F.broadcast(nodes), "key")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("salt", F.pmod("shard", F.lit(SALTS)).cast("int"))
+    return salted.join(nodes.withColumn("salt", salts), ["key", "salt"]).drop("salt")
+
+
+def _merged(rows: DataFrame, few_nodes: int) -> DataFrame:
     """All nodes from the shards' rows: spines merged, parents on spines looked up."""
     spine = rows.filter(F.col("key").isNotNull())
     total = lambda name: F.sum(name).alias(name)
-    once = spine.groupBy("key").agg(
-        F.max("parent_key").alias("parent_key"), F.max("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
-        total("n_convs"), total("n_children"), total("n_leaves"), total("saved"), F.max("size").alias("size"),
-        F.max("ends").alias("ends"), F.min(F.struct("shard", "side")).alias("owner"))
+    merge = [F.max("parent_key").alias("parent_key"), F.max("depth").alias("depth"), F.min("conv_id").alias("conv_id"),
+             total("n_convs"), total("n_children"), total("n_leaves"), total("saved"), F.max("size").alias("size"), F.max("ends").alias("ends")]
+    # twice: a digest that every shard has meets itself in parts first
+    once = spine.groupBy("key", F.pmod("shard", F.lit(SALTS)).alias("salt")).agg(*merge, F.min(F.struct("shard", "side")).alias("owner"))
+    once = once.groupBy("key").agg(*merge, F.min("owner").alias("owner"))
     again = once.filter(F.col("parent_key").isNotNull()).groupBy(F.col("parent_key").alias("key")).agg(F.count("*").alias("more"))
     nodes = pin(once.join(again, "key", "left")
                     .withColumn("n_children", F.col("n_children") + F.coalesce("more", F.lit(0)))
-                    .withColumn("own_leaf", (F.col("n_children") == 0).cast("long"))
-                    .withColumn("own_saved", (F.col("n_convs") - 1) * F.col("size")).drop("more"))
-    mine = F.col("owner") == F.struct("shard", "side")
+                    .withColumn("leaves", (F.col("n_children") == 0).cast("long"))
+                    .withColumn("savings", (F.col("n_convs") - 1) * F.col("size")).drop("more"))
+    few = nodes.limit(few_nodes + 1).count() <= few_nodes
+    # a path owns its deeper end; what it owns counts for the owned nodes above and, as a whole, for those owned before
     path = Window.partitionBy("shard", "side").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = spine.select("shard", "side", "depth", "key").join(nodes.select("key", "conv_id", "owner", "own_leaf", "own_saved"), "key")
-    under = steps.select("key", F.sum(F.when(mine, F.col("own_leaf")).otherwise(0)).over(path).alias("leaves"),
-                         F.sum(F.when(mine, F.col("own_saved")).otherwise(0)).over(path).alias("savings"))
-    under = under.groupBy("key").agg(total("leaves"), total("savings"))
+    owned = nodes.select("key", "depth", "owner.shard", "owner.side", "leaves", "savings")
+    suffix = owned.select("key", F.sum("leaves").over(path).alias("leaves"), F.sum("savings").over(path).alias("savings"))
+    paths = owned.groupBy("shard", "side").agg(F.min("depth").alias("top"), total("leaves"), total("savings"))
+    above = spine.select("shard", "side", "depth", "key").join(paths, ["shard", "side"]).filter(F.col("depth") < F.col("top"))
+    above = above.groupBy("key", F.pmod("shard", F.lit(SALTS)).alias("salt")).agg(total("leaves"), total("savings"))
+    under = suffix.unionByName(above.drop("salt")).groupBy("key").agg(total("leaves"), total("savings"))
     parents = nodes.select(F.col("key").alias("parent_key"), F.col("conv_id").alias("parent_conv_id"))
     shown = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved", "ends"]
-    merged = (nodes.join(under, "key").join(parents, "parent_key", "left")
+    merged = (nodes.drop("leaves", "savings").join(under, "key").join(parents, "parent_key", "left")
                    .withColumn("n_leaves", F.col("n_leaves") + F.col("leaves"))
                    .withColumn("saved", F.col("saved") + F.col("savings")).select(shown))
     own = rows.filter(F.col("key").isNull())
-    held = steps.groupBy("shard", F.col("key").alias("parent_key")).agg(F.max("conv_id").alias("up"))
+    # partial measures are given once a shard, so this is one row a shard and digest
+    held = _by_key(spine.filter(F.col("conv_id").isNotNull()).select("shard", "key"),
+                   nodes.select("key", F.col("conv_id").alias("up")), few).withColumnRenamed("key", "parent_key")
     joined = (own.filter(F.col("parent_key").isNotNull()).join(held, ["shard", "parent_key"])
                  .withColumn("parent_conv_id", F.col("up")).select(shown))
     return merged.unionByName(joined).unionByName(own.filter(F.col("parent_key").isNull()).select(shown))
 
 
-def prefix_trie(convs: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
+def prefix_trie(convs: DataFrame, shard_turns: int = SHARD_TURNS, few_nodes: int = FEW_NODES) -> DataFrame:
     """Nodes of the trie of ``convs`` (id, turns of (key, size)), one row each.
 
     ``conv_id`` smallest member; ``depth``; ``parent_conv_id``; ``n_convs`` members; ``n_children``; ``n_leaves`` of the
@@ -341,4 +359,4 @@ def prefix_trie(convs: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     ends = parts.repartition("seq").sortWithinPartitions("seq", "id").mapInArrow(_digested, "seq binary, id long, n long, ends string")
     entries = flat.join(ends, ["seq", "id"]).select("path", "sizes", "n", "id", "ends")
     rows = entries.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(lambda b: _shards(b, shard_turns), NODE_SCHEMA)
-    return _merged(pin(rows))
+    return _merged(pin(rows), few_nodes)

@@ -83,6 +83,8 @@ def test_trie_equals_prefix_dictionary(spark, shard_turns):
     """Shards of one entry, of some and of all give the same nodes: spines merge."""
     convs = random_convs(random.Random(shard_turns), 150)
     assert found(trie.prefix_trie(logged(spark, convs), shard_turns)) == by_hand(convs)
+    if shard_turns == 40:
+        assert found(trie.prefix_trie(logged(spark, convs), shard_turns, few_nodes=0)) == by_hand(convs)
 
 
 def test_hot_conversation_and_long_conversation(spark):
