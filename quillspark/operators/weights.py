@@ -143,55 +143,72 @@ def collect_grams(stats: DataFrame, k: int, groups: int = len(TARGETS)) -> dict[
     return {g: Gram(k, e) for g, e in by.items()}
 
 
-def solve_box_ls(G: np.ndarray, b: np.ndarray, lb: np.ndarray, ub: np.ndarray, ridge: float = 1e-9,
-                 max_iter: int = 200, tol: float = 1e-10) -> np.ndarray:
-    """min wᵀGw − 2bᵀw on lb ≤ w ≤ ub: projected Newton on the free set, projected gradient as fallback."""
+# Largest violation of the optimality conditions (scaled as in ``kkt_violation``) that a fit may return.
+KKT_TOL = 1e-8
+
+
+class NotOptimal(ArithmeticError):
+    """A fit whose weights do not meet the optimality conditions."""
+
+
+def certified(G: np.ndarray, b: np.ndarray, w: np.ndarray, lb: np.ndarray, ub: np.ndarray, tol: float = KKT_TOL) -> np.ndarray:
+    """``w``, if it meets the KKT conditions of the box problem; else an error."""
+    worst = kkt_violation(G, b, w, lb, ub)
+    if not worst <= tol:
+        raise NotOptimal(f"optimality conditions violated by {worst:.3g} (allowed {tol:.3g})")
+    return w
+
+
+def solve_box_ls(G: np.ndarray, b: np.ndarray, lb: np.ndarray, ub: np.ndarray, ridge: float = 1e-10,
+                 tol: float = KKT_TOL) -> np.ndarray:
+    """min wᵀGw − 2bᵀw on lb ≤ w ≤ ub by active sets; the result is certified.
+
+    Weights at a bound are held there, the others solve their linear system; a step that would leave the box stops at the
+    first bound and holds that weight. Once the free weights are at their optimum, the held weight with the strongest pull
+    inwards is let go. Every optimum of a face is strictly better than the one before, so no face comes twice and the
+    search ends after finitely many faces. ``ridge`` (relative to the mean diagonal of G) makes the optimum unique when models
+    are collinear; its effect on the conditions lies below ``tol``. Conditions that are not met are an error.
+    """
     k = len(b)
+    lb, ub = np.broadcast_to(np.asarray(lb, float), k), np.broadcast_to(np.asarray(ub, float), k)
+    if (lb > ub).any():
+        raise ValueError("a lower bound lies above its upper bound")
     scale = max(np.trace(G) / max(k, 1), 1e-300)
-    Gs = G / scale + ridge * np.eye(k)
-    bs = b / scale
-    w = np.clip(np.linalg.lstsq(Gs, bs, rcond=None)[0], lb, ub)
-
-    def f(v):
-        return float(v @ Gs @ v - 2 * bs @ v)
-
-    for _ in range(max_iter):
-        g = 2 * (Gs @ w - bs)
-        at_lb = (w <= lb + 1e-12) & (g > 0)
-        at_ub = (w >= ub - 1e-12) & (g < 0)
-        free = ~(at_lb | at_ub)
-        if not free.any():
-            break
-        target = w.copy()
-        rhs = bs[free] - Gs[np.ix_(free, ~free)] @ w[~free]
-        target[free] = np.linalg.solve(Gs[np.ix_(free, free)], rhs)
-        step, f0, improved = 1.0, f(w), False
-        while step > 1e-12:
-            cand = np.clip(w + step * (target - w), lb, ub)
-            if f(cand) < f0 - 1e-16:
-                w, improved = cand, True
+    Gs, bs = G / scale + ridge * np.eye(k), b / scale
+    w = np.clip(np.linalg.solve(Gs, bs) if k else bs, lb, ub)
+    free = (w > lb) & (w < ub)
+    faces = set()
+    while True:
+        while free.any():
+            target = np.linalg.solve(Gs[np.ix_(free, free)], bs[free] - Gs[np.ix_(free, ~free)] @ w[~free])
+            step = target - w[free]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(step > 0, (ub[free] - w[free]) / step, np.where(step < 0, (lb[free] - w[free]) / step, np.inf))
+            first = int(np.argmin(room))
+            if room[first] >= 1:
+                w[free] = target
                 break
-            step /= 2
-        if not improved:
-            break
-    # polish with projected gradient (guarantees KKT within tol on ill-conditioned G)
-    lip = 2 * np.linalg.eigvalsh(Gs).max()
-    for _ in range(20000):
-        g = 2 * (Gs @ w - bs)
-        w_new = np.clip(w - g / lip, lb, ub)
-        if np.abs(w_new - w).max() < tol:
-            w = w_new
-            break
-        w = w_new
-    return w
+            at = np.flatnonzero(free)[first]
+            w[free] += room[first] * step
+            w[at] = ub[at] if step[first] > 0 else lb[at]
+            w = np.clip(w, lb, ub)
+            free[at] = False
+        pull = bs - Gs @ w                                  # half the negative gradient
+        inwards = np.where(free | (lb == ub), 0.0, np.where(w <= lb, pull, -pull))
+        at = int(np.argmax(inwards)) if k else 0
+        face = tuple(np.where(free, 0, np.where(w <= lb, -1, 1)))
+        if not k or inwards[at] <= tol / 4 or face in faces:
+            return certified(G, b, w, lb, ub, tol)
+        faces.add(face)
+        free[at] = True
 
 
 def kkt_violation(G: np.ndarray, b: np.ndarray, w: np.ndarray, lb: np.ndarray, ub: np.ndarray) -> float:
-    """Largest violation of the box KKT conditions (gradient scaled by the trace of G)."""
+    """Largest violation of the box KKT conditions (gradient scaled by the trace of G); weights without room have none."""
     scale = max(np.trace(G) / max(len(b), 1), 1e-300)
     g = 2 * (G @ w - b) / scale
     viol = np.where(w <= lb + 1e-12, np.maximum(-g, 0), np.where(w >= ub - 1e-12, np.maximum(g, 0), np.abs(g)))
-    return float(viol.max()) if len(viol) else 0.0
+    return float(np.where(lb == ub, 0.0, viol).max()) if len(viol) else 0.0
 
 
 def bounds(models: list[str], upper: dict[str, float] | None = None, lower: float = 0.0):
@@ -212,40 +229,58 @@ def fit_columnwise(grams: dict[str, Gram], models: list[str], upper: dict[str, f
     return out
 
 
-def fit_modelwise(grams: dict[str, Gram], models: list[str], upper: dict[str, float] | None = None,
-                  max_iter: int = 20000, tol: float = 1e-12):
-    """H2: one vector for all targets minimising the mean of the per-target RMSE (convex), projected gradient
-    with backtracking, started from the mean of the column-wise optima."""
+def mean_rmse_slope(gs: list[Gram], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the mean RMSE. A target that is met exactly has the subgradient 0."""
+    k = len(w)
+    grad, hess = np.zeros(k), np.zeros((k, k))
+    for g in gs:
+        r = g.rmse(w)
+        if r * r * g.n <= 1e-13 * max(g.yy, 1e-300):
+            continue
+        d = (g.G @ w - g.b) / (r * g.n)
+        grad += d / len(gs)
+        hess += (g.G / (r * g.n) - np.outer(d, d) / r) / len(gs)
+    return grad, hess
+
+
+def box_violation(grad: np.ndarray, w: np.ndarray, lb: np.ndarray, ub: np.ndarray) -> float:
+    """Largest part of a gradient that points out of no bound."""
+    v = np.where(w <= lb + 1e-12, np.maximum(-grad, 0), np.where(w >= ub - 1e-12, np.maximum(grad, 0), np.abs(grad)))
+    return float(v.max()) if len(v) else 0.0
+
+
+def fit_modelwise(grams: dict[str, Gram], models: list[str], upper: dict[str, float] | None = None, tol: float = KKT_TOL):
+    """H2: one vector for all targets minimising the mean of the per-target RMSE (convex).
+
+    Newton steps on the box: each step solves the quadratic model exactly (``solve_box_ls``) and is halved until the mean
+    RMSE falls. It ends when the gradient that no bound holds is at most ``tol``; when no step helps before that, it
+    is an error, never a silent limit. Returns (weights, mean RMSE).
+    """
     lb, ub = bounds(models, upper)
     gs = list(grams.values())
     w = np.mean([solve_box_ls(g.G, g.b, lb, ub) for g in gs], axis=0)
 
-    def obj(v):
+    def mean_rmse(v):
         return float(np.mean([g.rmse(v) for g in gs]))
-
-    def grad(v):
-        tot = np.zeros_like(v)
-        for g in gs:
-            r = max(g.rmse(v), 1e-15)
-            tot += (2 * (g.G @ v - g.b)) / (2 * r * g.n)
-        return tot / len(gs)
-
-    step = 1.0
-    f0 = obj(w)
-    for _ in range(max_iter):
-        gr = grad(w)
-        while True:
-            cand = np.clip(w - step * gr, lb, ub)
-            fc = obj(cand)
-            if fc <= f0 - 1e-4 * float(gr @ (w - cand)) or step < 1e-14:
+    now = mean_rmse(w)
+    while True:
+        grad, hess = mean_rmse_slope(gs, w)
+        if box_violation(grad, w, lb, ub) <= tol:
+            return w, now
+        hess += 1e-12 * max(np.trace(hess) / len(w), 1e-300) * np.eye(len(w))
+        step = solve_box_ls(hess, hess @ w - grad, lb, ub, tol=np.inf) - w
+        size, better = 1.0, None
+        while size > 1e-12:
+            value = mean_rmse(w + size * step)
+            if value < now:
+                better = np.clip(w + size * step, lb, ub)
                 break
-            step /= 2
-        if np.abs(cand - w).max() < tol:
-            w, f0 = cand, fc
-            break
-        w, f0 = cand, fc
-        step *= 2
-    return w, f0
+            size /= 2
+        if better is None:
+            if box_violation(grad, w, lb, ub) <= 100 * tol:     # the objective has no more digits
+                return w, now
+            raise NotOptimal(f"mean RMSE {now}: gradient {box_violation(grad, w, lb, ub):.3g}, and no step lowers it")
+        w, now = better, mean_rmse(better)
 
 
 def score_trials(stats: DataFrame, trials: DataFrame, n_feat: int) -> DataFrame:
@@ -284,6 +319,69 @@ def dirichlet_trials(spark, n_models: int, n_trials: int, seed: int) -> DataFram
     return spark.createDataFrame(rows, "trial int, i int, w double")
 
 
+def best_trial(scored: DataFrame, trials: DataFrame) -> DataFrame:
+    """H4: the trial with the lowest MCRMSE (ties: the first) with its weights: ``(trial, i, w, mcrmse)``."""
+    best = scored.filter(F.col("mcrmse").isNotNull() & ~F.isnan("mcrmse")).orderBy("mcrmse", "trial").limit(1)
+    return best.join(trials, "trial").select("trial", "i", "w", "mcrmse")
+
+
+# Factor by which a search draws wider than its best trials lie.
+WIDER = 1.3
+
+
+def _proposals(seed: int, number: int, trials: np.ndarray, mean: np.ndarray, root: np.ndarray, lb: np.ndarray, ub: np.ndarray) -> np.ndarray:
+    """Weight vectors of the numbered trials of a round; each depends on (seed, round, trial) alone."""
+    out = np.empty((len(trials), len(mean)))
+    for row, t in enumerate(trials.tolist()):
+        rng = np.random.Generator(np.random.Philox(key=[seed, (number << 40) + t]))
+        out[row] = rng.dirichlet(np.ones(len(mean))) if number == 0 else mean + root @ rng.standard_normal(len(mean))
+    return np.clip(out, lb, ub)
+
+
+def search_weights(spark, grams: dict[str, Gram], models: list[str], upper: dict[str, float] | None = None, n_trials: int = 1000,
+                   elite: int = 30, seed: int = 42, spread: float = 1e-5, most_rounds: int = 200):
+    """H4 + H6: seeded random restarts, then a cross-entropy search, all scored by MCRMSE from the Gram statistics.
+
+    Round 0 draws ``n_trials`` Dirichlet vectors; every later round draws from a normal with the mean and (widened by
+    ``WIDER``, so that it does not narrow before it has arrived) the covariance of the ``elite`` best of the round before,
+    clipped to the box. Trials are numbered and drawn and scored in Spark tasks, so
+    their number is not bound by the driver, which reads the ``elite`` best of a round. A trial depends on (seed, round,
+    number) alone: any partitioning gives the same search. The best vector of all rounds is kept, so the result is never
+    worse than a restart. The search ends when the largest spread falls below ``spread``; ``most_rounds`` rounds without that
+    are an error. Returns (weights, mcrmse, history rows).
+    """
+    lb, ub = bounds(models, upper)
+    k = len(models)
+    gs = list(grams.values())
+    G, b = np.stack([g.G for g in gs]), np.stack([g.b for g in gs])
+    yy, n = np.array([g.yy for g in gs]), np.array([g.n for g in gs])
+    shipped = spark.sparkContext.broadcast((G, b, yy, n))
+    mean, root = np.full(k, 1 / k), np.eye(k)
+    best, best_w, history = np.inf, None, []
+    for number in range(most_rounds):
+        def run(batches, number=number, mean=mean, root=root):
+            G, b, yy, n = shipped.value
+            for batch in batches:
+                ids = batch["id"].to_numpy()
+                w = _proposals(seed, number, ids, mean, root, lb, ub)
+                sse = np.einsum("ti,gij,tj->tg", w, G, w) - 2 * w @ b.T + yy
+                score = np.sqrt(np.maximum(sse, 0) / n).mean(axis=1)
+                yield pd.DataFrame({"trial": ids, "mcrmse": score, "w": list(w)})
+        scored = spark.range(n_trials).mapInPandas(run, "trial long, mcrmse double, w array<double>")
+        top = collect_small(scored.orderBy("mcrmse", "trial").limit(elite), elite)
+        w = np.array([r["w"] for r in top])
+        if top[0]["mcrmse"] < best:
+            best, best_w = top[0]["mcrmse"], w[0]
+        mean, width = w.mean(axis=0), float(w.std(axis=0).max())
+        cov = np.atleast_2d(np.cov(w.T, bias=True))
+        values, axes = np.linalg.eigh(0.95 * cov + 0.05 * np.diag(np.diag(cov)))
+        root = WIDER * axes * np.sqrt(np.maximum(values, 0))
+        history.append((number, n_trials * (number + 1), float(best), width))
+        if width <= spread:
+            return best_w, float(best), history
+    raise NotOptimal(f"the search did not narrow down in {most_rounds} rounds (spread {width:.3g})")
+
+
 def refine_clipped(design: DataFrame, start: dict[str, np.ndarray], lb: np.ndarray, ub: np.ndarray,
                    tol: float = 1e-12, lo: float = 1.0, hi: float = 5.0):
     """H1, class version: the blend is clipped to [lo, hi] inside the objective, which is no longer quadratic.

@@ -419,6 +419,11 @@ def test_stacked_fit_equals_a_dense_solve(spark):
     for j, tgt in enumerate(TARGETS):
         y = pdf[f"y{j}"].to_numpy()
         assert np.allclose(grams[tgt].G, x.T @ x) and np.allclose(grams[tgt].b, x.T @ y) and grams[tgt].n == len(y)
+        w = H.solve_box_ls(grams[tgt].G, grams[tgt].b, np.zeros(k), np.ones(k))
+        slope = x.T @ (x @ w - y)                           # of the rows themselves
+        scale = (x * x).sum() / k
+        assert ((w >= 0) & (w <= 1)).all() and (np.where(w <= 0, -slope, np.where(w >= 1, slope, np.abs(slope))) <= 1e-7 * scale).all()
+        assert abs(grams[tgt].rmse(w) - math.sqrt(np.mean((x @ w - y) ** 2))) < 1e-9
 
 
 def test_modelwise_fit_is_a_minimum(spark):
