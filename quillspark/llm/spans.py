@@ -31,17 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import few_rows, pin
+from .shared import pin
 
 # End marks and closing quotes or brackets beyond ASCII, and characters of scripts written without spaces (kana, Han, Thai,
 # Lao, Tibetan, Burmese, Khmer, full-width forms); fixed values.
-ENDS = b"|".join(c.encode() for c in "。！？．｡।॥؟۔።፧။។։‼⁇⁈⁉")
-CLOSES = b"|".join(c.encode() for c in "」』）】》〉”’»")
+END_MARKS, CLOSE_MARKS = "。！？．｡।॥؟۔።፧။។։‼⁇⁈⁉", "」』）】》〉”’»"
+ENDS, CLOSES = (b"|".join(c.encode() for c in x) for x in (END_MARKS, CLOSE_MARKS))
 WIDE = (rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbf][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]"
         rb"|\xef[\xa4-\xab\xbc-\xbe][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
 # A sentence with the white space after it (if any): up to an end mark before white space, or a line end.
@@ -50,6 +51,8 @@ SENTENCE = re.compile(rb"[^\n]*?[.!?][\"')\]]*(?:[ \t\r\f\v]+|(?=\n)|\Z)|[^\n]+|
 BEYOND_ASCII = re.compile(ENDS + b"|" + CLOSES)
 SENTENCE_BEYOND = re.compile(rb"[^\n]*?(?:[.!?](?:[\"')\]]|" + CLOSES + rb")*(?:[ \t\r\f\v]+|(?=\n)|\Z)|(?:" + ENDS
                              + rb")(?:[.!?\"')\]]|" + ENDS + b"|" + CLOSES + rb")*[ \t\r\f\v]*)|[^\n]+|\n+")
+# First bytes of all those marks, quotes and characters.
+LEADS = re.compile(b"[" + bytes(sorted({c.encode()[0] for c in END_MARKS + CLOSE_MARKS} | {0xE0, 0xE1, 0xEF, 0xF0})) + b"\xe3-\xe9]")
 # What counts as a word: a character of those scripts, or a run of others between white space.
 HAS_WIDE = re.compile(WIDE)
 WIDE_UNIT = re.compile(WIDE + rb"|(?:(?!" + WIDE + rb")[^ \t\n\r\f\v])+")
@@ -57,41 +60,70 @@ WIDE_UNIT = re.compile(WIDE + rb"|(?:(?!" + WIDE + rb")[^ \t\n\r\f\v])+")
 # copies of a passage share the cuts more than that far from its ends, and no piece is longer.
 LONG_SENTENCE, CUT_WINDOW = 16, 8
 
+# Classes of bytes: end marks, closing quotes and brackets, white space inside a line, line ends.
+MARK, CLOSE, BLANK, LINE_END = 1, 2, 3, 4
+KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((MARK, b".!?"), (CLOSE, b"\"')]"), (BLANK, b" \t\r\f\v"), (LINE_END, b"\n")):
+    KINDS[list(_bytes)] = _kind
+
 # Largest filter of repeated hashes that is built on the driver; it only saves shuffles, the join is exact.
 FILTER_BITS = 1 << 24
 
 
 class Parts:
-    """The sentences of a text and the parts of its long ones: words, first word, begin and end byte of each."""
-
-    def __init__(self, text: bytes):
-        plain = text.isascii()
-        pieces = (SENTENCE if plain or not BEYOND_ASCII.search(text) else SENTENCE_BEYOND).findall(text)
-        if not plain and HAS_WIDE.search(text):
-            pieces = [x for p in pieces for x in (cut(p) if HAS_WIDE.search(p) else (p,))]
-        self.words = w = textops.Words(pieces)
+    """The sentences of several texts and the parts of their long ones.
+
+    ``first`` word, ``begin`` and ``end`` byte (in the own text) of each part, ``whole`` where a sentence ends with it; text i
+    has the parts ``of[i]`` to ``of[i + 1]``. Texts are looked at together, byte by byte with array operations; only those
+    with other scripts' marks are split one by one. Both rules agree where there are none.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        segments: list[bytes] = []                      # whole texts, or the pieces of texts split one by one
+        owner: list[int] = []
+        split: list[bool] = []
+        for i, text in enumerate(texts):
+            pieces = _pieces_beyond(text)
+            segments += [text] if pieces is None else pieces
+            count = 1 if pieces is None else len(pieces)
+            owner += [i] * count
+            split += [pieces is not None] * count
+        self.words = w = textops.Words(segments)        # joined by one space each
         self._hashes = None
-        count = w.count()
-        at = np.flatnonzero(count)
+        owner, split = np.array(owner, np.int64), np.array(split, bool)
+        seg_start, seg_end = w.doc_start[:-1], w.doc_start[1:] - 1
+        size = seg_end - seg_start
+        # byte of the own text at which a segment begins
+        before = np.cumsum(size) - size
+        text_first = np.searchsorted(owner, np.arange(len(texts)))
+        offset = before - (before[np.minimum(text_first, len(before) - 1)][owner] if len(owner) else before)
+        edges = _boundaries(w.buf, seg_start, seg_end)
+        where = np.searchsorted(seg_start, edges, "right") - 1
+        edges = edges[~split[where] | (edges == seg_start[where])]
+        where = np.searchsorted(seg_start, edges, "right") - 1
+        stop = np.minimum(np.append(edges[1:], len(w.buf)), seg_end[where])
+        # pieces with words
+        piece = np.searchsorted(edges, w.starts, "right") - 1
+        at, first, count = np.unique(piece, return_index=True, return_counts=True)
         long = count > LONG_SENTENCE
-        self.first = w.first[:-1][at]
-        # the words' owners and the pieces' bytes in the text; the pieces are joined by one byte each
-        begin = w.doc_start[:-1] - np.arange(len(pieces))
-        self.begin, self.end = begin[at], begin[at] + np.diff(w.doc_start)[at] - 1
-        self.whole = np.ones(len(at), bool)             # a sentence ends with the part
+        begin, end, whole = edges[at], stop[at], np.ones(len(at), bool)
         if long.any():
-            owner = np.repeat(np.arange(len(pieces)), count)
-            i = np.flatnonzero((owner[:-CUT_WINDOW + 1] == owner[CUT_WINDOW - 1:]) & long[owner[:-CUT_WINDOW + 1]])
+            run = np.repeat(np.arange(len(at)), count)
+            i = np.flatnonzero((run[:-CUT_WINDOW + 1] == run[CUT_WINDOW - 1:]) & long[run[:-CUT_WINDOW + 1]])
             keys = np.lib.stride_tricks.sliding_window_view(self.hashes(), CUT_WINDOW)[i]
             more = np.unique(i + CUT_WINDOW - 1 - keys[:, ::-1].argmin(axis=1))
-            more = more[w.first[owner[more]] != more]
-            order = np.argsort(np.concatenate((self.first, more)), kind="stable")
-            same = np.concatenate((at, owner[more]))[order]
-            self.first = np.concatenate((self.first, more))[order]
-            self.begin = np.concatenate((self.begin, w.starts[more] - owner[more]))[order]
-            self.whole = np.append(same[1:] != same[:-1], True)
-            ends = begin[same] + np.diff(w.doc_start)[same] - 1
-            self.end = np.where(self.whole, ends, np.append(self.begin[1:], 0))
+            more = more[first[run[more]] != more]
+            order = np.argsort(np.concatenate((first, more)), kind="stable")
+            same = np.concatenate((np.arange(len(at)), run[more]))[order]
+            first = np.concatenate((first, more))[order]
+            begin = np.concatenate((begin, w.starts[more]))[order]
+            whole = np.append(same[1:] != same[:-1], True)
+            end = np.where(whole, end[same], np.append(begin[1:], 0))
+        self.first, self.whole = first, whole
+        where = np.searchsorted(seg_start, begin, "right") - 1
+        self.begin = begin - seg_start[where] + offset[where]
+        self.end = end - seg_start[where] + offset[where]
+        self.of = np.searchsorted(owner[where], np.arange(len(texts) + 1))
 
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
@@ -99,9 +131,36 @@ class Parts:
         return self._hashes
 
 
+def _pieces_beyond(text: bytes) -> list[bytes] | None:
+    """Pieces of a text that needs the rules for other scripts; None for the rest."""
+    if text.isascii() or not LEADS.search(text):
+        return None
+    marks, wide = BEYOND_ASCII.search(text), HAS_WIDE.search(text)
+    if not marks and not wide:
+        return None
+    pieces = (SENTENCE_BEYOND if marks else SENTENCE).findall(text)
+    return [x for p in pieces for x in (cut(p) if HAS_WIDE.search(p) else (p,))] if wide else pieces
+
+
+def _boundaries(buf: np.ndarray, seg_start: np.ndarray, seg_end: np.ndarray) -> np.ndarray:
+    """Positions at which pieces begin: segment starts, both ends of line ends, and after the white space that follows an end mark
+    with its closing quotes or brackets. Equal to ``SENTENCE`` applied to every segment."""
+    kind = KINDS[buf]
+    kind[seg_end[seg_end < len(kind)]] = LINE_END           # the joining spaces
+    line = kind == LINE_END
+    edge = np.flatnonzero(line[1:] != line[:-1]) + 1
+    mark = np.flatnonzero(kind == MARK)
+    no_close = np.flatnonzero(kind != CLOSE)
+    after = no_close[np.searchsorted(no_close, mark + 1)]
+    after = after[kind[after] == BLANK]
+    no_blank = np.flatnonzero(kind != BLANK)
+    after = no_blank[np.searchsorted(no_blank, after)]
+    return np.unique(np.concatenate((seg_start, edge, after)))
+
+
 def sentences(text: bytes) -> list[bytes]:
     """Pieces whose concatenation is the text; pieces without words are separators."""
-    p = Parts(text)
+    p = Parts([text])
     out, done = [], 0
     for a, b in zip(p.begin.tolist(), p.end.tolist()):
         out += [text[done:a]] * (a > done) + [text[a:b]]
@@ -139,17 +198,16 @@ def word_counts(w: textops.Words) -> np.ndarray:
     return out
 
 
-def span_hashes(text: bytes, span: int, min_words: int, grow: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the spans of a document; a place is the number of the first sentence << 16 | sentences.
+def span_hashes(p: Parts, span: int, min_words: int, grow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of the spans of texts; a place is the number of the text's first sentence << 16 | sentences.
 
     A span grows from ``span`` sentences until it has ``min_words`` words: from every first one onwards and from every end
     of a sentence backwards, so a passage loses neither its head nor its tail. Without ``grow`` only those that need not
-    grow count.
+    grow count. Spans stay inside their text.
     """
-    p = Parts(text)
     n = len(p.first)
-    if n < span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = p.hashes()
     count = np.diff(np.append(p.first, len(words)))
     order = np.arange(len(words), dtype=np.int64) - np.repeat(p.first, count)
@@ -157,11 +215,13 @@ def span_hashes(text: bytes, span: int, min_words: int, grow: bool) -> tuple[np.
     each = textops.mix(each + count.astype(np.uint64))
     total = np.concatenate(([0], np.cumsum(np.add.reduceat(word_counts(p.words), p.first))))
     first, last = np.arange(n), np.arange(n) + 1
+    text = np.repeat(np.arange(len(p.of) - 1), np.diff(p.of))
+    low, high = p.of[text], p.of[text + 1]
     stop = np.maximum(np.searchsorted(total, total[:-1] + min_words), first + span)
     start = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, last - span)
-    back = p.whole & (start >= 0)
-    size = np.concatenate(((stop - first)[stop <= n], (last - start)[back]))
-    place = np.unique(np.concatenate((first[stop <= n], start[back])) << 16 | size)
+    ahead, back = stop <= high, p.whole & (start >= low)
+    size = np.concatenate(((stop - first)[ahead], (last - start)[back]))
+    place = np.unique(np.concatenate((first[ahead], start[back])) << 16 | size)
     if not grow:
         place = place[place & 0xFFFF == span]
     start, size = place >> 16, place & 0xFFFF
@@ -169,49 +229,94 @@ def span_hashes(text: bytes, span: int, min_words: int, grow: bool) -> tuple[np.
     power = np.cumprod(np.full(n, textops._STEP[0], np.uint64))
     inverse = np.cumprod(np.full(n, pow(int(textops._STEP[0]), -1, 1 << 64), np.uint64))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each * power)))
-    return textops.mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * textops._STEP[1]), place
+    hashes = textops.mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * textops._STEP[1])
+    return hashes, text[start], (start - low[start]) << 16 | size
+
 
+SPANS = "hash long, id long, doc long, pos long, n long"
 
-def span_rows(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int, grow: bool) -> DataFrame:
-    """(hash, id, doc, pos) of every span; ``doc`` is the text's hash, ``pos`` the place in it."""
+
+def span_rows(docs: DataFrame, id_col: str, text_col: str, span: int, min_words: int, grow: bool, wanted=None,
+              counts: bool = False) -> DataFrame:
+    """(hash, id, doc, pos) of every span; ``doc`` is the text's hash, ``pos`` the place in it.
+
+    ``wanted`` (a broadcast filter) leaves out most spans whose hash is not in it; with ``counts`` every document has one
+    more row, without a place, with its number ``n`` of sentences.
+    """
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, rows in textops.chunks(batch.column(1)):
-                hashes, ids, docs_, pos = [], [], [], []
-                own_docs = np.asarray(batch.column(2).slice(first, len(rows)))
-                for own, doc, text in zip(batch.column(0).slice(first, len(rows)).to_pylist(), own_docs, rows):
-                    grams, places = span_hashes(text, span, min_words, grow)
-                    if len(grams):
-                        hashes.append(grams)
-                        ids += [own] * len(grams)
-                        docs_.append(np.full(len(grams), doc))
-                        pos.append(places)
-                if hashes:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(ids, pa.int64()),
-                         pa.array(np.concatenate(docs_), pa.int64()), pa.array(np.concatenate(pos), pa.int64())],
-                        names=["hash", "id", "doc", "pos"])
+            for first, texts in textops.chunks(batch.column(1)):
+                ids, own = batch.column(0).slice(first, len(texts)), batch.column(2).slice(first, len(texts))
+                parts = Parts(texts)
+                hashes, text, place = span_hashes(parts, span, min_words, grow)
+                if wanted is not None:
+                    some = np.flatnonzero(likely(wanted.value, hashes))
+                    hashes, text, place = hashes[some], text[some], place[some]
+                rows, none = pa.array(text), pa.nulls(len(text), pa.int64())
+                out = [[pa.array(hashes.view(np.int64)), ids.take(rows), own.take(rows), pa.array(place), none]]
+                if counts:                              # their hashes only spread them
+                    n = len(texts)
+                    spread = textops.mix(np.arange(n, dtype=np.uint64) * textops._STEP[2] + np.asarray(own).view(np.uint64))
+                    out.append([pa.array(spread.view(np.int64)), ids, own, pa.nulls(n, pa.int64()), pa.array(np.diff(parts.of))])
+                for columns in out:
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SPANS.split(", ")])
+    # the hash of a null text is that of none, so it is never null
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("doc"))
-    return rows.mapInArrow(run, "hash long, id long, doc long, pos long")
+    return rows.mapInArrow(run, SPANS)
+
+
+def _bits(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [textops.mix(hashes ^ textops._STEP[10 + j]) % np.uint64(bits) for j in range(3)]
+
+
+def likely(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through: all that are in it and a few others."""
+    out = np.ones(len(hashes), bool)
+    for x in _bits(hashes, len(table) * 64):
+        out &= (table[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
+def hash_filter(hashes: DataFrame, most_bits: int):
+    """Broadcast Bloom filter of a hash column, of at most ``most_bits`` bits; tasks build parts of it that are joined by OR."""
+    bits = min(most_bits, 1 << max(10, (16 * hashes.count()).bit_length()))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            for x in _bits(batch.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(table, (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].view(np.int64))], names=["word", "bits"])
+    found = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(table)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2,
-                   min_words: int = 8, grow: bool = False) -> DataFrame:
-    """(id, doc, spans): places of the non-first occurrences of repeated spans, by document."""
+                   min_words: int = 8, grow: bool = False, counts: bool = False) -> DataFrame:
+    """(id, doc, spans): places of the non-first occurrences of repeated spans, by document.
+
+    With ``counts`` all documents and their number of sentences, ``spans`` empty for those without.
+    """
     rows = span_rows(docs, id_col, text_col, span, min_words, grow)
     place = F.struct("id", "doc", "pos")
     first = pin(rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
                     .filter("not first <=> last").select("hash", "first"))
-    return (few_rows(rows, "hash", first, "hash", exact=False, most_bits=FILTER_BITS).join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
-                .groupBy(F.col("id").alias("_sp_id"), F.col("doc").alias("_sp_doc"))
-                .agg(F.collect_set("pos").alias("_sp_spans")))
+    some = span_rows(docs, id_col, text_col, span, min_words, grow, hash_filter(first.select("hash"), FILTER_BITS), counts)
+    again = some.join(first, "hash", "left") if counts else some.join(first, "hash")
+    later = F.when(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")), F.col("pos"))
+    again = again.select("id", "doc", later.alias("pos"), "n").filter("pos is not null or n is not null")
+    return again.groupBy(F.col("id").alias("_sp_id"), F.col("doc").alias("_sp_doc")) \
+                .agg(F.collect_set("pos").alias("_sp_spans"), F.max("n").alias("_sp_n"))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2,
                     min_words: int = 8, counts: bool = False, grow: bool = False) -> DataFrame:
     """The documents without the sentences of repeated spans; with ``counts`` also ``n_sentences, n_removed``."""
-    gone = repeated_spans(docs, id_col, text_col, span, min_words, grow)
+    gone = repeated_spans(docs, id_col, text_col, span, min_words, grow, counts)
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_sp_id"])
                        & (F.xxhash64(docs[text_col]) == gone["_sp_doc"]), "left")
     columns = docs.columns
@@ -222,24 +327,31 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, total, lost = [], [], []
-            for text, spans in zip(batch.column(at), batch.column(len(columns))):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                parts = Parts(raw)
-                n = 0
-                if spans.is_valid:
-                    drop = np.zeros(len(parts.first), bool)
-                    for p in spans.as_py():
-                        drop[p >> 16:(p >> 16) + (p & 0xFFFF)] = True
-                    n = int(drop.sum())
-                    ends = [0, *parts.end[drop].tolist()]
-                    raw = b"".join(raw[a:b] for a, b in zip(ends, [*parts.begin[drop].tolist(), len(raw)]))
-                texts.append(raw.decode("utf-8", "surrogatepass"))
-                total.append(len(parts.first))
-                lost.append(n)
-            out = [batch.column(i) if i != at else pa.array(texts, batch.schema.field(at).type)
-                   for i in range(len(columns))]
+            spans = batch.column(len(columns))
+            texts = batch.column(at)
+            size = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+            lost = np.zeros(len(size), np.int64)
+            kept: dict[int, str] = {}
+            some = np.flatnonzero(size)
+            for part in np.array_split(some, max(1, -(-len(some) // 64))):
+                raws = [texts[i].as_py().encode("utf-8", "surrogatepass") for i in part.tolist()]
+                parts = Parts(raws) if raws else None
+                for j, (i, raw) in enumerate(zip(part.tolist(), raws)):
+                    lo, hi = parts.of[j], parts.of[j + 1]
+                    place = np.array(spans[i].as_py())
+                    cover = np.zeros(hi - lo + 1, np.int64)
+                    np.add.at(cover, place >> 16, 1)
+                    np.add.at(cover, (place >> 16) + (place & 0xFFFF), -1)
+                    drop = np.cumsum(cover)[:-1] > 0
+                    lost[i] = drop.sum()
+                    ends = [0, *parts.end[lo:hi][drop].tolist()]
+                    left = b"".join(raw[a:b] for a, b in zip(ends, [*parts.begin[lo:hi][drop].tolist(), len(raw)]))
+                    kept[i] = left.decode("utf-8", "surrogatepass")
+            new = pc.fill_null(texts, "")
+            if kept:
+                new = pa.array([kept.get(i, x) for i, x in enumerate(new.to_pylist())], batch.schema.field(at).type)
+            out = [batch.column(i) if i != at else new for i in range(len(columns))]
             if counts:
-                out += [pa.array(total, pa.int64()), pa.array(lost, pa.int64())]
+                out += [batch.column(len(columns) + 1), pa.array(lost, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
-    return joined.select(*[docs[c] for c in columns], "_sp_spans").mapInArrow(run, T.StructType(fields))
+    return joined.select(*[docs[c] for c in columns], "_sp_spans", "_sp_n").mapInArrow(run, T.StructType(fields))
