@@ -5,7 +5,8 @@ ratio (bytes / compressed bytes) of the whole text, and of most of its fixed-siz
 depends on the length: above the band the text repeats itself, below it the text is close to random.
 
 Defined results: a null text counts as empty; a text without words fails the base rules; rows are judged one by one,
-so repeated rows get the same verdict; an empty table gives no rows; extra columns pass through ``filter_documents``
+so repeated rows get the same verdict and there are no ties; very long texts are judged in all their chunks; an empty table
+gives no rows; extra columns pass through ``filter_documents``
 untouched and are ignored by ``metrics``.
 """
 
@@ -81,12 +82,17 @@ def _dup_lines(text: bytes) -> int:
 
 
 def _ratios(text: bytes, bands: Bands, compressor) -> tuple[float, float]:
-    """(ratio of the whole text, share of full-size chunks outside the chunk band)."""
+    """(ratio of the whole text, share of full-size chunks outside the chunk band). Chunks follow each other; if a rest remains, the
+    last chunk is that of the text's last bytes, so texts of at least one chunk are covered to the end."""
     if not text:
         return 0.0, 0.0
     whole = len(text) / len(compressor.compress(text))
     bad = total = 0
-    for at in range(0, len(text) - bands.chunk_bytes + 1, bands.chunk_bytes):
+    size = bands.chunk_bytes
+    starts = list(range(0, len(text) - size + 1, size))
+    if starts and len(text) % size:
+        starts.append(len(text) - size)
+    for at in starts:
         r = bands.chunk_bytes / len(compressor.compress(text[at:at + bands.chunk_bytes]))
         total += 1
         bad += not bands.chunk_low <= r <= bands.chunk_high

@@ -260,3 +260,38 @@ def test_near_copies_lose_what_they_share(spark):
     assert inner in text[0] and not any(inner in text[i] for i in range(3, 30, 3))
     assert all(text[i] == rows[i][1] for i in range(30) if i % 3)
     assert len(near_copies(rng, passage.split(), 1)) == len(passage.split())
+
+
+def brute_kept(text, bands):
+    """Verdict of the bands from the text's bytes alone."""
+    import zstandard
+    raw = (text or "").encode()
+    squeeze = lambda x: len(x) / len(zstandard.ZstdCompressor(level=bands.level, write_content_size=True).compress(x))
+    if brute_quality(text)[-1]:
+        return False
+    row = sum(len(raw) >= edge for edge in bands.upto)
+    size = bands.chunk_bytes
+    chunks = [raw[i:i + size] for i in range(0, len(raw), size) if i + size <= len(raw)]
+    if chunks and len(raw) % size:
+        chunks.append(raw[-size:])
+    bad = sum(not bands.chunk_low <= squeeze(c) <= bands.chunk_high for c in chunks)
+    return bands.low[row] <= squeeze(raw) <= bands.high[row] and (not chunks or bad / len(chunks) <= bands.bad_chunk_share)
+
+
+def test_quality_verdicts_cover_the_end_of_texts(spark):
+    """Whole verdicts equal brute force, also where only the last bytes of a text, less than a chunk, are noise or repeats."""
+    rng = random.Random(8)
+    prose = [sentence_text(rng, n) for n in (5, 20, 60, 150, 150, 150, 300)]
+    noise = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(600))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(prose)]
+    rows += [(20 + i, t.encode()[:2048 * k + 100].decode() + " " + end, "en", "s", 1)
+             for i, (t, k, end) in enumerate([(prose[4], 1, noise), (prose[5], 2, noise), (prose[6], 1, " ".join(f"x{j}" + "ab" * 60 for j in range(15))),
+                                              (prose[3], 3, "plain end")])]
+    bands = quality.Bands()
+    want = {r[0]: brute_kept(r[1], bands) for r in rows}
+    df = docs_frame(spark, rows)
+    assert {r["doc_id"]: r["kept"] for r in quality.metrics(df).collect()} == want
+    assert {r["doc_id"] for r in quality.filter_documents(df).collect()} == {i for i, k in want.items() if k}
+    assert not want[20] and want[23]                        # chunks before the end alone would keep document 20
+    head = quality._ratios(rows[7][1].encode()[:2048], bands, __import__("zstandard").ZstdCompressor(level=3))
+    assert head[1] == 0.0
