@@ -16,7 +16,7 @@ frequent ones; so what is collected and broadcast has a fixed size. Prediction c
 
 Defined results: a null text or a text without letters is ``und`` with score 0 and no cross-entropy; without any
 training document every text is ``und``; equal cross-entropies go to the smaller language name; null labels are not
-learned from; repeated rows are predicted one by one; other columns are never read.
+learned from; repeated rows are predicted one by one; very long texts are read whole; other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import pin
 
 ORDER = 4
 DISCOUNT = 0.75
+# Entries of all models together (16 bytes each) that may be collected and broadcast.
+MAX_ENTRIES = 1 << 27
 UNKNOWN = "und"
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -116,32 +119,6 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, default: f
     return np.where(keys[at] == hashes, values[at], default)
 
 
-def build_model(rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """``rows[n]``: (gram hash, context hash, hash without the first character, count) of the n-grams of order n."""
-    grams, contexts = [], []
-    counts = rows[ORDER][3].astype(np.float64)
-    tables = {ORDER: (rows[ORDER][0], rows[ORDER][1], counts)}
-    for n in range(ORDER - 1, 0, -1):
-        # continuation count: in how many distinct (n+1)-grams does this n-gram follow another character
-        tail, freq = np.unique(rows[n + 1][2], return_counts=True)
-        at = np.searchsorted(tail, rows[n][0])
-        at = np.minimum(at, max(0, len(tail) - 1))
-        cont = np.where(tail[at] == rows[n][0], freq[at], 0).astype(np.float64) if len(tail) else np.zeros(len(rows[n][0]))
-        tables[n] = (rows[n][0], rows[n][1], cont)
-    for n in range(1, ORDER + 1):
-        gram, ctx, c = tables[n]
-        keep = c > 0
-        gram, ctx, c = gram[keep], ctx[keep], c[keep]
-        names, inverse = np.unique(ctx, return_inverse=True)
-        total = np.bincount(inverse, weights=c, minlength=len(names))
-        types = np.bincount(inverse, minlength=len(names))
-        order = np.argsort(gram)
-        own = np.maximum(c - DISCOUNT, 0) / total[inverse] if len(gram) else c
-        grams.append((gram[order], own[order]))
-        contexts.append((names, DISCOUNT * types / total if len(names) else np.zeros(0)))
-    return Model(grams, contexts, max(1, len(grams[0][0])) + 1)
-
-
 def log_probabilities(model: Model, grams: list) -> np.ndarray:
     """log2 probability of the last character of every distinct n-gram of the highest order given."""
     probability = None
@@ -250,27 +227,63 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "n", "gram", "context", "tail").agg(F.sum("count").alias("count"))
 
 
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, n, gram, context, c, own) from all n-gram counts: ``c`` is the count in the highest order and below it the number of
+    distinct longer n-grams that end with this one; ``own`` its discounted share in its context."""
+    key = ["lang", "n", "gram"]
+    continued = counts.filter("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("tail").alias("gram")).agg(F.count("*").alias("c"))
+    lower = counts.filter(F.col("n") < ORDER).select(*key, "context").join(continued, key)
+    c = counts.filter(F.col("n") == ORDER).select(*key, "context", F.col("count").alias("c")).unionByName(lower)
+    totals = c.groupBy("lang", "n", "context").agg(F.sum("c").alias("total"))
+    own = F.greatest(F.col("c") - F.lit(DISCOUNT), F.lit(0.0)) / F.col("total")
+    return c.join(totals, ["lang", "n", "context"]).select(*key, "context", "c", own.alias("own"))
+
+
+def most_frequent(grams: DataFrame, most: int) -> DataFrame:
+    """About the ``most`` most frequent n-grams of each language and order: all above a count and, by a hash of the n-gram, the share
+    of those with that count for which there is room, so nothing is ranked in one task and no whole count falls away."""
+    histogram = grams.groupBy("lang", "n", "c").count().orderBy("lang", "n", F.col("c").desc())
+    least: dict[tuple, tuple] = {}
+    room: dict[tuple, int] = {}
+    for lang, n, c, here in histogram.toLocalIterator():   # one row per different count, streamed
+        left = room.setdefault((lang, n), most)
+        if left < here and (lang, n) not in least:
+            least[lang, n] = c, left / here
+        room[lang, n] = max(0, left - here)
+    if not least:
+        return grams
+    limits = grams.sparkSession.createDataFrame([(*k, *v) for k, v in least.items()], "lang string, n int, least long, share double")
+    chosen = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    kept = F.col("least").isNull() | (F.col("c") > F.col("least")) | (F.col("c") == F.col("least")) & chosen
+    return grams.join(F.broadcast(limits), ["lang", "n"], "left").filter(kept).drop("least", "share")
+
+
 def fit(labelled: DataFrame, max_grams: int = 150_000) -> tuple[list[str], list[Model]]:
-    """Models by language name from (lang, text) rows; at most ``max_grams`` n-grams per language and order."""
-    counts = gram_counts(labelled)
-    # the most frequent ones by a threshold per (language, order), so nothing is ranked in one task
-    names = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    counts = counts.persist()
-    sizes = counts.groupBy("lang", "n").count().collect()
-    floors = {}
-    for lang, n, size in sizes:
-        floors[lang, n] = 0 if size <= max_grams else counts.filter((F.col("lang") == lang) & (F.col("n") == n)) \
-            .approxQuantile("count", [1 - max_grams / size], 0.001)[0]
+    """Models by language name from (lang, text) rows.
+
+    Counts, continuation counts and context totals are those of all n-grams; of those, the model stores about ``max_grams`` per
+    language and order. What a context's stored n-grams leave of its probability is the weight of the order below, so a
+    model is a distribution whatever was left out.
+    """
+    grams = pin(kneser_ney(gram_counts(labelled)))
+    kept = pin(most_frequent(grams, max_grams))
+    weights = kept.groupBy("lang", "n", "context").agg((F.lit(1.0) - F.sum("own")).alias("own"))
+    rows = kept.select("lang", "n", F.lit(0).alias("kind"), "gram", "own").unionByName(
+        weights.select("lang", "n", F.lit(1).alias("kind"), F.col("context").alias("gram"), "own"))
+    names = sorted(r[0] for r in grams.select("lang").distinct().collect())
+    if len(names) * 2 * ORDER * max_grams > MAX_ENTRIES:
+        raise ValueError(f"{len(names)} languages of {max_grams} n-grams an order exceed {MAX_ENTRIES} model entries; lower max_grams")
     models = []
     for lang in names:
-        rows = {}
-        for n in range(1, ORDER + 1):
-            t = (counts.filter((F.col("lang") == lang) & (F.col("n") == n) & (F.col("count") > floors.get((lang, n), 0)))
-                       .select("gram", "context", "tail", "count").toPandas())
-            rows[n] = tuple(t[c].to_numpy(np.int64).view(np.uint64) if c != "count" else t[c].to_numpy(np.int64)
-                            for c in ("gram", "context", "tail", "count"))
-        models.append(build_model(rows))
-    counts.unpersist()
+        t = rows.filter(F.col("lang") == lang).select("n", "kind", "gram", "own").toPandas()
+        tables: list[list] = [[], []]
+        for kind in (0, 1):
+            for n in range(1, ORDER + 1):
+                part = t[(t["n"] == n) & (t["kind"] == kind)]
+                hashes = part["gram"].to_numpy(np.int64).view(np.uint64)
+                order = np.argsort(hashes)
+                tables[kind].append((hashes[order], part["own"].to_numpy(np.float64)[order]))
+        models.append(Model(tables[0], tables[1], max(1, len(tables[0][0][0])) + 1))
     return names, models
 
 
