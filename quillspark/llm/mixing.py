@@ -13,7 +13,9 @@ Targets: shares by weight of the total size; a target stops at ``max_repeat`` ti
 shared again by weight until none is above.
 
 Defined results: a null text has size 0; documents of size 0 take 0; a null source is a source of its own, ordered
-last; rows that repeat a document id are separate documents; an empty table gives no rows. The table of sources (one
+last; rows that repeat a document id, or have none, are separate documents (told apart by their text; rows equal in
+source, id and text are interchangeable); equal ids are ordered by size, then text hash; very long texts fill many blocks;
+an empty table gives no rows. The table of sources (one
 row each) is read on the driver, nothing else is; it is a parameter table and raises beyond ``MAX_SOURCES``.
 """
 
@@ -30,7 +32,8 @@ from . import textops
 from .shared import WORD
 
 MAX_SOURCES = 100_000
-BUCKETS = 1024
+# Rows of a bucket of a source's stream, on average, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 4096, 1024
 
 
 def water_fill(sizes: list[int], weights: list[float], max_repeat: float = 3.0) -> list[float]:
@@ -115,7 +118,7 @@ def permuted(index: np.ndarray, n: int, seed: int, source: int, turn: int) -> np
 
 def source_table(sized: DataFrame, weight_cycle: tuple[float, ...], max_repeat: float, block_words: int) -> list[dict]:
     """One entry per source: number by code point (null last), size, weight, target, slots."""
-    rows = sized.groupBy("_mx_source").agg(F.sum("_mx_size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    rows = sized.groupBy("_mx_source").agg(F.sum("_mx_size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -124,7 +127,7 @@ def source_table(sized: DataFrame, weight_cycle: tuple[float, ...], max_repeat:
     targets = water_fill(sizes, weights, max_repeat)
     slots = slot_totals(sizes, targets, block_words, max_repeat)
     return [{"source": r[0], "number": i, "size": sizes[i], "weight": weights[i], "target": targets[i],
-             "slots": slots[i], "blocks": -(-sizes[i] // block_words)} for i, r in enumerate(rows)]
+             "slots": slots[i], "blocks": -(-sizes[i] // block_words), "rows": r["rows"]} for i, r in enumerate(rows)]
 
 
 # The slots grow out of a small range inside tasks, so the optimiser underrates their size and would broadcast them:
@@ -163,39 +166,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         shard_slots: int = 4096, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots).
 
-    documents: ``_mx_row, id, _mx_source, _mx_size, number, source_size, target`` - one row per input row;
-    pieces: ``_mx_row, _mx_source, number, block, from_word, to_word`` - the words of a document that lie in a block;
+    documents: ``id, _mx_text, _mx_row, _mx_source, _mx_size, number, source_size, target`` - one row per input row, told apart by
+    id, text hash and, where both are equal, a number;
+    pieces: ``id, _mx_text, _mx_row, _mx_source, number, block, from_word, to_word`` - the words of a document that lie in a block;
     slots: ``shard, slot, number, block`` - the mix; join it to the pieces on (number, block).
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select(F.col(id_col).alias("_mx_id"), F.col(source_col).cast("string").alias("_mx_source"),
-                       size.alias("_mx_size"), F.xxhash64(F.col(id_col)).alias("_mx_hash"))
+                       size.alias("_mx_size"), F.xxhash64(text_col).alias("_mx_text"))
     sources = source_table(base, weight_cycle, max_repeat, block_words)
+    buckets = max([LEAST_BUCKETS] + [-(-s["rows"] // BUCKET_ROWS) for s in sources])
     schema = "_mx_name string, number long, source_size long, target double"
     names = spark.createDataFrame([(s["source"], s["number"], s["size"], s["target"]) for s in sources], schema)
     # one row per source, at most MAX_SOURCES (checked above), so the hot source is not dealt to one task
     sized = base.join(F.broadcast(names), base["_mx_source"].eqNullSafe(names["_mx_name"]), "left").drop("_mx_name")
-    # a source's stream is ordered by (bucket, id): bucket sums give every bucket its start, so no window sees more
-    # than one bucket of a source, however large the source is
-    sized = sized.withColumn("_mx_bucket", F.pmod("_mx_hash", F.lit(BUCKETS)))
+    # a source's stream is ordered by (bucket, id, size, text): bucket sums give every bucket its start, so no window sees
+    # more than one bucket of a source; buckets follow id and text, so rows that share an id (or have none) spread
+    sized = sized.withColumn("_mx_bucket", F.pmod(F.xxhash64("_mx_id", "_mx_text"), F.lit(buckets)))
     starts = (sized.groupBy("number", "_mx_bucket").agg(F.sum("_mx_size").alias("_mx_sum"))
                    .withColumn("_mx_start", F.sum("_mx_sum").over(
                        Window.partitionBy("number").orderBy("_mx_bucket").rowsBetween(Window.unboundedPreceding, -1)))
                    .select("number", "_mx_bucket", F.coalesce("_mx_start", F.lit(0)).alias("_mx_start")))
-    w = Window.partitionBy("number", "_mx_bucket").orderBy("_mx_id", "_mx_size")
+    w = Window.partitionBy("number", "_mx_bucket").orderBy("_mx_id", "_mx_size", "_mx_text")
     placed = (sized.join(starts, ["number", "_mx_bucket"])
                    .withColumn("_mx_from", F.col("_mx_start") + F.sum("_mx_size").over(
                        w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_mx_size"))
-                   .withColumn("_mx_row", F.row_number().over(Window.partitionBy("number", "_mx_bucket", "_mx_id")
+                   .withColumn("_mx_row", F.row_number().over(Window.partitionBy("number", "_mx_bucket", "_mx_id", "_mx_text")
                                                               .orderBy("_mx_size"))))
-    documents = placed.select(F.col("_mx_id").alias(id_col), "_mx_row", "_mx_source", "_mx_size", "number",
+    documents = placed.select(F.col("_mx_id").alias(id_col), "_mx_text", "_mx_row", "_mx_source", "_mx_size", "number",
                               "source_size", "target", "_mx_from")
     b = F.lit(block_words)
     pieces = (placed.filter("_mx_size > 0")
                     .withColumn("block", F.explode(F.sequence(
                         F.floor(F.col("_mx_from") / b), F.floor((F.col("_mx_from") + F.col("_mx_size") - 1) / b))))
-                    .select(F.col("_mx_id").alias(id_col), "_mx_row", "_mx_source", "number", "block",
+                    .select(F.col("_mx_id").alias(id_col), "_mx_text", "_mx_row", "_mx_source", "number", "block",
                             F.greatest(F.lit(0), F.col("block") * b - F.col("_mx_from")).alias("from_word"),
                             F.least(F.col("_mx_size"), (F.col("block") + 1) * b - F.col("_mx_from")).alias("to_word")))
     return documents, pieces, slots_table(spark, sources, shard_slots, seed)
@@ -205,12 +210,13 @@ def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame, id_co
     """``documents`` with ``taken``: the words of each document that the mix holds, repeats counted."""
     uses = slots.groupBy("number", "block").agg(F.count("*").alias("_mx_uses"))
     taken = (pieces.join(uses.hint("merge"), ["number", "block"])
-                   .groupBy(F.col("number").alias("_mx_n"), F.col(id_col).alias("_mx_i"), F.col("_mx_row").alias("_mx_r"))
+                   .groupBy(F.col("number").alias("_mx_n"), F.col(id_col).alias("_mx_i"), F.col("_mx_text").alias("_mx_t"),
+                            F.col("_mx_row").alias("_mx_r"))
                    .agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("_mx_uses")).alias("_mx_taken")))
     on = ((documents["number"] == taken["_mx_n"]) & documents[id_col].eqNullSafe(taken["_mx_i"])
-          & (documents["_mx_row"] == taken["_mx_r"]))
+          & (documents["_mx_text"] == taken["_mx_t"]) & (documents["_mx_row"] == taken["_mx_r"]))
     return documents.join(taken, on, "left").withColumn("taken", F.coalesce("_mx_taken", F.lit(0)).cast("long")) \
-        .drop("_mx_n", "_mx_i", "_mx_r", "_mx_taken")
+        .drop("_mx_n", "_mx_i", "_mx_t", "_mx_r", "_mx_taken", "_mx_text")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -220,30 +226,29 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, pieces, slots = mix(docs, id_col, text_col, source_col, **options)
     uses = slots.groupBy("number", "block").agg(F.count("*").alias("_mx_uses"))
     spans = (pieces.join(uses.hint("merge"), ["number", "block"])
-                   .groupBy(F.col(id_col).alias("_mx_i"), "_mx_source")
-                   .agg(F.array_sort(F.collect_list(F.struct("_mx_row", "from_word", "to_word", "_mx_uses"))).alias("_mx_spans")))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
-    numbered = docs.withColumn("_mx_row", F.row_number().over(Window.partitionBy(source_col, id_col).orderBy(size)))
-    joined = numbered.join(spans, numbered[id_col].eqNullSafe(spans["_mx_i"])
-                           & numbered[source_col].cast("string").eqNullSafe(spans["_mx_source"]))
+                   .groupBy(F.col(id_col).alias("_mx_i"), F.col("_mx_text").alias("_mx_t"), "_mx_source", F.col("_mx_row").alias("_mx_r"))
+                   .agg(F.array_sort(F.collect_list(F.struct("from_word", "to_word", "_mx_uses"))).alias("_mx_spans")))
+    # rows equal in source, id and text are interchangeable, so they may be numbered anew
+    same = Window.partitionBy("_mx_s", id_col, "_mx_text").orderBy("_mx_s")
+    numbered = docs.withColumns({"_mx_text": F.xxhash64(text_col), "_mx_s": F.col(source_col).cast("string")}) \
+                   .withColumn("_mx_row", F.row_number().over(same))
+    joined = numbered.join(spans, numbered[id_col].eqNullSafe(spans["_mx_i"]) & (numbered["_mx_text"] == spans["_mx_t"])
+                           & numbered["_mx_s"].eqNullSafe(spans["_mx_source"]) & (numbered["_mx_row"] == spans["_mx_r"]))
     columns = docs.columns
     at = columns.index(text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, texts = [], []
-            for i, (row, spans_, text) in enumerate(zip(batch.column(len(columns)), batch.column(len(columns) + 1),
-                                                        batch.column(at))):
-                row = row.as_py()
-                own = [s for s in spans_.as_py() if s["_mx_row"] == row]
-                for copy, part in enumerate(_copies((text.as_py() or "").encode(), own)):
+            for i, (spans_, text) in enumerate(zip(batch.column(len(columns)), batch.column(at))):
+                for part in _copies((text.as_py() or "").encode(), spans_.as_py()):
                     take.append(i)
                     texts.append(part)
             take = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).take(take) if i != at else pa.array(texts, batch.schema.field(at).type)
                  for i in range(len(columns))], names=columns)
-    return joined.select(*[numbered[c] for c in columns], "_mx_row", "_mx_spans").mapInArrow(run, docs.schema)
+    return joined.select(*[numbered[c] for c in columns], "_mx_spans").mapInArrow(run, docs.schema)
 
 
 def _copies(text: bytes, spans: list[dict]) -> Iterator[str]:
