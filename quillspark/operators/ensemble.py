@@ -196,6 +196,87 @@ def route_catalog(catalog: DataFrame, ensemble_id: str, sources: dict[str, DataF
         .withColumn("destination", F.lit(_single(entry, "destination", ensemble_id)))
 
 
+def blend_catalog(catalog: DataFrame, sources: dict[str, DataFrame], keys: list[str], fold_col: str = "fold",
+                  n_folds: int = 5) -> DataFrame:
+    """All ensembles of a catalogue: ``(ensemble_id, destination, keys..., targets...)``.
+
+    Every population is shuffled once, by the keys, whatever the number of ensembles: a prediction meets its model's weights
+    in all ensembles in one broadcast row, each (key, target) group sums them side by side, and the sums are dealt out to
+    ensembles and targets where they are. A single ensemble is a filter on the result. ``fold_col`` is one of the keys.
+    The same rules hold as for one ensemble: each weighted model exactly once, else NULL; kinds; fold sources.
+    """
+    rows = [r.asDict() for r in collect_small(catalog)]
+    spark = catalog.sparkSession
+    entries: dict[str, dict] = {}
+    for r in rows:
+        facts = {c: r[c] for c in ("kind", "source", "destination", "fold_source")}
+        e = entries.setdefault(r["ensemble_id"], facts | {"weights": {t: {} for t in TARGETS}})
+        wrong = [c for c, v in facts.items() if e[c] != v]
+        if wrong:
+            raise ValueError(f"ensemble {r['ensemble_id']!r} mixes {wrong[0]} {sorted([str(e[wrong[0]]), str(facts[wrong[0]])])}")
+        if r["model_id"] in e["weights"][r["target"]]:
+            raise ValueError(f"ensemble {r['ensemble_id']!r} weighs {r['model_id']!r} twice for {r['target']!r}")
+        e["weights"][r["target"]][r["model_id"]] = float(r["w"])
+    out = None
+    for source in sorted({e["source"] for e in entries.values()}):
+        if source not in sources:
+            raise KeyError(f"catalogue reads unknown population {source!r}")
+        part = _blend_source(spark, {i: e for i, e in sorted(entries.items()) if e["source"] == source}, sources[source], keys, fold_col, n_folds)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("the catalogue is empty")
+    return out
+
+
+def _blend_source(spark, entries: dict[str, dict], predictions: DataFrame, keys: list[str], fold_col: str, n_folds: int) -> DataFrame:
+    """Blends of the ensembles that read one population."""
+    for i, e in entries.items():
+        if e["kind"] not in KINDS:
+            raise ValueError(f"unknown ensemble kind {e['kind']!r}")
+        if e["fold_source"] not in FOLD_SOURCES:
+            raise ValueError(f"unknown fold source {e['fold_source']!r}; expected one of {FOLD_SOURCES}")
+        missing = [t for t in TARGETS if not e["weights"][t]]
+        if missing:
+            raise ValueError(f"weights give no model for targets {missing}")
+    ids = list(entries)
+    table: dict[tuple, list] = {}
+    for n, i in enumerate(ids):
+        for t in TARGETS:
+            for no, (m, w) in enumerate(sorted(entries[i]["weights"][t].items())):
+                table.setdefault((m, t), [None] * (2 * len(ids)))[2 * n:2 * n + 2] = [w, no]
+    columns = ", ".join(f"_w{n} double, _no{n} long" for n in range(len(ids)))
+    weights = spark.createDataFrame([(m, t, *v) for (m, t), v in table.items()], f"model_id string, target string, {columns}")
+    # one exchange: the rows of a key meet once, all that follows is grouped by the key or finer
+    met = predictions.join(F.broadcast(weights), ["model_id", "target"]).repartition(*keys)
+    sums, checks = [], []
+    for n, i in enumerate(ids):
+        number = F.when(F.col("pred").isNotNull(), F.col(f"_no{n}"))
+        sums.append(F.sum(F.col(f"_w{n}") * F.col("pred")).alias(f"_s{n}"))
+        each = F.lit(False)
+        for t in TARGETS:
+            each = F.when(F.col("target") == t, each_once(number, len(entries[i]["weights"][t]))).otherwise(each)
+        checks += [each.alias(f"_ok{n}"), F.count(f"_no{n}").alias(f"_c{n}")]
+    per = met.groupBy(*keys, "target").agg(*sums, *checks)
+    options = []
+    for n, i in enumerate(ids):
+        e = entries[i]
+        total = F.lit(None).cast("double")
+        for t in TARGETS:
+            total = F.when(F.col("target") == t, F.lit(sum(e["weights"][t].values()))).otherwise(total)
+        value = F.col(f"_s{n}") / total if e["kind"] == "normalised" else F.col(f"_s{n}")
+        value = F.when(F.col(f"_ok{n}"), clip_score(value) if e["kind"] == "columnwise" else value)
+        own = e["fold_source"] == "own"
+        folds = F.array(F.col(fold_col).cast("int")) if own else F.sequence(F.lit(0), F.lit(n_folds - 1))
+        options.append(F.struct(F.lit(i).alias("id"), F.lit(e["destination"]).alias("to"), value.alias("v"),
+                                F.when((F.col(f"_c{n}") > 0) & (F.lit(own) | (F.col(fold_col) == 0)), folds).alias("folds")))
+    blended = per.select(*keys, "target", F.explode(F.array(*options)).alias("e")).filter(F.col("e.folds").isNotNull())
+    wide = blended.groupBy(*keys, F.col("e.id").alias("ensemble_id"), F.col("e.to").alias("destination"), F.col("e.folds").alias("_folds")).agg(
+        *[F.max(F.when(F.col("target") == t, F.col("e.v"))).alias(t) for t in TARGETS])
+    others = [k for k in keys if k != fold_col]
+    return wide.select("ensemble_id", "destination", F.explode("_folds").alias(fold_col), *others, *TARGETS) \
+               .select("ensemble_id", "destination", *keys, *TARGETS)
+
+
 def fold_source(predictions: DataFrame, source: str, fold_col: str = "fold", n_folds: int = 5) -> DataFrame:
     """Which fold model's predictions stand in each output fold: its ``own``, or fold ``zero``'s in all of them."""
     if source not in FOLD_SOURCES:

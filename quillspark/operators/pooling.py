@@ -1,17 +1,51 @@
 """Vector pooling over a token/embedding table.
 
-Input ``tokens(doc_id, layer, pos, mask, vec ARRAY<FLOAT>)``. Vectors are exploded to ``(doc, …, dim, v)``
-cells and reduced with ``groupBy(doc, dim)``: partial aggregation runs map-side, so a document with very many
-tokens is spread over all tasks instead of being collected into one. Results are long ``(doc_id, dim, value)``;
-``to_vectors`` reassembles arrays (bounded by the vector width per document).
+Input ``tokens(doc_id, layer, pos, mask, vec ARRAY<FLOAT>)``. Masked mean, max, min and GeM are vector aggregates: the vectors of a
+document are added (or compared) component by component in a buffer of one vector, map-side first, so a task sends one row
+per document whatever its number of tokens, and a document with very many tokens is spread over all tasks. Null
+components count as masked ones, null vectors not at all; a document's vectors must have one length. Results are
+long ``(doc_id, dim, value)``; ``to_vectors`` reassembles arrays (bounded by the vector width per document).
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def vector_aggregate(tokens: DataFrame, keys: list[str], parts: dict[str, tuple[str, Column, float]]) -> DataFrame:
+    """``keys`` and one array per part: ``name: (sum | max | min, array expression, value of null components)``.
+
+    Partial results are one row per key and task.
+    """
+    aggs = []
+    for name, (kind, values, null) in parts.items():
+        known = F.lit(null)
+        filled = F.transform(values, lambda v: F.coalesce(v.cast("double"), known))  # noqa: B023 (called at once)
+        stat = {"sum": Summarizer.sum, "max": Summarizer.max, "min": Summarizer.min}[kind]
+        aggs.append(stat(array_to_vector(filled)).alias(name))
+    got = tokens.filter(F.col("vec").isNotNull()).groupBy(*keys).agg(F.sum(F.col("mask").cast("double")).alias("_m"), *aggs)
+    return got.select(*keys, "_m", *[vector_to_array(n).alias(n) for n in parts])
+
+
+def long(pooled: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """One row per component of an array column."""
+    return pooled.select(*keys, F.posexplode(value).alias("dim", "value"))
+
+
+def _masked(fill: float | None = None) -> Column:
+    """The vector of a kept token; zeros, or ``fill``, for a masked one."""
+    if fill is None:
+        return F.transform("vec", lambda v: v.cast("double") * F.col("mask").cast("double"))
+    return F.transform("vec", lambda v: F.when(F.col("mask") == 1, v.cast("double")).otherwise(F.lit(fill)))
+
+
+def _over_mask(eps: float, name: str = "s") -> Column:
+    return F.transform(name, lambda v: v / F.greatest(F.col("_m"), F.lit(eps)))
+
+
 def cells(tokens: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep if keep is not None else [c for c in ("doc_id", "layer", "pos", "mask") if c in tokens.columns]
     return tokens.select(*keep, F.posexplode("vec").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
@@ -25,43 +59,37 @@ def _last_layer(tokens: DataFrame, layer: int | None) -> DataFrame:
 
 def pool_mean(tokens: DataFrame, layer: int | None = None, eps: float = 1e-9) -> DataFrame:
     """Σ v·m / max(Σ m, eps) per document and dimension."""
-    c = cells(_last_layer(tokens, layer))
-    m = F.col("mask").cast("double")
-    return c.groupBy("doc_id", "dim").agg((F.sum(F.col("v") * m) / F.greatest(F.sum(m), F.lit(eps))).alias("value"))
+    got = vector_aggregate(_last_layer(tokens, layer), ["doc_id"], {"s": ("sum", _masked(), 0.0)})
+    return long(got, ["doc_id"], _over_mask(eps))
 
 
 def pool_max(tokens: DataFrame, layer: int | None = None, fill: float = -1e4) -> DataFrame:
     """Masked max; masked cells count as ``fill``."""
-    c = cells(_last_layer(tokens, layer))
-    return c.groupBy("doc_id", "dim").agg(
-        F.max(F.when(F.col("mask") == 1, F.col("v")).otherwise(F.lit(fill))).alias("value"))
+    got = vector_aggregate(_last_layer(tokens, layer), ["doc_id"], {"s": ("max", _masked(fill), fill)})
+    return long(got, ["doc_id"], F.col("s"))
 
 
 def pool_min(tokens: DataFrame, layer: int | None = None, fill: float = 1e4) -> DataFrame:
     """Masked min; masked cells count as ``fill`` (1e-4 reproduces the reference's fill)."""
-    c = cells(_last_layer(tokens, layer))
-    return c.groupBy("doc_id", "dim").agg(
-        F.min(F.when(F.col("mask") == 1, F.col("v")).otherwise(F.lit(fill))).alias("value"))
+    got = vector_aggregate(_last_layer(tokens, layer), ["doc_id"], {"s": ("min", _masked(fill), fill)})
+    return long(got, ["doc_id"], F.col("s"))
 
 
 def width(tokens: DataFrame) -> Column:
     return tokens.select(F.max(F.size("vec"))).scalar()
 
 
-def pool_meanmax(tokens: DataFrame, layer: int | None = None) -> DataFrame:
-    """Mean then max, concatenated (max dims shifted by the vector width)."""
-    d = width(tokens)
-    mean = pool_mean(tokens, layer)
-    mx = pool_max(tokens, layer).withColumn("dim", F.col("dim") + d)
-    return mean.unionByName(mx)
+def pool_meanmax(tokens: DataFrame, layer: int | None = None, eps: float = 1e-9, fill: float = -1e4) -> DataFrame:
+    """Mean then max, concatenated, in one aggregate."""
+    got = vector_aggregate(_last_layer(tokens, layer), ["doc_id"], {"s": ("sum", _masked(), 0.0), "x": ("max", _masked(fill), fill)})
+    return long(got, ["doc_id"], F.concat(_over_mask(eps), F.col("x")))
 
 
 def pool_gem(tokens: DataFrame, layer: int | None = None, p: float = 3.0, eps: float = 1e-6) -> DataFrame:
     """P5: (Σ (max(v, eps)·m)^p / max(Σ m, eps))^(1/p)."""
-    c = cells(_last_layer(tokens, layer))
-    m = F.col("mask").cast("double")
-    num = F.sum(F.pow(F.greatest(F.col("v"), F.lit(eps)) * m, F.lit(p)))
-    return c.groupBy("doc_id", "dim").agg(F.pow(num / F.greatest(F.sum(m), F.lit(eps)), F.lit(1.0 / p)).alias("value"))
+    powers = F.transform("vec", lambda v: F.pow(F.greatest(v.cast("double"), F.lit(eps)) * F.col("mask").cast("double"), F.lit(p)))
+    got = vector_aggregate(_last_layer(tokens, layer), ["doc_id"], {"s": ("sum", powers, 0.0)})
+    return long(got, ["doc_id"], F.transform(_over_mask(eps), lambda v: F.pow(v, F.lit(1.0 / p))))
 
 
 def pool_weighted_layers(tokens: DataFrame, layer_weights: dict[int, float], layer_start: int) -> DataFrame:
@@ -85,9 +113,8 @@ def pool_concat_mean(tokens: DataFrame, n_layers: int = 4, eps: float = 1e-9) ->
     """Masked means of the last n layers, concatenated from the last layer back."""
     top = tokens.select(F.max("layer")).scalar()
     d = width(tokens)
-    c = cells(tokens.filter(F.col("layer") > top - n_layers))
-    m = F.col("mask").cast("double")
-    per = c.groupBy("doc_id", "layer", "dim").agg((F.sum(F.col("v") * m) / F.greatest(F.sum(m), F.lit(eps))).alias("value"))
+    got = vector_aggregate(tokens.filter(F.col("layer") > top - n_layers), ["doc_id", "layer"], {"s": ("sum", _masked(), 0.0)})
+    per = long(got, ["doc_id", "layer"], _over_mask(eps))
     return per.select("doc_id", ((top - F.col("layer")) * d + F.col("dim")).alias("dim"), "value")
 
 

@@ -147,6 +147,43 @@ def ensemble_catalog(spark, sf_dir):
     return rounded(out.drop("destination"))
 
 
+# ten named ensembles: kind, population and fold source differ, weights are rotated
+TEN = [(f"ens{i:02d}", ("modelwise", "columnwise", "normalised")[i % 3], ("prev", "curr")[i % 2], ("own", "zero")[i % 4 == 1]) for i in range(10)]
+
+
+def _ten_weight(i: int, m: str, t: str) -> float:
+    by_target = TARGETS.index(t) if TEN[i][1] == "columnwise" else 0
+    return fx.MODEL_WEIGHTS[(MODELS.index(m) + by_target + i) % len(MODELS)] * (1 + i / 4)
+
+
+def _ten_sql() -> str:
+    ctes = [fold_model_cte(f"{p}_{i}", m, src) for p, src in (("prev", "prevpop"), ("curr", "curr")) for i, m in enumerate(MODELS)]
+    blocks = []
+    for i, (name, kind, source, folds) in enumerate(TEN):
+        norm = sum(_ten_weight(i, m, TARGETS[0]) for m in MODELS) if kind == "normalised" else None
+        cols, _ = blend_sql(lambda m, t, i=i: _ten_weight(i, m, t), "fold, text_id", clip=kind == "columnwise", norm=norm)
+        joins = " ".join(f"LEFT JOIN {source}_{k} m{k} USING (fold, text_id)" for k in range(1, len(MODELS)))
+        body = f"SELECT m0.fold, m0.text_id, {cols} FROM {source}_0 m0 {joins}"
+        if folds == "zero":
+            body = f"SELECT cast(r.f AS int) AS fold, b.* EXCLUDE (fold) FROM ({body}) b, range(5) r(f) WHERE b.fold = 0"
+        blocks.append(f"SELECT '{name}' AS ensemble_id, 'pseudo_{name}' AS destination, x.* FROM ({body}) x")
+    return f"WITH {essays_cte()},\n{current_cte()},\n{_PREV_SRC},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(blocks)
+
+
+@register("catalog_all", sql=_ten_sql())
+def catalog_all(spark, sf_dir):
+    """Ten named ensembles over two populations; each population is shuffled once for all its ensembles."""
+    t = Tables(spark, sf_dir)
+    rows = [(name, kind, source, f"pseudo_{name}", folds, m, tt, _ten_weight(i, m, tt))
+            for i, (name, kind, source, folds) in enumerate(TEN) for m in MODELS for tt in TARGETS]
+    catalog = spark.createDataFrame(rows, "ensemble_id string, kind string, source string, destination string, fold_source string, "
+                                          "model_id string, target string, w double")
+    cur = fx.current_population(t)
+    prev = J.drop_known_ids(fx.essays(t), fx.known_ids(t))
+    sources = {"prev": fx.pseudo_long(prev.select("doc_id", "text_id", *TARGETS)), "curr": fx.pseudo_long(cur.select("doc_id", "text_id", *TARGETS))}
+    return rounded(G.blend_catalog(catalog, sources, ["fold", "text_id"]))
+
+
 _SCORES = f"""WITH {essays_cte()},\n{long_oof_cte()},
 sc AS (SELECT model_id, target, sqrt(avg((pred - y) * (pred - y))) AS rmse FROM oof GROUP BY model_id, target),
 iw AS (SELECT model_id, target, (1e0 / rmse) / sum(1e0 / rmse) OVER (PARTITION BY target) AS w FROM sc)
