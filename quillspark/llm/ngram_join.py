@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import few_rows, pin
+from .shared import WORD, few_rows, pin
 
 U64 = np.uint64
 SLACK = 1.15            # blocks per band: at least this many times d + 1
@@ -104,10 +104,15 @@ def _sets(batches, k: int) -> Iterator[tuple[list, list[np.ndarray]]]:
 
 
 def set_infos(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, f1, f2, skip_own, skip_low): set size, fingerprints and how many frequent blocks may be left out in the
-    own band and in lower ones (-1: no such band)."""
+    """(id, text_hash, n, f1, f2, bands) of (id, text, text_hash) rows: set size, fingerprints and how many frequent blocks may
+    be left out in each band."""
+    def rows_of(batches):
+        for batch in batches:
+            for first, rows in textops.chunks(batch.column(1)):
+                yield batch.slice(first, len(rows)), textops.shingle_sets(textops.Words(rows), k)
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, k):
+        for batch, sets in rows_of(batches):
             n, f1, f2, skips = [], [], [], []
             for s in sets:
                 a, b = fingerprint(s)
@@ -119,10 +124,10 @@ def set_infos(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         own.append({"band": log_blocks, "skip": max(0, (1 << log_blocks) - 1 - d - empty)})
                 skips.append(own)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                  pa.array(skips, pa.list_(pa.struct([("band", pa.int32()), ("skip", pa.int32())])))],
-                names=["id", "n", "f1", "f2", "bands"])
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<struct<band:int,skip:int>>")
+                names=["id", "text_hash", "n", "f1", "f2", "bands"])
+    return docs.mapInArrow(run, "id long, text_hash long, n long, f1 long, f2 long, bands array<struct<band:int,skip:int>>")
 
 
 def set_blocks(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -332,19 +337,20 @@ def link_classes(docs: DataFrame, infos: DataFrame, k: int, num: int, den: int)
     return labels
 
 
+def classes(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, num: int, den: int) -> DataFrame:
+    """(id, text_hash, n, label) per row: set size and class of linked sets; rows with equal sets share a label."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    infos = pin(set_infos(rows, shingle_words, num, den))
+    labels = link_classes(rows, infos, shingle_words, num, den)
+    own = infos.withColumn("label", F.lit(None).cast("long")) if labels is None else \
+        infos.join(labels.withColumnRenamed("node", "f1"), "f1", "left")
+    return own.select("id", "text_hash", "n", F.coalesce("label", "f1").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
                     num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id): classes of documents whose sets are linked at ``num/den`` or more."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    infos = set_infos(rows, shingle_words, num, den)
-    infos = pin(infos)
-    labels = link_classes(rows, infos, shingle_words, num, den)
-    own = infos
-    if labels is not None:
-        own = infos.join(labels.withColumnRenamed("node", "f1"), "f1", "left")
-    else:
-        own = infos.withColumn("label", F.lit(None).cast("long"))
-    own = own.withColumn("label", F.coalesce("label", "f1"))
+    own = classes(docs, id_col, text_col, shingle_words, num, den)
     # written out, so that the join starts from plain shuffles and a large component can be split over tasks
     names = pin(own.filter("n > 0").groupBy(F.col("label").alias("name")).agg(F.min("id").alias("component")))
     return (own.join(names, (F.col("n") > 0) & (F.col("label") == F.col("name")), "left")
@@ -352,8 +358,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        F.coalesce("component", "id").alias("component_id")))
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id; rows without words all stay."""
-    comp = near_duplicates(docs, id_col, text_col, **options)
-    keep = comp.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_nj_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_nj_id")), "left_semi")
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
+                         num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each group of near duplicates: the smallest id (null last), of its rows the smallest text hash, of rows equal
+    in both the one with the smallest hash over all columns (any one, if they are equal in all). Rows without words all
+    stay."""
+    own = classes(docs, id_col, text_col, shingle_words, num, den)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "text_hash"))
+    best = own.filter("n > 0").groupBy("label").agg(first.alias("first")).select(
+        *[F.col(f"first.{c}").alias(f"_nj_{c}") for c in ("none", "id", "text_hash")])
+    key = ["_nj_none", "_nj_id", "_nj_text_hash"]
+    words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    id_ = docs[id_col].cast("long")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    order = F.xxhash64(*plain)
+    some = docs.filter(words).withColumns({"_nj_none": id_.isNull(), "_nj_id": F.coalesce(id_, F.lit(0)), "_nj_text_hash": F.xxhash64(text_col),
+                                           "_nj_order": order})
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("_nj_order"))
+    chosen = some.join(best, key, "left_semi").withColumn("_nj_place", place).filter("_nj_place = 1").select(*docs.columns)
+    return docs.filter(~words).unionByName(chosen)

@@ -136,3 +136,13 @@ def test_word_hashes_follow_the_definition():
     assert w.count().tolist() == [3, 0, 2]
     h = w.hashes(fold=True)
     assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows that repeat an id, share it with other texts, or have none: one row a group, whatever else the id carries."""
+    rng = random.Random(9)
+    t1, t2, t3 = (" ".join(words(rng, 40)) for _ in range(3))
+    rows = [(1, t1), (1, t1), (1, t1), (5, t1), (7, t2), (7, t1), (None, t3), (None, t3), (9, t3 + " end"), (None, t2), (3, ""), (3, None), (None, " ")]
+    out = ngram_join.keep_representatives(docs_frame(spark, [(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], clash=True))
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, t1), (7, t2), (9, t3 + " end"), (3, ""), (3, None), (None, " ")], key=str)
