@@ -146,7 +146,6 @@ _MULTI = [(k, v) for k, v in ASCII_FOLD.items() if len(v) != 1]
 _SINGLE = [(k, v) for k, v in ASCII_FOLD.items() if len(v) == 1]
 _SINGLE_FROM = "".join(k for k, _ in _SINGLE)
 _SINGLE_TO = "".join(v for _, v in _SINGLE)
-_MULTI_CLASS = "[" + "".join(k for k, _ in _MULTI) + "]"
 # Characters the fixed table does not cover: C1 controls and everything above U+00FF except the cp1252 block.
 # Written as ranges ∩ (not the few exceptions): Latin-1 text fails the range test at once (a negated class
 # listing every table key is evaluated char by char against each key and is an order of magnitude slower).
@@ -171,13 +170,19 @@ def _nfkd_ascii_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else _nfkd_ascii(v))
 
 
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, though ``fn`` uses it several times."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def ascii_fold(c: Column | str, exotic_fallback: bool = True) -> Column:
     c = _col(c)
-    multi = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _MULTI, c)
-    # one regex scan decides whether the multi-character renderings (ß → ss, Æ → AE, …) are needed at all,
-    # and pure-ASCII rows skip the per-character translate entirely
-    single = F.translate(F.when(c.rlike(_MULTI_CLASS), multi).otherwise(c), _SINGLE_FROM, _SINGLE_TO)
-    folded = F.when(c.rlike(NON_ASCII), single).otherwise(c)
+    # pure-ASCII rows are left alone; the others are translated character by character, and only rows that are not ASCII
+    # after that go through the multi-character renderings (ß → ss, Æ → AE, …)
+    def rest(t: Column) -> Column:
+        multi = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), _MULTI, t)
+        return F.when(t.rlike(NON_ASCII), multi).otherwise(t)
+    folded = F.when(c.rlike(NON_ASCII), _once(F.translate(c, _SINGLE_FROM, _SINGLE_TO), rest)).otherwise(c)
     if not exotic_fallback:
         return folded
     # Rows holding a character outside the fixed table are folded wholly in Python (table + NFKD); the UDF

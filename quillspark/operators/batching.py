@@ -9,12 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
 from .positions import attach_positions
 
 
 def length_order(df: DataFrame, len_col: str, id_col: str = "text_id", pos_col: str = "pos") -> DataFrame:
-    """Dense position by (length, id) — shortest first, id breaks ties."""
-    return attach_positions(df, [len_col, id_col], pos_col=pos_col)
+    """Dense position by (length, id) — shortest first, id breaks ties. Ids are unique.
+
+    Only id and length go through the ordering; they are written first, because ranging reads its input twice (sample, then
+    rows). Other columns are joined back by id.
+    """
+    placed = attach_positions(pin(df.select(id_col, len_col)), [len_col, id_col], pos_col=pos_col)
+    others = [c for c in df.columns if c not in (id_col, len_col)]
+    return df.join(placed.drop(len_col), id_col).select(*df.columns, pos_col) if others else placed
 
 
 def shuffle_order(df: DataFrame, id_col: str, seed: int, epoch: int, pos_col: str = "pos") -> DataFrame:
@@ -47,8 +54,8 @@ def pad_batch(df: DataFrame, len_col: str, batch_col: str = "batch_id") -> DataF
 def trim_batch(df: DataFrame, ids_col: str, mask_col: str, batch_col: str = "batch_id") -> DataFrame:
     """Cut padded sequences to the longest real row of the batch."""
     real = F.aggregate(F.col(mask_col), F.lit(0), lambda acc, m: acc + m.cast("int"))
-    out = df.withColumn("_real", real)
-    out = out.withColumn("trimmed_len", batch_max("_real", batch_col).cast("int"))
+    # one number a batch is joined back: the sequences are not shuffled to find it
+    longest = df.select(batch_col, real.alias("_real")).groupBy(batch_col).agg(F.max("_real").cast("int").alias("trimmed_len"))
+    out = df.join(longest, batch_col).select(*df.columns, "trimmed_len")
     return (out.withColumn(ids_col, F.slice(F.col(ids_col), 1, F.col("trimmed_len")))
-               .withColumn(mask_col, F.slice(F.col(mask_col), 1, F.col("trimmed_len")))
-               .drop("_real"))
+               .withColumn(mask_col, F.slice(F.col(mask_col), 1, F.col("trimmed_len"))))

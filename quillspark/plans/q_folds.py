@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..functions import tokens as K
 from ..operators import folds as D
 from ..session import pin
 from ..sources.tables import Tables
-from ..targets import TARGETS
+from ..targets import N_FOLDS, TARGETS
 from . import fixtures as fx
 from .registry import register
 from .sqlparts import current_cte, essays_cte
@@ -57,6 +58,47 @@ def qcut_bins(spark, sf_dir):
     return c
 
 
+def _marginals(df, labels, most=1):
+    """(label, value, n, within_one): rows of every label value, and whether each fold holds within ``most`` rows of a fifth."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in labels]))
+    per = df.select("fold", cells.alias("c")).groupBy("c.label", "c.value").agg(
+        F.count("*").alias("n"), *[F.count(F.when(F.col("fold") == k, 1)).alias(f"f{k}") for k in range(N_FOLDS)])
+    off = F.greatest(*[F.abs(F.col(f"f{k}") - F.col("n") / N_FOLDS) for k in range(N_FOLDS)])
+    return per.select("label", "value", "n", (off <= most).alias("within_one"))
+
+
+@register("fold_marginals", sql=f"WITH {essays_cte()},\n{current_cte()}\n" + " UNION ALL ".join(
+    f"SELECT '{t}' AS label, {t} AS value, count(*) AS n, TRUE AS within_one FROM curr GROUP BY {t}" for t in TARGETS))
+def fold_marginals(spark, sf_dir):
+    """Every score of every target is spread over the five folds to within one row."""
+    cur = fx.current_population(Tables(spark, sf_dir)).select("text_id", *TARGETS)
+    return _marginals(D.stratified_folds(cur, TARGETS, seed=42), TARGETS)
+
+
+_BALANCED = [*TARGETS, "n_token_bin", "nutoken_bin"]
+
+
+@register("balanced_marginals", sql=f"WITH {_TOK},\nb AS (SELECT curr.*, {_sql_bin('n_token')} AS n_token_bin, "
+          f"{_sql_bin('nunique_token')} AS nutoken_bin FROM curr JOIN c USING (text_id))\n" + " UNION ALL ".join(
+              f"SELECT '{t}' AS label, cast({t} AS double) AS value, count(*) AS n, TRUE AS within_two FROM b GROUP BY {t}" for t in _BALANCED))
+def balanced_marginals(spark, sf_dir):
+    """The same with the bins of the token counts as labels, to within two rows."""
+    c = pin(_counts(spark, sf_dir))
+    c = D.qcut_bins(D.qcut_bins(c, "n_token", _Q, "n_token_bin"), "nunique_token", _Q, "nutoken_bin")
+    out = _marginals(D.stratified_folds(c, _BALANCED, seed=42), _BALANCED, 2)
+    return out.withColumnRenamed("within_one", "within_two")
+
+
+_VALUE_EDGES = f"(SELECT list_sort(list_distinct(quantile_cont(value, {_PROBS}))) FROM events)"
+
+
+@register("qcut_doubles", sql=f"WITH e AS MATERIALIZED (SELECT {_VALUE_EDGES} AS edges)\n"
+          "SELECT event_id, value, cast(len(list_filter(edges[2:len(edges) - 1], lambda x: x < value)) AS int) AS value_bin FROM events, e")
+def qcut_doubles(spark, sf_dir):
+    """D3 on a column of mostly different doubles."""
+    return D.qcut_bins(Tables(spark, sf_dir).events.select("event_id", "value"), "value", _Q)
+
+
 @register("fold_split", sql=f"WITH {essays_cte()}\nSELECT text_id, fold, "
           "CASE WHEN fold IS NOT DISTINCT FROM 2 THEN 'valid' ELSE 'train' END AS split FROM essays")
 def fold_split(spark, sf_dir):

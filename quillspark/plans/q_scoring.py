@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble as G
 from ..operators import joins as J
+from ..operators import models as MO
+from ..operators import rounds as R
 from ..operators import scoring as SC
 from ..session import scratch_path
 from ..sources import store as S
@@ -122,3 +124,24 @@ def self_training_round(spark, sf_dir):
             for k in range(N_FOLDS)]
     out = J.union_widen(*sets)
     return rounded(out.select("fold_model", "provenance", "text_id", *TARGETS))
+
+
+@register("stored_models")
+def stored_models(spark, sf_dir):
+    """K1 + K3 (rows-only): a term model and a trigram model, fitted on the labelled essays, stored, and applied to all essays;
+    fold means."""
+    t = Tables(spark, sf_dir)
+    cur = fx.current_population(t).select("text_id", "full_text", "fold", *TARGETS)
+    registry = {kind: MO.save_model(spark, MO.fit_model(cur, kind, 512), kind) for kind in sorted(MO.FEATURES)}
+    return rounded(MO.score_stored(fx.essays(t).select("text_id", "full_text"), registry))
+
+
+@register("self_training_rounds")
+def self_training_rounds(spark, sf_dir):
+    """K5 (rows-only): rounds of self-training until the cross-validated score stops falling; score of every round."""
+    t = Tables(spark, sf_dir)
+    cur = fx.current_population(t).select("text_id", "full_text", "fold", *TARGETS)
+    best, rounds, _ = R.self_training(spark, cur, fx.essays(t).select("text_id", "full_text"), scratch_path(spark, "rounds"), most_rounds=4,
+                                      num_features=256)
+    rows = [(r.number, r.mcrmse, r.number == best.number) for r in rounds]
+    return rounded(spark.createDataFrame(rows, "round int, mcrmse double, best boolean"))

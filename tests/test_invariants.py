@@ -138,15 +138,11 @@ def test_strat_folds_invariants(spark):
     n = e.count()
     assert len(rows) == n and len({r["text_id"] for r in rows}) == n
     sizes = np.bincount([r["fold"] for r in rows], minlength=5)
-    assert sizes.max() - sizes.min() <= max(0.01 * n, 54)
+    assert sizes.max() - sizes.min() <= 2
     joined = e.join(f1, "text_id").toPandas()
-    worst = 0.0
     for tcol in TARGETS:
-        for v, grp in joined.groupby(tcol):
-            if len(grp) >= 40:
-                share = np.bincount(grp["fold"], minlength=5) / len(grp)
-                worst = max(worst, float(np.abs(share - 0.2).max()))
-    assert worst <= 0.05
+        for _, grp in joined.groupby(tcol):
+            assert np.abs(np.bincount(grp["fold"], minlength=5) - len(grp) / 5).max() <= 1
     # same result after repartitioning the input
     f2 = D.stratified_folds(e.repartition(3), TARGETS, seed=7).select("text_id", "fold")
     assert sorted(map(tuple, rows)) == sorted(map(tuple, f2.collect()))
@@ -543,17 +539,10 @@ def test_alignment_audit_sees_extras_duplicates_and_gaps(spark):
     assert got == {"m": (3, 2, 2, 1, 1), "n": (3, 3, 0, 0, 0)}
 
 
-def test_folds_do_not_depend_on_the_other_rows_bucket(spark):
-    df = spark.createDataFrame([(f"t{i}", float(i % 9), i) for i in range(500)], "text_id string, a double, n int")
-    bucket = lambda d: {r["text_id"]: r["b"] for r in d.select("text_id", D._bucket("text_id", 42, D.N_BUCKETS).alias("b")).collect()}
-    full, part = bucket(df), bucket(df.filter("n != 7"))
-    assert all(full[k] == v for k, v in part.items())
-
-
 def test_folds_of_continuous_labels(spark):
     df = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("text_id"), (F.rand(3) * 4 + 1).alias("y"))
     out = D.stratified_folds(df, ["y"]).toPandas()
-    assert len(out) == 3000 and out.groupby("fold").size().between(560, 640).all()
+    assert len(out) == 3000 and out.groupby("fold").size().between(598, 602).all()
     assert out.groupby("fold")["y"].mean().between(2.9, 3.1).all()
 
 

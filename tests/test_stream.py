@@ -60,3 +60,32 @@ def test_rows_behind_a_given_watermark_are_counted(spark):
                                          max_files_per_trigger=1)
     assert dropped == 1
     assert _read(spark, sink) == _rollup(spark, first + second + third[:1])
+
+
+def test_drops_are_counted_over_more_triggers_than_spark_remembers(spark):
+    """One file a trigger, 120 triggers, a late row in an early one: the count holds beyond the last hundred."""
+    d = datetime(2024, 3, 1)
+    batches = [[(i, d + timedelta(hours=3 * i), 1, "x", float(i), "{}")] for i in range(120)]
+    batches[5].append((900, d - timedelta(days=30), 1, "x", 1.0, "{}"))
+    batches[110].append((901, d - timedelta(days=30), 1, "x", 1.0, "{}"))
+    local = _files(spark, batches)
+    progress = MS.Progress()
+    sink, dropped = MS.run_metric_stream(spark, local, spark.read.parquet(local).schema, watermark="1 hour", max_files_per_trigger=1,
+                                         state_partitions=1, progress=progress)
+    assert progress.triggers >= 120 and dropped == 2
+    assert _read(spark, sink) == _rollup(spark, [r for b in batches for r in b if r[0] < 900])
+
+
+def test_state_stays_as_small_as_the_disorder(spark):
+    """Files in time order need a watermark of a second: old windows leave the state while the backlog grows."""
+    most = []
+    for days in (8, 24):
+        batches = [[(24 * d + h, datetime(2024, 4, 1) + timedelta(days=d, hours=h), h % 3, "x", 0.5, "{}") for h in range(24)] for d in range(days)]
+        local = _files(spark, batches)
+        schema = spark.read.parquet(local).schema
+        assert int(MS.backlog_watermark(spark, local, schema).split()[0]) <= 24 * 3600
+        progress = MS.Progress()
+        sink, dropped = MS.run_metric_stream(spark, local, schema, max_files_per_trigger=1, state_partitions=1, progress=progress)
+        assert dropped == 0 and _read(spark, sink) == _rollup(spark, [r for b in batches for r in b])
+        most.append(progress.most_state_rows)
+    assert most[1] <= most[0] + 15                          # three times the backlog, the same state
