@@ -59,11 +59,11 @@ def qcut_bins(spark, sf_dir):
 
 
 def _marginals(df, labels, most=1):
-    """(label, value, n, within_one): rows of every label value, and whether each fold holds within ``most`` rows of a fifth."""
+    """(label, value, n, within_one): rows of every label value, and whether each fold holds within ``most`` rows of a fifth in whole rows."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in labels]))
     per = df.select("fold", cells.alias("c")).groupBy("c.label", "c.value").agg(
         F.count("*").alias("n"), *[F.count(F.when(F.col("fold") == k, 1)).alias(f"f{k}") for k in range(N_FOLDS)])
-    off = F.greatest(*[F.abs(F.col(f"f{k}") - F.col("n") / N_FOLDS) for k in range(N_FOLDS)])
+    off = F.greatest(*[F.abs(F.col(f"f{k}") - F.round(F.col("n") / N_FOLDS)) for k in range(N_FOLDS)])
     return per.select("label", "value", "n", (off <= most).alias("within_one"))
 
 

@@ -20,6 +20,6 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
-    for t in ["events", "documents", "embeddings", "labels", "conversations"]:
+    for t in ["events", "documents", "embeddings", "labels", "conversations", "benchmark"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
