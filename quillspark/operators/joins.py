@@ -14,11 +14,12 @@ from ..targets import TARGETS, clip_score
 
 def merged_predictions(truth: DataFrame, predictions: DataFrame, models: list[str], id_col: str = "text_id",
                        targets: list[str] | None = None) -> DataFrame:
-    """The wide ``pred_<target>_<model>`` table, built with one pivot and one left join."""
+    """The wide ``pred_<target>_<model>`` table, built with one pivot and one left join. A cell that a model predicted twice is
+    NULL: neither prediction is preferred."""
     targets = targets or TARGETS
     names = [f"pred_{t}_{m}" for m in models for t in targets]
     keyed = predictions.withColumn("_k", F.concat(F.lit("pred_"), F.col("target"), F.lit("_"), F.col("model_id")))
-    wide = keyed.groupBy(id_col).pivot("_k", names).agg(F.first("pred"))
+    wide = keyed.groupBy(id_col).pivot("_k", names).agg(F.when(F.count("pred") == 1, F.max("pred")))
     return truth.join(wide, id_col, "left")
 
 

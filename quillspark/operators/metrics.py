@@ -76,15 +76,18 @@ def leaderboard(target_scores: DataFrame, by: str = "model_id", col: str = "rmse
     return wide.withColumn("mcrmse", mean).orderBy(F.col("mcrmse").asc_nulls_last(), by)
 
 
-def cumulative_cv(scored: DataFrame, by: list[str], fold_col: str = "fold") -> DataFrame:
-    """After each fold, the MCRMSE over all folds seen so far. Works on (by, fold, target) partials."""
+def cumulative_cv(scored: DataFrame, by: list[str], fold_col: str = "fold", targets: list[str] | None = None) -> DataFrame:
+    """After each fold, the MCRMSE over all folds seen so far; NULL unless the fold has every target. Works on (by, fold,
+    target) partials."""
+    targets = targets or TARGETS
     d = F.col("pred") - F.col("y")
     partial = (scored.filter(F.col("pred").isNotNull())
                .groupBy(*by, fold_col, "target").agg(F.sum(d * d).alias("_sse"), F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(*by, "target").orderBy(fold_col).rowsBetween(Window.unboundedPreceding, 0)
     running = partial.select(*by, fold_col, "target",
                              F.sqrt(F.sum("_sse").over(w) / F.sum("_n").over(w)).alias("_rmse"))
-    return running.groupBy(*by, fold_col).agg(F.avg("_rmse").alias("cv"))
+    known = running.filter(F.col("target").isin(targets))
+    return known.groupBy(*by, fold_col).agg(F.when(F.count("_rmse") == len(targets), F.avg("_rmse")).alias("cv"))
 
 
 # --- element-wise losses reduced per group --------------------------------------------------------------------
