@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage as Parquet in the shared
 checkpoint folder and rereads it as the next stage's documents. All stages but the last return the columns of
 ``documents``.
+
+Defined results, stage by stage as in the operators' modules: null and empty texts fail the quality rules; rows are told apart by id
+and text, so null and repeated ids are documents of their own until the n-gram join, which keeps one row of each group
+(smallest id, null last, then text hash); very long texts are judged, deduplicated, mixed and packed whole; extra columns
+pass through all stages but the last; an empty table stays empty.
 """
 
 from __future__ import annotations
