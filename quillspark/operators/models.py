@@ -6,7 +6,7 @@ both are fitted by ``ridge`` from moments. Files are Parquet, written by Spark a
 ``SparkContext.addFile``, so any file system Spark knows will do.
 
 Scoring finds the features of a row once in the JVM, whatever the number of models, and sends them to Python in Arrow batches. A task
-goes through its batches in blocks of ``BLOCK_BATCHES``; for every block it takes the models one after the other, so a model is
+goes through its batches in blocks of at most ``BLOCK_BATCHES`` (fewer if they are large); for every block it takes the models one after the other, so a model is
 read once a block and no more than ``cache_bytes`` of models (and always at least one) are in memory, however large the
 registry is. With fold means, the K predictions of a row are averaged on the spot.
 """
@@ -32,13 +32,22 @@ MODEL_SCHEMA = "kind string, n_features int, fold int, rows int, data binary"
 _SHIPPED: dict[str, set[str]] = {}
 CACHE_BYTES = 256 << 20
 BLOCK_BATCHES = 8
+# ... or fewer, once they hold so many bytes; a batch is scored in runs of about SCORED features
+BLOCK_BYTES = 64 << 20
+SCORED = 1 << 21
 
 
 def gram_places(text: Column, n_features: int) -> Column:
     """Feature number of every character trigram of a text, lower-cased, with a space at both ends."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(padded) - 2, F.lit(1)))
-    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(3))), F.lit(n_features)).cast("int"))
+
+    def grams(chars: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0)))
+        gram = lambda i: F.concat_ws("", F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(n_features)).cast("int"))
+    # the characters are an array bound once a text: lower-casing and counting up to a place again for every trigram would
+    # make the time grow with the square of the text's length
+    return F.element_at(F.transform(F.array(F.split(padded, "")), grams), 1)
 
 
 FEATURES = {"terms": ridge.term_places, "grams": gram_places}
@@ -93,9 +102,17 @@ class Models:
 def apply_model(model: np.ndarray, places: pa.Array) -> np.ndarray:
     """Predictions (row, target) of one coefficient matrix."""
     size = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(size)), size)
-    flat = pc.list_flatten(places).to_numpy() + 1
-    return np.stack([model[0, t] + np.bincount(owner, model[flat, t], len(size)) for t in range(model.shape[1])], axis=1)
+    out = np.empty((len(size), model.shape[1]))
+    ends = np.cumsum(size)
+    low = done = 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(ends, done + SCORED, "right")))
+        owner = np.repeat(np.arange(high - low), size[low:high])
+        flat = pc.list_flatten(places.slice(low, high - low)).to_numpy() + 1
+        for t in range(model.shape[1]):
+            out[low:high, t] = model[0, t] + np.bincount(owner, model[flat, t], high - low)
+        low, done = high, int(ends[high - 1])
+    return out
 
 
 def score_stored(rows: DataFrame, registry: dict[str, str], id_col: str = "text_id", text_col: str = "full_text", mean: bool = True,
@@ -151,7 +168,7 @@ def score_stored(rows: DataFrame, registry: dict[str, str], id_col: str = "text_
         block: list[pa.RecordBatch] = []
         for batch in batches:
             block.append(batch)
-            if len(block) == BLOCK_BATCHES:
+            if len(block) == BLOCK_BATCHES or sum(b.nbytes for b in block) >= BLOCK_BYTES:
                 yield from block_scores(models, block)
                 block = []
         yield from block_scores(models, block)

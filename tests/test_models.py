@@ -1,6 +1,9 @@
 """Stored models: two kinds that read the text differently, scored by a registry within a memory bound."""
 
+import time
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +70,31 @@ def test_trigrams(spark):
     assert [len(r["p"]) for r in rows] == [4, 1, 1, 1] and rows[2]["p"] == rows[3]["p"]
 
 
+def test_trigrams_of_a_long_text_take_time_in_proportion(spark):
+    """One text of 200,000 characters; counting up to every place again would take minutes."""
+    text = "aé日𝒳 B\n" * 28_600
+    rows = spark.createDataFrame([(text,)], "t string")
+    begin = time.time()
+    got = rows.select(M.gram_places(F.col("t"), 1 << 20).alias("p")).first()["p"]
+    assert time.time() - begin < 20
+    padded = f" {text.lower()} "
+    distinct = sorted({padded[i:i + 3] for i in range(len(padded) - 2)})
+    place = {r["g"]: r["p"] for r in spark.createDataFrame([(g,) for g in distinct], "g string")
+             .select("g", F.pmod(F.xxhash64("g"), F.lit(1 << 20)).cast("int").alias("p")).collect()}
+    assert got == [place[padded[i:i + 3]] for i in range(len(padded) - 2)]
+
+
+def test_a_batch_is_scored_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, N, n).tolist() for n in (0, 5, 40, 1, 0, 7, 3, 0)]
+    model = rng.normal(size=(N + 1, len(TARGETS)))
+    places = pa.array([[9], *rows], pa.list_(pa.int32())).slice(1)
+    want = [model[0] + sum((model[p + 1] for p in r), np.zeros(len(TARGETS))) for r in rows]
+    for most in (1, 8, 1 << 20):
+        monkeypatch.setattr(M, "SCORED", most)
+        assert np.allclose(M.apply_model(model, places), want, atol=1e-12)
+
+
 def test_unknown_kinds_are_errors(spark, stored):
     with pytest.raises(ValueError):
         M.save_model(spark, stored[1]["terms"], "sums")
