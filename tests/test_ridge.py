@@ -1,8 +1,10 @@
 """Leave-one-fold-out ridge from moments against dense solves on the training rows themselves."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,22 @@ def test_one_pass_over_the_rows(spark):
     spark.sparkContext.setJobGroup("", "")
     with pytest.raises(ValueError, match="no training rows"):
         SC.fold_fit_oof(df.filter("fold = 1"), num_features=N)
+
+
+def test_memory_of_moments_does_not_follow_the_batch():
+    """A batch four times as large needs little more than its own rows; dense counts of all its rows would need 16 kB a row."""
+    rng = np.random.default_rng(5)
+    n, width = 512, 512
+
+    def peak(rows):
+        places = pa.array(rng.integers(0, width, (rows, 3)).astype(np.int32).tolist(), pa.list_(pa.int32()))
+        y = pa.array(rng.normal(size=(rows, len(TARGETS))).tolist(), pa.list_(pa.float64()))
+        batch = pa.RecordBatch.from_arrays([pa.array([f"g{i % 2}" for i in range(rows)]), places, y, pa.array(np.ones(rows))],
+                                           names=["grp", "places", "y", "w"])
+        tracemalloc.start()
+        out = sum(b.num_rows for b in ridge._partial_moments(n, len(TARGETS))(iter([batch])))
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, size
+    small, large = peak(2_000), peak(8_000)
+    assert small[0] == large[0] and large[1] - small[1] < 10 << 20
