@@ -70,3 +70,30 @@ def test_the_gain_ends_the_run(spark, sets):
     cur, rest = sets
     _, rounds, ended = R.self_training(spark, cur, rest.limit(0), scratch_path(spark, "rounds"), num_features=32)
     assert ended and len(rounds) == 2 and abs(rounds[0].mcrmse - rounds[1].mcrmse) < 1e-9
+
+
+def test_texts_are_tokenized_once_for_all_rounds(spark, sets, monkeypatch):
+    cur, rest = sets
+    calls, places = [], R.scoring.ridge.term_places
+    monkeypatch.setattr(R.scoring.ridge, "term_places", lambda *a: calls.append(a) or places(*a))
+    rounds = R.self_training(spark, cur, rest, scratch_path(spark, "rounds"), **OPTIONS)[1]
+    assert len(rounds) == 3 and len(calls) == 2             # the labelled and the unlabelled texts
+
+
+def test_tokenized_tables_train_and_score_like_texts(spark, sets):
+    cur, rest = sets
+    seed = rest.withColumn("fold_model", F.lit(2)).withColumns({t: F.length("full_text") % 7 + F.lit(1.0) for t in TARGETS})
+    tokens = R.scoring.tokenized(rest, num_features=32)
+    assert "full_text" not in tokens.columns
+    short = seed.drop("full_text").join(tokens.dropDuplicates(["text_id"]), "text_id")
+    want = R.scoring.fold_fit_oof(cur, num_features=32, extra_train=seed, extra_fold_col="fold_model", score_also=rest)
+    got = R.scoring.fold_fit_oof(cur, num_features=32, extra_train=short, extra_fold_col="fold_model", score_also=tokens)
+    assert all(close(table(a), table(b)) for a, b in zip(want, got))
+
+
+def test_a_self_training_round_tokenizes_each_text_once(spark, monkeypatch):
+    """The previous texts train the models of five folds and are scored by them: one tokenization, one for the labelled texts."""
+    from quillspark.plans import q_scoring
+    calls, places = [], R.scoring.ridge.term_places
+    monkeypatch.setattr(R.scoring.ridge, "term_places", lambda *a: calls.append(a) or places(*a))
+    assert q_scoring.self_training_round(spark, SF_SMALL).count() and len(calls) == 2
