@@ -82,13 +82,15 @@ def _names(batches) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, key, inside, header): one row per block that holds lines; ``header`` is the file's."""
+    """(file, block, key, inside, header, cut): one row per block that holds lines; ``header`` is the file's, ``cut`` tells whether
+    any block of the file begins inside quotes."""
     found = _lines(spark, path).mapInArrow(_quotes, "file string, block long, odd int, header string")
     each = found.groupBy("file", "block").agg(F.bit_xor("odd").alias("odd"), F.max("header").alias("header"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     each = each.select("file", "block", F.coalesce(F.bit_xor("odd").over(before), F.lit(0)).alias("inside"),
                        F.max("header").over(whole).alias("header"), F.bit_xor("odd").over(whole).alias("open"))
+    each = each.withColumn("cut", F.max("inside").over(whole) == 1)
     each = pin(each.withColumn("key", F.monotonically_increasing_id()))
     bad = each.filter("open = 1 or header is null").select("file").first()
     if bad:
@@ -189,13 +191,13 @@ def _parsed(batches, fragments: bool) -> Iterator[pa.RecordBatch]:
             yield _out(rows)
 
 
-def _with_state(lines: DataFrame, states: DataFrame, few: bool) -> DataFrame:
-    """(value, key, inside, block), the lines of a block together and in order."""
+def _with_state(lines: DataFrame, states: DataFrame, few: bool, how: str = "left") -> DataFrame:
+    """(value, key, inside, block), the lines of a block together and in order; inner: only those of the blocks in ``states``."""
     shown = ["value", "key", "inside", "block"]
     if few:
-        return lines.join(F.broadcast(states), ["file", "block"], "left").select(shown)
+        return lines.join(F.broadcast(states), ["file", "block"], how).select(shown)
     placed = lines.withColumn("pos", F.monotonically_increasing_id())
-    return placed.join(states, ["file", "block"], "left").repartition("file", "block") \
+    return placed.join(states, ["file", "block"], how).repartition("file", "block") \
                  .sortWithinPartitions("file", "block", "pos").select(shown)
 
 
@@ -231,10 +233,10 @@ def read_records(spark: SparkSession, path: str, few_blocks: int = FEW_BLOCKS) -
     states = blocks.select("file", "block", "key", "inside")
     lines = _lines(spark, path)
     rows = _with_state(lines, states, few).mapInArrow(lambda b: _parsed(b, False), RECORDS)
-    broken = blocks.filter("inside = 1").select("file").distinct()
-    if broken.first():
-        cut = lines.join(broken, "file", "left_semi")
-        fragments = _with_state(cut, states, few).mapInArrow(lambda b: _parsed(b, True), RECORDS)
+    cut = blocks.filter("cut").select("file", "block", "key", "inside")
+    if cut.first():
+        # the states pick the lines: a join with the files alone would shuffle every line once more
+        fragments = _with_state(lines, cut, few, "inner").mapInArrow(lambda b: _parsed(b, True), RECORDS)
         rows = rows.unionByName(_joined_records(fragments, blocks))
     names = blocks.select("header").distinct().mapInArrow(_names, "header string, h array<string>")
     heads = blocks.join(names, "header")

@@ -129,3 +129,26 @@ def test_lines_are_not_shuffled_with_few_blocks(spark, small_splits):
     plan = read_csv(spark, path, SCHEMA).select(F.col("text_id"))._jdf.queryExecution().executedPlan().toString()
     lines = plan.split("MapInArrow _parsed" if "MapInArrow _parsed" in plan else "MapInArrow")[1]
     assert "SortMergeJoin" not in lines.split("MapInArrow")[0]
+
+
+def test_lines_of_cut_files_are_not_shuffled(spark, small_splits):
+    """Blocks that begin inside quotes are read for fragments; their lines are picked by the block states, without a shuffle."""
+    pdf = essays(random.Random(8), 60)
+    path = folder(spark, {"a.csv": pdf.to_csv(index=False), "b.csv": "text_id,full_text,x,n\nT,plain,1.0,2\n"})
+    blocks = C.blocks_of(spark, f"{path}/*.csv").select("file", "cut", "inside").collect()
+    assert {b["file"].rsplit("/", 1)[1]: b["cut"] for b in blocks} == {"a.csv": True, "b.csv": False}
+    plan = C.read_records(spark, f"{path}/*.csv")._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [i for i, line in enumerate(plan) if "FileScan text" in line]
+    assert len(scans) == 2
+    for i in scans:                                         # up the tree as far as the parser
+        depth, above = plan[i].index("FileScan"), []
+        for line in reversed(plan[:i]):
+            at = len(line) - len(line.lstrip(" :+-"))
+            if at < depth:
+                depth = at
+                above.append(line.lstrip(" :+-"))
+            if above and above[-1].startswith("MapInArrow"):
+                break
+        assert above[-1].startswith("MapInArrow") and not any(x.startswith("Exchange") for x in above), above
+    got = rows_of(read_csv(spark, f"{path}/*.csv", SCHEMA))
+    assert got == sorted([*of_pandas(pdf), ("T", "plain", 1.0, 2)])
