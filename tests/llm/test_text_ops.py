@@ -295,3 +295,14 @@ def test_quality_verdicts_cover_the_end_of_texts(spark):
     assert not want[20] and want[23]                        # chunks before the end alone would keep document 20
     head = quality._ratios(rows[7][1].encode()[:2048], bands, __import__("zstandard").ZstdCompressor(level=3))
     assert head[1] == 0.0
+
+
+def test_the_shuffle_of_all_spans_is_released_before_the_next(spark, monkeypatch):
+    """Its files are dropped once the repeated hashes are written, not when an idle driver collects its heap."""
+    steps, pin, rows = [], spans.pin, spans.span_rows
+    monkeypatch.setattr(spans, "pin", lambda df: steps.append("pin") or pin(df))
+    monkeypatch.setattr(spans, "span_rows", lambda *a: steps.append("spans") or rows(*a))
+    monkeypatch.setattr(spans, "release", lambda _: steps.append("release"))
+    docs = docs_frame(spark, corpus(3, 12))
+    assert spans.remove_repeated(docs, counts=True, grow=True).count() == docs.count()
+    assert steps == ["spans", "pin", "release", "spans"]
