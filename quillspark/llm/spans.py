@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops
-from .shared import pin, release
+from .shared import pin, release, shuffles_dropped
 
 # End marks and closing quotes or brackets beyond ASCII, and characters of scripts written without spaces (kana, Han, Thai,
 # Lao, Tibetan, Burmese, Khmer, full-width forms); fixed values.
@@ -303,9 +303,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = span_rows(docs, id_col, text_col, span, min_words, grow)
     place = F.struct("id", "doc", "pos")
-    first = pin(rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                    .filter("not first <=> last").select("hash", "first"))
-    release(docs.sparkSession)              # the shuffle of all spans is not needed beside the later ones
+    with shuffles_dropped(docs.sparkSession):   # the shuffle of all spans is not needed beside the later ones
+        first = pin(rows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                        .filter("not first <=> last").select("hash", "first"))
+    release(docs.sparkSession)
     some = span_rows(docs, id_col, text_col, span, min_words, grow, hash_filter(first.select("hash"), FILTER_BITS), counts)
     again = some.join(first, "hash", "left") if counts else some.join(first, "hash")
     later = F.when(F.col("first").isNotNull() & ~place.eqNullSafe(F.col("first")), F.col("pos"))

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import chat, lines, quality, spans, suffixes, textops
+from quillspark.llm import chat, lines, quality, shared, spans, suffixes, textops
 
 from .helpers import awkward_rows, docs_frame, near_copies, sentence_text, words
 
@@ -306,3 +307,25 @@ def test_the_shuffle_of_all_spans_is_released_before_the_next(spark, monkeypatch
     docs = docs_frame(spark, corpus(3, 12))
     assert spans.remove_repeated(docs, counts=True, grow=True).count() == docs.count()
     assert steps == ["spans", "pin", "release", "spans"]
+
+
+def test_span_dedup_leaves_no_shuffle_of_all_spans(spark, monkeypatch):
+    """When the repeated hashes are written, their shuffle's files are gone, whatever the driver's heap still holds."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = blocks.getAllFiles().mkString(" ").split()
+        return {x for x in names if x.endswith(".data") and "/shuffle_" in x}
+    left = []
+
+    def look(_):
+        end = time.monotonic() + 5                          # files are deleted in the background
+        while shuffles() - before and time.monotonic() < end:
+            time.sleep(0.1)
+        left.append(shuffles() - before)
+    monkeypatch.setattr(spans, "release", look)
+    docs = docs_frame(spark, corpus(3, 12))
+    before, setting = shuffles(), spark.conf.get(shared.DROP_SHUFFLES, None)
+    assert spans.remove_repeated(docs, counts=True, grow=True).count() == docs.count()
+    assert left == [set()]
+    assert spark.conf.get(shared.DROP_SHUFFLES, None) == setting
