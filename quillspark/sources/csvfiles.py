@@ -13,7 +13,8 @@ as physical lines, split by byte ranges (blocks) as any text:
    columns than asked for, or fewer.
 
 The state table is broadcast while it has at most ``FEW_BLOCKS`` rows; beyond, lines and states meet in a shuffle and are put
-in order again. Lines themselves are not shuffled below that.
+in order again. So is the table of headers if they also have at most ``SHORT_HEADERS`` characters, each block's counted. Neither
+lines nor records are shuffled below that.
 
 Defined results: an unquoted empty field is null, a quoted one an empty string; blank lines are skipped; line ends may be
 ``\\n`` or ``\\r\\n``; a byte order mark is dropped; an empty file has no rows, a file with only a header none either; columns a
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 from ..session import pin
 
 FEW_BLOCKS = 100_000
+SHORT_HEADERS = 1 << 23
 INDEX_NAMES = ("", "_c0", "Unnamed: 0")
 LARGEST_FIELD = 1 << 30
 RECORDS = "key long, seq long, r array<string>, error string, fragment string"
@@ -229,7 +231,7 @@ def _joined_records(fragments: DataFrame, blocks: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, few_blocks: int = FEW_BLOCKS) -> DataFrame:
     """(file, h, r): header and fields of every record of the files at ``path`` but the headers themselves."""
     blocks = blocks_of(spark, path)
-    few = blocks.limit(few_blocks + 1).count() <= few_blocks
+    few, short = blocks.agg(F.count("*") <= few_blocks, F.coalesce(F.sum(F.length("header")), F.lit(0)) <= SHORT_HEADERS).first()
     states = blocks.select("file", "block", "key", "inside")
     lines = _lines(spark, path)
     rows = _with_state(lines, states, few).mapInArrow(lambda b: _parsed(b, False), RECORDS)
@@ -239,8 +241,9 @@ def read_records(spark: SparkSession, path: str, few_blocks: int = FEW_BLOCKS) -
         fragments = _with_state(lines, cut, few, "inner").mapInArrow(lambda b: _parsed(b, True), RECORDS)
         rows = rows.unionByName(_joined_records(fragments, blocks))
     names = blocks.select("header").distinct().mapInArrow(_names, "header string, h array<string>")
-    heads = blocks.join(names, "header")
-    rows = rows.join(heads.select("key", "file", "block", "h"), "key").filter(~((F.col("block") == 0) & (F.col("seq") == 0)))
+    heads = blocks.join(names, "header").select("key", "file", "block", "h")
+    # said here: left to the sizes, the records are shuffled before those of the headers are known
+    rows = rows.join(F.broadcast(heads) if few and short else heads, "key").filter(~((F.col("block") == 0) & (F.col("seq") == 0)))
     width = F.size("h") == F.size("r")
     why = F.coalesce("error", F.concat(F.lit("a record of "), F.size("r"), F.lit(" fields, the header has "), F.size("h")))
     message = F.concat("file", F.lit(": malformed near byte "), "block", F.lit(", record "), "seq", F.lit(": "), why)

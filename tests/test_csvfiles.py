@@ -152,3 +152,31 @@ def test_lines_of_cut_files_are_not_shuffled(spark, small_splits):
         assert above[-1].startswith("MapInArrow") and not any(x.startswith("Exchange") for x in above), above
     got = rows_of(read_csv(spark, f"{path}/*.csv", SCHEMA))
     assert got == sorted([*of_pandas(pdf), ("T", "plain", 1.0, 2)])
+
+
+@pytest.mark.parametrize("most", [C.SHORT_HEADERS, 0])
+def test_records_meet_their_headers_without_a_shuffle(spark, small_splits, monkeypatch, most):
+    """Parsed records stay where they are up to the result; with headers too long to send, they are shuffled to the same rows."""
+    monkeypatch.setattr(C, "SHORT_HEADERS", most)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # as with files whose sizes promise no small table
+    pdf = essays(random.Random(9), 60)
+    path = folder(spark, {"a.csv": pdf.to_csv(index=False), "b.csv": "text_id,full_text,x,n\nT,plain,1.0,2\n"})
+    try:
+        plan = C.read_records(spark, f"{path}/*.csv")._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = sorted((a, b or "", c, d) for a, b, c, d in read_csv(spark, f"{path}/*.csv", SCHEMA).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    scans = [i for i, line in enumerate(plan) if "FileScan text" in line]
+    shuffled = []
+    for i in scans:                                         # up the tree as far as the result
+        depth, above = plan[i].index("FileScan"), []
+        for line in reversed(plan[:i]):
+            at = len(line) - len(line.lstrip(" :+-"))
+            if at < depth:
+                depth = at
+                above.append(line.lstrip(" :+-"))
+        assert any(x.startswith("MapInArrow") for x in above)
+        shuffled.append(any(x.startswith("Exchange") for x in above))
+    assert sorted(shuffled) == ([False, True] if most else [True, True])     # fragments of cut records are joined in a shuffle
+    assert got == sorted([*of_pandas(pdf), ("T", "plain", 1.0, 2)])
