@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fold_ascii, pin
+from .shared import fold_ascii, pin, trimmed
 
 # White space stripped at both ends of a line (fixed by the definition of a key).
 STRIP = "\t\n\x0b\x0c\r "
@@ -80,4 +80,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if counts:
                 out += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
-    return joined.select(*[docs[c] for c in columns], "_ld_drop").mapInArrow(run, T.StructType(fields))
+    return joined.select(*[docs[c] for c in columns], "_ld_drop").mapInArrow(trimmed(run), T.StructType(fields))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import WORD
+from .shared import WORD, trimmed
 
 MAX_SOURCES = 100_000
 # Rows of a bucket of a source's stream, on average, and the least number of buckets.
@@ -248,7 +248,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).take(take) if i != at else pa.array(texts, batch.schema.field(at).type)
                  for i in range(len(columns))], names=columns)
-    return joined.select(*[numbered[c] for c in columns], "_mx_spans").mapInArrow(run, docs.schema)
+    return joined.select(*[numbered[c] for c in columns], "_mx_spans").mapInArrow(trimmed(run), docs.schema)
 
 
 def _copies(text: bytes, spans: list[dict]) -> Iterator[str]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .shared import WORD, few_rows, pin
+from .shared import WORD, few_rows, pin, trimmed
 
 U64 = np.uint64
 SLACK = 1.15            # blocks per band: at least this many times d + 1
@@ -127,7 +127,7 @@ def set_infos(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
                  pa.array(skips, pa.list_(pa.struct([("band", pa.int32()), ("skip", pa.int32())])))],
                 names=["id", "text_hash", "n", "f1", "f2", "bands"])
-    return docs.mapInArrow(run, "id long, text_hash long, n long, f1 long, f2 long, bands array<struct<band:int,skip:int>>")
+    return docs.mapInArrow(trimmed(run), "id long, text_hash long, n long, f1 long, f2 long, bands array<struct<band:int,skip:int>>")
 
 
 def set_blocks(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -156,7 +156,7 @@ def set_blocks(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(textops.signed(np.concatenate(keys))), pa.array(np.concatenate(owners))],
                     names=["key", "f1"])
-    return docs.mapInArrow(run, "key long, f1 long")
+    return docs.mapInArrow(trimmed(run), "key long, f1 long")
 
 
 def set_cards(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -179,7 +179,7 @@ def set_cards(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f1, pa.int64()), pa.array(band, pa.int32()), pa.array(sketch, pa.list_(pa.int64())),
                      pa.array(elements, pa.list_(pa.int64()))], names=["f1", "band", "sketch", "elements"])
-    return docs.mapInArrow(run, "f1 long, band int, sketch array<long>, elements array<long>")
+    return docs.mapInArrow(trimmed(run), "f1 long, band int, sketch array<long>, elements array<long>")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -284,7 +284,7 @@ def shared_blocks(blocks: DataFrame) -> DataFrame:
             last = (key[-1], f1[-1], bool(keep[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])),
                                               pa.array(np.concatenate([o[1] for o in out]))], names=["key", "f1"])
-    return blocks.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(run, "key long, f1 long")
+    return blocks.repartition("key").sortWithinPartitions("key", "f1").mapInArrow(trimmed(run), "key long, f1 long")
 
 
 def candidates(infos: DataFrame, blocks: DataFrame) -> DataFrame:

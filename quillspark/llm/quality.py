@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .shared import trimmed
 
 
 @dataclass(frozen=True)
@@ -162,4 +163,4 @@ def filter_documents(docs: DataFrame, text_col: str = "text", bands: Bands = Ban
                     ratio, bad = _ratios(rows[i], bands, compressor)
                     keep[first + i] = low <= ratio <= high and bad <= bands.bad_chunk_share
             yield batch.filter(pa.array(keep))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

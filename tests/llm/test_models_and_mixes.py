@@ -5,9 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.llm import langid, mixing, neighbours, packing, queries
+from quillspark.llm import langid, mixing, neighbours, packing, queries, shared
 
 from ..conftest import SF_CHECK, SF_SMALL
 from .helpers import awkward_rows, docs_frame, sentence_text, words
@@ -323,3 +325,32 @@ def test_pipeline_bears_awkward_rows(spark):
         for _, stage in pipe.STAGES:
             seen = spark.createDataFrame(stage(spark, seen, SF_SMALL).collect(), stage(spark, seen, SF_SMALL).schema)
         assert seen.count() >= 0
+
+
+def test_pipeline_bounds_the_batches_of_its_workers(spark):
+    """10,000 texts of 2,000 characters do not go to Python at once; a session's own bound stays."""
+    import corpus_pipeline as pipe
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+    for own in (None, "1m"):
+        session = spark.newSession()
+        if own:
+            session.conf.set(shared.BATCH_SETTING, own)
+        docs = session.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words "), 334).alias("text"),
+                                                     F.lit("web").alias("source"))
+        for _, stage in pipe.STAGES[:1] + pipe.STAGES[-1:]:
+            stage(session, docs, SF_SMALL)
+        seen = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r["n"] for r in seen) == 10_000
+        assert max(r["size"] for r in seen) < (1.5 if own else 6) * 2 ** 20
+
+
+def test_arrow_memory_goes_back_at_the_end_of_a_task(monkeypatch):
+    steps = []
+    monkeypatch.setattr(shared.pa, "default_memory_pool", lambda: type("P", (), {"release_unused": lambda _: steps.append("released")})())
+    rows = [pa.RecordBatch.from_arrays([pa.array([i])], names=["n"]) for i in range(3)]
+    for b in shared.trimmed(iter)(rows):
+        steps.append(b.column(0)[0].as_py())
+    assert steps == [0, 1, 2, "released"]
