@@ -2,8 +2,8 @@
 
 A model is a file in the shared folder: one coefficient matrix per fold on hashed features of the text. Two kinds exist, which read
 the text differently: ``terms`` (lower-cased words and marks) and ``grams`` (character trigrams of the lower-cased text);
-both are fitted by ``ridge`` from moments. Files are Parquet, written by Spark and shipped to the executors by
-``SparkContext.addFile``, so any file system Spark knows will do.
+both are fitted by ``ridge`` from moments. Files are Parquet, written by Spark and shipped to the executors one by one by
+``SparkContext.addFile`` (which takes a local folder as a whole in local mode only), so any file system Spark knows will do.
 
 Scoring finds the features of a row once in the JVM, whatever the number of models, and sends them to Python in Arrow batches. A task
 goes through its batches in blocks of at most ``BLOCK_BATCHES`` (fewer if they are large); for every block it takes the models one after the other, so a model is
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def save_model(spark: SparkSession, folds: list[np.ndarray], kind: str, path: st
 class Models:
     """Models of a task, read on demand; those used longest ago are dropped beyond ``most`` bytes."""
 
-    def __init__(self, files: dict[str, str], most: int):
+    def __init__(self, files: dict[str, str | list[str]], most: int):
         self.files, self.most = files, most
         self.held: OrderedDict[str, list[np.ndarray]] = OrderedDict()
         self.reads = self.peak = 0
@@ -99,6 +100,18 @@ class Models:
         return folds
 
 
+def ship_files(spark: SparkSession, path: str) -> list[str]:
+    """Send the files of a model to all executors; returns the names that ``SparkFiles`` knows them by. A file is sent once, and
+    its name holds the number of the write that made it; Spark refuses another file of the same name."""
+    sent = _SHIPPED.setdefault(spark.sparkContext.applicationId, set())
+    files = sorted(spark.read.parquet(path).inputFiles())
+    for file in files:
+        if file not in sent:
+            spark.sparkContext.addFile(file)
+            sent.add(file)
+    return [unquote(file.rsplit("/", 1)[-1]) for file in files]
+
+
 def apply_model(model: np.ndarray, places: pa.Array) -> np.ndarray:
     """Predictions (row, target) of one coefficient matrix."""
     size = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -131,14 +144,7 @@ def score_stored(rows: DataFrame, registry: dict[str, str], id_col: str = "text_
     features = [FEATURES[kind](F.col(text_col), n).alias(f"p{i}") for i, (kind, n) in enumerate(shapes)]
     own = [] if fold_col is None else [F.col(fold_col).cast("int").alias("own")]
     src = rows.select(F.col(id_col).alias("id"), *own, *features)
-    # files are shipped under names of their own: a name that was shipped once keeps its content
-    shipped = {}
-    for name, path in registry.items():
-        local = path.rstrip("/").rsplit("/", 1)[-1]
-        if local not in _SHIPPED.setdefault(spark.sparkContext.applicationId, set()):
-            spark.sparkContext.addFile(path, recursive=True)
-            _SHIPPED[spark.sparkContext.applicationId].add(local)
-        shipped[name] = local
+    shipped = {name: ship_files(spark, path) for name, path in registry.items()}
     place = {name: src.columns.index(f"p{shapes.index(h)}") for name, h in heads.items()}
     one = mean or fold_col is not None
     id_type = src.schema["id"].dataType.simpleString()
@@ -164,7 +170,7 @@ def score_stored(rows: DataFrame, registry: dict[str, str], id_col: str = "text_
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(values[:, t]) for t in range(len(TARGETS))], names=names)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        models = Models({n: SparkFiles.get(f) for n, f in shipped.items()}, cache_bytes)
+        models = Models({n: [SparkFiles.get(f) for f in files] for n, files in shipped.items()}, cache_bytes)
         block: list[pa.RecordBatch] = []
         for batch in batches:
             block.append(batch)

@@ -65,6 +65,26 @@ def test_memory_holds_no_more_than_the_bound(spark, stored, tmp_path):
         assert models.reads == reads and models.peak <= max(most, size)
 
 
+def test_models_are_shipped_file_by_file(spark, stored, tmp_path, monkeypatch):
+    """Folders can be shipped in local mode only; models whose folders have the same name are told apart."""
+    cur, folds, _ = stored
+    first = M.save_model(spark, folds["terms"], "terms", f"{tmp_path}/a b/m")
+    second = M.save_model(spark, [m + 1 for m in folds["terms"]], "terms", f"{tmp_path}/c%d/m")
+    spark.read.parquet(second).repartition(3).write.parquet(f"{tmp_path}/parts/m")
+    sent = []
+    add = spark.sparkContext.addFile
+    monkeypatch.setattr(spark.sparkContext, "addFile", lambda path, recursive=False: (sent.append((path, recursive)), add(path, recursive)))
+    rows = cur.limit(20)
+    for _ in range(2):
+        got = {}
+        for r in M.score_stored(rows, {"first": first, "second": second, "parts": f"{tmp_path}/parts/m"}, mean=False).collect():
+            got.setdefault(r["model_id"], {})[r["text_id"], r["fold_model"]] = np.array([r[t] for t in TARGETS])
+        assert all(got["first"].keys() == got[n].keys() and len(got[n]) == 100 for n in got)
+        assert not any(np.allclose(x, got["second"][k]) for k, x in got["first"].items())
+        assert all((x == got["parts"][k]).all() for k, x in got["second"].items())
+    assert len(sent) == len(set(sent)) >= 3 and all(path.endswith(".parquet") and not recursive for path, recursive in sent)
+
+
 def test_trigrams(spark):
     rows = spark.createDataFrame([("abcd",), ("A",), ("",), (None,)], "t string").select("t", M.gram_places(F.col("t"), 1 << 20).alias("p")).collect()
     assert [len(r["p"]) for r in rows] == [4, 1, 1, 1] and rows[2]["p"] == rows[3]["p"]
