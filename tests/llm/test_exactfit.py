@@ -129,3 +129,38 @@ def test_large_counts_take_few_patterns():
     assert len(plan) < 4 * 1024
     slots = exactfit.slots(plan, 1024)
     assert (np.diff(slots["key"]) > 0).all() and slots["key"][0] >= exactfit.RANKS
+
+
+def exact_ones(plan, length):
+    return sum(times for pattern, times in plan if len(pattern) > 1 and sum(pattern) == length)
+
+
+def test_combinations_of_middling_lengths_are_taken():
+    """23 stays alone; 12, 10, 3 and 12, 7, 6 fill two sequences, though none of their lengths nearly fills the gap of the first."""
+    for many in (1, 1000):
+        sizes = np.array([25, 23, 12, 12, 10, 7, 6, 3] * many)
+        assert plan_of(sizes, 25) == 4 * many
+        assert exact_ones(exactfit.plan_patterns(np.bincount(sizes)), 25) == 2 * many
+
+
+def test_every_combination_is_kept_unless_it_costs_a_sequence():
+    rng = np.random.default_rng(3)
+    whole = more = 0
+    for _ in range(40):
+        length = int(rng.integers(12, 200))
+        counts = np.bincount(rng.integers(1, int(rng.integers(length // 2, length)), int(rng.integers(20, 400))), minlength=length + 1)
+        index = exactfit.Complements(counts.copy())
+        found = exactfit.complements(index, exactfit.LEAD) + exactfit.complements(index, 0.0)
+        every = found + exactfit._best_fit(index.available, length)
+        near = exactfit.Complements(counts.copy())
+        first = exactfit.complements(near, exactfit.LEAD)
+        first += exactfit._best_fit(near.available, length)
+        plain = exactfit._best_fit(counts.copy(), length)
+        plan = exactfit.plan_patterns(counts)
+        fewest = min(sum(t for _, t in p) for p in (every, first, plain))
+        assert sum(t for _, t in plan) <= fewest
+        if sum(t for _, t in every) == fewest:
+            whole += 1
+            assert plan == every
+        more += exact_ones(plan, length) > max(exact_ones(first, length), exact_ones(plain, length))
+    assert whole > 10 and more > 10
