@@ -41,14 +41,10 @@ SCORED = 1 << 21
 def gram_places(text: Column, n_features: int) -> Column:
     """Feature number of every character trigram of a text, lower-cased, with a space at both ends."""
     padded = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-
-    def grams(chars: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - 3, F.lit(0)))
-        gram = lambda i: F.concat_ws("", F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(n_features)).cast("int"))
-    # the characters are an array bound once a text: lower-casing and counting up to a place again for every trigram would
-    # make the time grow with the square of the text's length
-    return F.element_at(F.transform(F.array(F.split(padded, "")), grams), 1)
+    # one pass over the text: each match is a character (a code point) with the two after it looked ahead; the padding of an
+    # empty text is a gram of its own
+    grams = F.when(F.length(padded) < 3, F.array(padded)).otherwise(F.regexp_extract_all(padded, F.lit("(?s)(?=(...))."), F.lit(1)))
+    return F.transform(grams, lambda gram: F.pmod(F.xxhash64(gram), F.lit(n_features)).cast("int"))
 
 
 FEATURES = {"terms": ridge.term_places, "grams": gram_places}

@@ -104,6 +104,17 @@ def test_trigrams_of_a_long_text_take_time_in_proportion(spark):
     assert got == [place[padded[i:i + 3]] for i in range(len(padded) - 2)]
 
 
+def test_trigrams_are_those_of_the_lower_cased_text(spark):
+    texts = ["", "a", "ab", "İIß", "a\nb\r\n", "𝒳𝒴", "\u2028x\x00y", "e\u0301É", " ", "   ", "日本 GO", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["p"] for r in rows.select("i", M.gram_places(F.col("t"), 1 << 30).alias("p")).collect()}
+    lower = {r["i"]: f" {r['l']} " for r in rows.select("i", F.lower(F.coalesce("t", F.lit(""))).alias("l")).collect()}
+    grams = {i: [t[k:k + 3] for k in range(max(1, len(t) - 2))] for i, t in lower.items()}
+    place = {r["g"]: r["p"] for r in spark.createDataFrame([(g,) for g in {g for x in grams.values() for g in x}], "g string")
+             .select("g", F.pmod(F.xxhash64("g"), F.lit(1 << 30)).cast("int").alias("p")).collect()}
+    assert got == {i: [place[g] for g in x] for i, x in grams.items()}
+
+
 def test_a_batch_is_scored_in_parts(monkeypatch):
     rng = np.random.default_rng(4)
     rows = [rng.integers(0, N, n).tolist() for n in (0, 5, 40, 1, 0, 7, 3, 0)]
