@@ -36,6 +36,8 @@ BLOCK_BATCHES = 8
 # ... or fewer, once they hold so many bytes; a batch is scored in runs of about SCORED features
 BLOCK_BYTES = 64 << 20
 SCORED = 1 << 21
+# Cells of counts for a feature found, up to which dense counts are taken.
+DENSE = 8
 
 
 def gram_places(text: Column, n_features: int) -> Column:
@@ -109,21 +111,34 @@ def ship_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def apply_model(model: np.ndarray, places: pa.Array) -> np.ndarray:
-    """Predictions (row, target) of one coefficient matrix."""
+    """Predictions (row, target) of one coefficient matrix, or of several side by side."""
     size = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.empty((len(size), model.shape[1]))
     ends = np.cumsum(size)
+    width = len(model) - 1
+    # counts of all features and one product where texts have many of them; a coefficient that is no number must meet its own rows only
+    dense = len(size) > 0 and len(size) * width <= DENSE * ends[-1] and bool(np.isfinite(model).all())
+    most = max(1, SCORED // width) if dense else len(size)
     low = done = 0
     while low < len(size):
-        high = max(low + 1, int(np.searchsorted(ends, done + SCORED, "right")))
+        high = min(low + most, max(low + 1, int(np.searchsorted(ends, done + SCORED, "right"))))
         owner = np.repeat(np.arange(high - low), size[low:high])
-        flat = pc.list_flatten(places.slice(low, high - low)).to_numpy() + 1
-        for t in range(model.shape[1]):
-            out[low:high, t] = model[0, t] + np.bincount(owner, model[flat, t], high - low)
+        flat = pc.list_flatten(places.slice(low, high - low)).to_numpy()
+        if dense:
+            counts = np.bincount(owner * width + flat, minlength=(high - low) * width).reshape(-1, width)
+            out[low:high] = model[0] + counts.astype(np.float64) @ model[1:]
+        else:
+            for t in range(model.shape[1]):
+                out[low:high, t] = model[0, t] + np.bincount(owner, model[flat + 1, t], high - low)
         low, done = high, int(ends[high - 1])
     return out
 
 
+def apply_models(models: list[np.ndarray], places: pa.Array) -> list[np.ndarray]:
+    """Predictions of every model; features are counted once for all of them."""
+    return np.split(apply_model(np.hstack(models), places), len(models), axis=1)
+
+
 def score_stored(rows: DataFrame, registry: dict[str, str], id_col: str = "text_id", text_col: str = "full_text", mean: bool = True,
                  fold_col: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """K3: every stored model scores every row: ``(model_id, id, targets...)``, the mean of the fold models; with ``mean=False`` one
@@ -157,9 +172,9 @@ def score_stored(rows: DataFrame, registry: dict[str, str], id_col: str = "text_
                     parts = [(np.flatnonzero(which == k), k) for k in range(len(folds))]
                     scored = [(at, k, apply_model(folds[k], places.take(pa.array(at)))) for at, k in parts if len(at)]
                 elif one:
-                    scored = [(np.arange(batch.num_rows), None, np.mean([apply_model(m, places) for m in folds], axis=0))]
+                    scored = [(np.arange(batch.num_rows), None, np.mean(apply_models(folds, places), axis=0))]
                 else:
-                    scored = [(np.arange(batch.num_rows), k, apply_model(m, places)) for k, m in enumerate(folds)]
+                    scored = [(np.arange(batch.num_rows), k, values) for k, values in enumerate(apply_models(folds, places))]
                 for at, k, values in scored:
                     columns = [pa.array([name] * len(at), pa.string()), batch.column(0).take(pa.array(at))]
                     columns += [] if k is None else [pa.array(np.full(len(at), k), pa.int32())]

@@ -126,6 +126,24 @@ def test_a_batch_is_scored_in_parts(monkeypatch):
         assert np.allclose(M.apply_model(model, places), want, atol=1e-12)
 
 
+def test_dense_and_single_sums_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, N, n).tolist() for n in (90, 0, 700, 64, 1, 2000)]
+    places = pa.array([[3, 4], *rows], pa.list_(pa.int32())).slice(1)
+    models = [rng.normal(size=(N + 1, len(TARGETS))) for _ in range(5)]
+    want = [[m[0] + sum((m[p + 1] for p in r), np.zeros(len(TARGETS))) for r in rows] for m in models]
+    for share in (0, 8, 1 << 20):
+        monkeypatch.setattr(M, "DENSE", share)
+        for most in (1, 100, 1 << 20):
+            monkeypatch.setattr(M, "SCORED", most)
+            assert np.allclose(M.apply_models(models, places), want, atol=1e-10)
+    models[2][5, 1] = np.nan                                # feature 4
+    monkeypatch.setattr(M, "DENSE", 8)
+    has = [4 in r for r in rows]
+    assert any(has) and not all(has) and np.isnan(M.apply_models(models, places)[2][:, 1]).tolist() == has
+    assert [x.shape for x in M.apply_models(models, places.slice(0, 0))] == [(0, len(TARGETS))] * 5
+
+
 def test_unknown_kinds_are_errors(spark, stored):
     with pytest.raises(ValueError):
         M.save_model(spark, stored[1]["terms"], "sums")
